@@ -13,6 +13,8 @@ MINUS_INFINITY = r"(?i)^-inf(inity)?\z"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 RESULT_FILE = r"^ping_results_(.*)\.txt\z"
 RESULT_FOLDER = r"^results_([0-9]{4}-[0-9]{2}-[0-9]{2}_[0-9]{2}-[0-9]{2}-[0-9]{2})\z"
+FOLDER = r"([^/]+)/[^/]+\z"
+FILE = r"([^/]*)\z"
 RUN_CLOCK = "yyyy-MM-dd_HH-mm-ss"
 PROBE_LATENCY = {
     "unix": r"time\s*=\s*(\d+\.?\d*)\s*ms",
@@ -63,14 +65,22 @@ def target_from_name(name: Column) -> Column:
     return F.when(name.rlike(RESULT_FILE), F.regexp_extract(name, RESULT_FILE, 1))
 
 
+def target_from_path(path: Column) -> Column:
+    """Target of a result file, empty for any other file."""
+    return F.regexp_extract(F.regexp_extract(path, FILE, 1), RESULT_FILE, 1)
+
+
 def run_from_path(path: Column) -> Column:
-    """Run id of a path that ends in a result folder or in a file directly inside one.
+    """Run id of a result file: the clock in the name of its folder.
 
     A folder not named by the clock keeps its own name, so runs filed by hand stay apart.
     """
-    last = F.element_at(F.split(path, "/"), -1)
-    folder = F.when(target_from_name(last).isNull(), last).otherwise(F.get(F.split(path, "/"), F.size(F.split(path, "/")) - 2))
-    return F.when(folder.rlike(RESULT_FOLDER), F.regexp_extract(folder, RESULT_FOLDER, 1)).otherwise(folder)
+    return F.regexp_replace(F.regexp_extract(path, FOLDER, 1), RESULT_FOLDER, "$1")
+
+
+def decoded_path(uri: Column) -> Column:
+    """The path behind the URI that file metadata gives."""
+    return F.when(uri.contains("%"), F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))).otherwise(uri)
 
 
 def run_clock(run_id: Column) -> Column:

@@ -4,12 +4,12 @@ from math import ceil
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hoplens.operators.extent import Extent, measure
+from hoplens.operators.extent import Extent, measure, series_lengths
 from hoplens.schema import SERIES
 from hoplens.session import shared_folder
 
-# One task numbers at most this many rows, whatever the length of a series.
-ROWS_PER_TASK = 4_000_000
+# One task numbers at most about this many rows, whatever the length of a series. They are sorted, so they may spill.
+ROWS_PER_TASK = 10_000_000
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -21,24 +21,35 @@ def with_seq(
 ) -> DataFrame:
     """Add ``seq``, the 1-based position of a row in its series by ``order``.
 
-    While the longest series fits one task, a plain window does it with a single shuffle by series. Beyond that a
-    window would put one whole series into one task, so rows are cut by range of the full sort key instead.
+    A series that fits one task is numbered by a plain window, with a single shuffle by series. Where the measured
+    extent shows longer ones, a window would put each of them whole into one task, so their rows are split off and
+    cut by range of the full sort key instead.
     """
     extent = extent or measure(samples)
     if extent.longest <= rows_per_task:
-        series = Window.partitionBy(*SERIES).orderBy(*order)
-        return samples.withColumn("seq", F.row_number().over(series).cast("long"))
-    return _number_by_range(samples, order, extent, rows_per_task)
+        return _number_whole(samples, order)
+    parts = ceil(extent.rows / rows_per_task)
+    long_series = series_lengths(samples).where(F.col("n") > rows_per_task).select(*SERIES)
+    # There are fewer long series than parts.
+    if parts <= MAX_BROADCAST_ROWS:
+        long_series = F.broadcast(long_series)
+    short = samples.join(long_series, SERIES, "left_anti")
+    long = samples.join(long_series, SERIES, "left_semi")
+    return _number_whole(short, order).unionByName(_number_by_range(long, order, parts))
 
 
-def _number_by_range(samples: DataFrame, order: list[str], extent: Extent, rows_per_task: int) -> DataFrame:
-    """Sort all rows into even ranges, then add to each local position what lies in earlier ranges.
+def _number_whole(samples: DataFrame, order: list[str]) -> DataFrame:
+    series = Window.partitionBy(*SERIES).orderBy(*order)
+    return samples.withColumn("seq", F.row_number().over(series).cast("long"))
+
+
+def _number_by_range(samples: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """Sort rows into even ranges, then add to each local position what lies in earlier ranges.
 
     The tie breaker keeps even a great many copies of one row from landing in one range. The ranges are
     checkpointed because their bounds are sampled: both uses below must see the same cut, also after a loss of executors.
     """
     shared_folder(samples.sparkSession)
-    parts = max(1, ceil(extent.rows / rows_per_task))
     key = [*SERIES, *order, "_tie"]
     ranges = (
         samples.withColumn("_tie", F.monotonically_increasing_id())
@@ -56,8 +67,8 @@ def _number_by_range(samples: DataFrame, order: list[str], extent: Extent, rows_
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    # A range is contiguous, so there are at most series + parts rows here.
-    if extent.series + parts <= MAX_BROADCAST_ROWS:
+    # Each part is contiguous and there are fewer long series than parts, so this has at most twice as many rows as parts.
+    if 2 * parts <= MAX_BROADCAST_ROWS:
         starts = F.broadcast(starts)
     return (
         ranges.join(starts, [*SERIES, "_part"])

@@ -4,34 +4,38 @@ Segments are half open and the last one ends at the longest series' last positio
 no segment, with and without segmentation.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from hoplens.functions.series import fill_and_clip, segment_index, span_text
+from hoplens.functions.series import fill_and_clip, segment_index, span_text, window_index
 from hoplens.operators.extent import Extent, measure, series_lengths
 from hoplens.schema import SERIES
 from hoplens.settings import SEGMENT_SECONDS, WINDOW_SAMPLES
 
 
+def explode_range(rows: DataFrame, last: Column, name: str, step: int = 10_000) -> DataFrame:
+    """One row per whole number from 0 to ``last``, in two steps so that no array grows with the range."""
+    low = F.col("_low")
+    return (
+        rows.withColumn("_last", last)
+        .withColumn("_low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(step).cast("long"))))
+        .withColumn(name, F.explode(F.sequence(low, F.least(low + (step - 1), F.col("_last")))))
+        .drop("_last", "_low")
+    )
+
+
 def segment_table(extent: Extent, segment_len: int | None = SEGMENT_SECONDS) -> DataFrame:
     """Start, end and label of every segment of every run."""
-    last = segment_index(F.col("max_seq") - 1, segment_len)
     index = F.col("segment_idx")
     length = F.col("max_seq") if segment_len is None else F.lit(segment_len).cast("long")
-    spans = (
-        extent.by_run.where("max_seq >= 1")
-        .select("run_id", "max_seq", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("segment_idx"))
-        .select(
-            "run_id",
-            "segment_idx",
-            (index * length).alias("start_s"),
-            F.least((index + 1) * length, F.col("max_seq")).alias("end_s"),
-        )
+    label = F.lit("entire_duration") if segment_len is None else F.format_string("hour_%d", index + 1)
+    last = segment_index(F.col("max_seq") - 1, segment_len)
+    return explode_range(extent.by_run.where("max_seq >= 1"), last, "segment_idx").select(
+        "run_id",
+        "segment_idx",
+        (index * length).alias("start_s"),
+        F.least((index + 1) * length, F.col("max_seq")).alias("end_s"),
+        label.alias("segment_label"),
     )
-    if segment_len is None:
-        label = F.lit("entire_duration")
-    else:
-        label = F.format_string("hour_%d", index + 1)
-    return spans.withColumn("segment_label", label)
 
 
 def segment_titles(segments: DataFrame) -> DataFrame:
@@ -96,41 +100,25 @@ def empty_segments(
 ) -> DataFrame:
     """Segments of a run in which a series has no samples (``raw``) or samples but no window (``aggregated``).
 
-    Everything follows from the length of each series, since positions are dense: the samples are counted, not numbered,
-    and only missing segments are spelled out.
+    Positions are dense, so both follow from the length of a series: samples are counted, neither numbered nor joined.
     """
     extent = extent or measure(samples)
     lengths = extent.with_max_seq(series_lengths(samples))
     last_segment = segment_index(F.col("max_seq") - 1, segment_len)
-    last_seq = F.least(F.col("n"), F.col("max_seq") - 1)
-    # Position 0 does not exist: segments of length 1 start with one that nobody has samples in.
-    first_raw = segment_index(F.lit(1).cast("long"), segment_len)
-    last_raw = F.when(last_seq >= 1, segment_index(last_seq, segment_len)).otherwise(-1)
-    every = F.sequence(F.lit(0).cast("long"), last_segment)
-    raw = lengths.select(
-        *SERIES,
-        F.explode(F.filter(every, lambda k: (k > last_raw) | (k < first_raw))).alias("segment_idx"),
-        F.lit("raw").alias("series"),
-    )
-    if not aggregate:
-        return raw
-    present = F.when(
-        last_raw >= first_raw, F.sequence(first_raw, last_raw)
-    ).otherwise(F.array().cast("array<bigint>"))
-    window = F.col("window_idx")
-    size = F.least(F.lit(interval), F.col("n") - window * interval)
-    with_windows = (
-        lengths.select(*SERIES, "n", F.explode(F.sequence(F.lit(0).cast("long"), _last_window(interval))).alias("window_idx"))
-        .select(*SERIES, segment_index(F.floor(window * interval + size / 2), segment_len).alias("segment_idx"))
-        .distinct()
-    )
-    aggregated = (
-        lengths.select(*SERIES, F.explode(present).alias("segment_idx"))
-        .join(with_windows, [*SERIES, "segment_idx"], "left_anti")
-        .withColumn("series", F.lit("aggregated"))
+    start, n = F.col("segment_idx") * segment_len, F.col("n")
+    end = start + segment_len
+    has_raw = F.least(n, F.col("max_seq") - 1, end - 1) >= F.greatest(start, F.lit(1))
+    # Midpoints are halves, so everything is doubled. The first full window at or after the start:
+    first = F.greatest(F.lit(0), F.ceil((2 * start - interval) / (2 * interval)))
+    full = (first < window_index(n + 1, interval)) & ((2 * first + 1) * interval < 2 * end)
+    rest = n % interval
+    tail_mid = 2 * n - rest
+    tail = (rest > 0) & (tail_mid >= 2 * start) & (tail_mid < 2 * end)
+    missing = F.when(~has_raw, "raw")
+    if aggregate:
+        missing = missing.when(~(full | tail), "aggregated")
+    return (
+        explode_range(lengths, last_segment, "segment_idx")
+        .select(*SERIES, "segment_idx", missing.alias("series"))
+        .where("series IS NOT NULL")
     )
-    return raw.unionByName(aggregated)
-
-
-def _last_window(interval: int):
-    return segment_index(F.col("n") - 1, interval)

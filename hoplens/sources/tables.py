@@ -7,7 +7,7 @@ from hoplens.schema import SAMPLES
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Canonical samples stored as Parquet. Positions are stored with them, so nothing is numbered again."""
-    return spark.read.schema(SAMPLES).parquet(path)
+    return spark.read.schema(SAMPLES).parquet(path).select(*SAMPLES.names)
 
 
 def events_as_samples(events: DataFrame, target: Column, run_id: str = "events") -> DataFrame:

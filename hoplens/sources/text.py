@@ -8,7 +8,7 @@ hold any number of part files. The second allows targets with characters that fi
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hoplens.functions.parsing import parse_lines, run_from_path, target_from_name
+from hoplens.functions.parsing import decoded_path, parse_lines, run_from_path, target_from_path
 from hoplens.schema import SERIES, TEXT_SAMPLES
 
 RESULT_FILES = "ping_results_*.txt"
@@ -17,7 +17,7 @@ RESULT_FILES = "ping_results_*.txt"
 def scan_runs(spark: SparkSession, *folders: str) -> DataFrame:
     """Samples of all result files directly in the given run folders; patterns such as ``…/results_*`` work."""
     lines = spark.read.option("pathGlobFilter", RESULT_FILES).text(list(folders))
-    return _number(_named_lines(lines), one_file_per_series=True)
+    return _named_samples(lines, one_file_per_series=True)
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +28,7 @@ def scan_file(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], TEXT_SAMPLES)
-    return _number(_named_lines(lines), one_file_per_series=False)
+    return _named_samples(lines, one_file_per_series=False)
 
 
 def scan_partitioned(spark: SparkSession, root: str, where: str | Column | None = None) -> DataFrame:
@@ -36,14 +36,7 @@ def scan_partitioned(spark: SparkSession, root: str, where: str | Column | None
     lines = spark.read.schema("value string, run_id string, target string").text(root)
     if where is not None:
         lines = lines.where(where)
-    return _number(
-        lines.select(
-            *SERIES,
-            "value",
-            *_place(),
-        ),
-        one_file_per_series=False,
-    )
+    return _number(lines.select(*SERIES, "value", *_place()), one_file_per_series=False).drop("_file")
 
 
 def list_result_files(spark: SparkSession, *folders: str) -> DataFrame:
@@ -51,7 +44,7 @@ def list_result_files(spark: SparkSession, *folders: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", RESULT_FILES).load(list(folders))
     return files.select(
         run_from_path(F.col("path")).alias("run_id"),
-        target_from_name(F.element_at(F.split("path", "/"), -1)).alias("target"),
+        target_from_path(F.col("path")).alias("target"),
         "length",
     )
 
@@ -61,25 +54,18 @@ def empty_result_files(spark: SparkSession, *folders: str) -> DataFrame:
     return list_result_files(spark, *folders).where("length = 0").select(*SERIES)
 
 
-def _named_lines(lines: DataFrame) -> DataFrame:
-    name = F.col("_metadata.file_name")
-    return lines.select(
-        run_from_path(F.col("_metadata.file_path")).alias("run_id"),
-        F.coalesce(target_from_name(name), F.lit("")).alias("target"),
-        "value",
-        *_place(),
+def _named_samples(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
+    """Samples whose run and target are in the path. They are taken from it last, so the shuffle carries one text."""
+    numbered = _number(lines.select("value", *_place()), one_file_per_series)
+    path = decoded_path(F.col("_file"))
+    return numbered.select(
+        run_from_path(path).alias("run_id"), target_from_path(path).alias("target"), "seq", "latency_ms", "malformed"
     )
 
 
 def _place() -> list[Column]:
-    """Where a line comes from: its file, the split of the file, and its order within the task that reads the split.
-
-    Part files of one write are numbered in the order of their content.
-    """
-    name = F.col("_metadata.file_name")
+    """Where a line comes from: its file, the split of the file, and its order within the task that reads the split."""
     return [
-        F.regexp_extract(name, r"^part-([0-9]+)", 1).try_cast("long").alias("_part"),
-        F.regexp_extract(name, r"-c([0-9]+)", 1).try_cast("long").alias("_piece"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_size").alias("_size"),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -88,20 +74,28 @@ def _place() -> list[Column]:
 
 
 def _number(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
-    """Number the lines of each series over all its files and splits.
+    """Number the lines of each series over all its splits and, unless it is one file, all files of its folder.
 
     A task ranks one split, whose size the reader bounds, never a whole series. The lines of earlier splits are counted and
-    added. Both steps are keyed by file and split, so the lines are shuffled once. Where a series is one file,
-    only files large enough to be split are counted.
+    added. Both steps are keyed by file and split, so the lines are shuffled once, already parsed. Where a series is
+    one file, only files large enough to be split are counted.
     """
     split = ["_file", "_split"]
     counted = lines
     if one_file_per_series:
         counted = counted.where(F.col("_size") > _smallest_split(lines.sparkSession))
-    earlier = Window.partitionBy(*SERIES).orderBy("_part", "_piece", *split).rowsBetween(Window.unboundedPreceding, -1)
+        series, file_order = F.col("_file"), []
+    else:
+        # Part files of one write are numbered in the order of their content.
+        series = F.regexp_extract("_file", "^(.*)/", 1)
+        file_order = [
+            F.regexp_extract("_file", pattern, 1).try_cast("long")
+            for pattern in (r"/part-([0-9]+)[^/]*\z", r"/part-[^/]*-c([0-9]+)[^/]*\z")
+        ]
+    earlier = Window.partitionBy(series).orderBy(*file_order, *split).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         counted.groupBy(*split)
-        .agg(*[F.first(name).alias(name) for name in (*SERIES, "_part", "_piece")], F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_n"))
         .select(*split, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     rank = F.row_number().over(Window.partitionBy(*split).orderBy("_line"))
@@ -110,7 +104,8 @@ def _number(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
         .withColumn("_rank", rank)
         .join(starts, split, "left")
         .select(
-            *SERIES,
+            *[name for name in lines.columns if name in SERIES],
+            "_file",
             (F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("long").alias("seq"),
             "latency_ms",
             "malformed",

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from hoplens.functions.parsing import parse_lines, run_from_path, target_from_name
+from hoplens.functions.parsing import decoded_path, parse_lines, run_from_path, target_from_path
 from hoplens.schema import EVENTS, SAMPLES, SERIES
 from hoplens.session import scratch_path
 from hoplens.sources.text import RESULT_FILES
@@ -25,14 +25,13 @@ def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     return _files(spark, max_files).schema(EVENTS).parquet(path)
 
 
-def result_stream(spark: SparkSession, *, folders: str, max_files: int | None = None) -> DataFrame:
+def result_stream(spark: SparkSession, folders: str, max_files: int | None = None) -> DataFrame:
     """Lines of result files as they land in run folders. A stream of lines carries no positions."""
+    path = decoded_path(F.col("_metadata.file_path"))
     lines = _files(spark, max_files).option("pathGlobFilter", RESULT_FILES).text(folders)
     return parse_lines(
         lines.select(
-            run_from_path(F.col("_metadata.file_path")).alias("run_id"),
-            F.coalesce(target_from_name(F.col("_metadata.file_name")), F.lit("")).alias("target"),
-            "value",
+            run_from_path(path).alias("run_id"), target_from_path(path).alias("target"), "value"
         )
     )
 

@@ -1,0 +1,150 @@
+"""The expected results worked out in plain Python, for small inputs.
+
+A data set is ``{run: {target: [latency or None, …]}}``.
+"""
+
+import math
+import random
+
+NAN = float("nan")
+
+
+def to_rows(data):
+    return [
+        (run, target, seq, None if latency is None else float(latency))
+        for run, by_target in data.items()
+        for target, series in by_target.items()
+        for seq, latency in enumerate(series, 1)
+    ]
+
+
+def frame(spark, data, partitions=3):
+    """The data set as shuffled samples."""
+    rows = to_rows(data)
+    random.Random(7).shuffle(rows)
+    return spark.createDataFrame(rows, "run_id string, target string, seq bigint, latency_ms double").repartition(partitions)
+
+
+def random_data(seed, runs=2, targets=4, longest=90, nan=0.05, lost=0.2):
+    rng = random.Random(seed)
+
+    def latency():
+        roll = rng.random()
+        if roll < nan:
+            return NAN
+        return None if roll < nan + lost else round(rng.choice([rng.uniform(0, 90), rng.uniform(90, 1200)]), 2)
+
+    data = {}
+    for run in range(runs):
+        lengths = [rng.randint(1, longest) for _ in range(targets)]
+        data[f"run{run}"] = {f"host{n}": [latency() for _ in range(length)] for n, length in enumerate(lengths)}
+    return data
+
+
+def missing(x):
+    return x is None or math.isnan(x)
+
+
+def each(data):
+    for run, by_target in data.items():
+        for target, series in by_target.items():
+            yield run, target, series
+
+
+def longest(data):
+    return {run: max(map(len, by_target.values())) for run, by_target in data.items()}
+
+
+def windows(data, interval, repair=True):
+    out = {}
+    for run, target, series in each(data):
+        for number, start in enumerate(range(0, len(series), interval)):
+            part = series[start : start + interval]
+            here = [x for x in part if x is not None]
+            mean = math.fsum(here) / len(here) if here and not any(map(math.isnan, here)) else 0.0
+            if not repair and any(map(math.isnan, here)):
+                mean = NAN
+            gone = len(part) - len(here)
+            out[run, target, number] = (start + len(part) / 2, len(part), gone, mean, 100 * gone / len(part))
+    return out
+
+
+def summary(data):
+    out = {}
+    for run, target, series in each(data):
+        here = [x for x in series if not missing(x)]
+        stats = (math.fsum(here) / len(here), min(here), max(here)) if here else (None, None, None)
+        out[run, target] = (len(series), len(here), 100 * (len(series) - len(here)) / len(series), *stats)
+    return out
+
+
+def ping(x):
+    return 800.0 if missing(x) else min(x, 800.0)
+
+
+def spans(data, run, segment_len):
+    """(start, end) of each segment of a run."""
+    end = longest(data)[run]
+    length = segment_len or end
+    return [(start, min(start + length, end)) for start in range(0, end, length)]
+
+
+def raw(data, segment_len):
+    return {
+        (run, target, number, seq): ping(series[seq - 1])
+        for run, target, series in each(data)
+        for number, (start, end) in enumerate(spans(data, run, segment_len))
+        for seq in range(max(start, 1), min(end, len(series) + 1))
+    }
+
+
+def agg(data, segment_len, interval):
+    """Keys of the windows shown in each segment."""
+    shown = {key[:3] for key in raw(data, segment_len)}
+    return {
+        (run, target, number, window)
+        for (run, target, window), (mid, *_) in windows(data, interval).items()
+        for number, (start, end) in enumerate(spans(data, run, segment_len))
+        if start <= mid < end and (run, target, number) in shown
+    }
+
+
+def empty(data, segment_len, interval):
+    with_raw = {key[:3] for key in raw(data, segment_len)}
+    with_agg = {key[:3] for key in agg(data, segment_len, interval)}
+    every = {
+        (run, target, number)
+        for run, target, _ in each(data)
+        for number in range(len(spans(data, run, segment_len)))
+    }
+    return {(*key, "raw") for key in every - with_raw} | {(*key, "aggregated") for key in with_raw - with_agg}
+
+
+def high_regions(data, segment_len, threshold, by_target=False):
+    times = {}
+    for (run, target, number, seq), value in raw(data, segment_len).items():
+        if value > threshold:
+            times.setdefault((run, target, number) if by_target else (run, number), set()).add(seq)
+    return {
+        (*key, first, last)
+        for key, group in times.items()
+        for first in group
+        if first - 1 not in group
+        for last in [next(t for t in range(first, first + len(group) + 1) if t + 1 not in group)]
+    }
+
+
+def rolling(data, size):
+    out = {}
+    for run, target, series in each(data):
+        values = [0.0] * size + [0.0 if missing(x) else x for x in series]
+        for seq in range(1, len(series) + 1):
+            out[run, target, seq] = max(values[seq : seq + size])
+    return out
+
+
+def buffer(data, size):
+    return {
+        (run, target): ([0.0] * size + [0.0 if missing(x) else x for x in series])[-size:]
+        for run, target, series in each(data)
+    }

@@ -1,0 +1,26 @@
+"""Every registered query against its SQL."""
+
+import check
+import pytest
+
+import __spark_entry__ as entry
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return check.connect(SF_DIR)
+
+
+def test_every_query_has_sql():
+    assert entry.queries().keys() == entry.oracle_sql().keys()
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", entry.queries())
+def test_query(spark, connection, name):
+    assert check.difference(spark, connection, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None

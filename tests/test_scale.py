@@ -1,0 +1,120 @@
+"""Long series, ties, hot keys, and the shape of plans."""
+
+import random
+
+import model
+import pytest
+from pyspark.sql import functions as F
+
+from hoplens.operators import live, regions, segments, windows
+from hoplens.operators.extent import measure
+from hoplens.operators.numbering import with_seq
+from hoplens.operators.summary import target_summary
+from hoplens.schema import SAMPLES
+from hoplens.session import scratch_path, shared_folder
+from hoplens.sources.sinks import write_samples
+from hoplens.sources.tables import read_samples
+
+
+def unnumbered(spark, lengths, clash=1):
+    """Rows of each series with ``clash`` rows per time stamp, shuffled."""
+    rows = [(f"r{n % 2}", f"h{n}", i // clash, i) for n, length in enumerate(lengths) for i in range(length)]
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, "run_id string, target string, ts bigint, event_id bigint").repartition(5)
+
+
+@pytest.mark.parametrize("rows_per_task", [10_000, 200, 7])
+@pytest.mark.parametrize("clash", [1, 50])
+def test_numbering(spark, rows_per_task, clash):
+    """One series holds most rows; with clashes most of its time stamps repeat."""
+    samples = unnumbered(spark, [1200, 30, 1, 300, 7], clash)
+    got = with_seq(samples, ["ts", "event_id"], rows_per_task=rows_per_task)
+    assert got.columns == [*samples.columns, "seq"]
+    assert got.count() == 1538 and got.where("seq <> event_id + 1").count() == 0
+
+
+def test_numbering_copies(spark):
+    """A third of all rows are copies of one; they spread over tasks and still get distinct positions."""
+    rows = unnumbered(spark, [400]).unionByName(
+        spark.range(200).select(F.lit("r0").alias("run_id"), F.lit("h0").alias("target"), F.lit(100).cast("long").alias("ts"), F.lit(100).cast("long").alias("event_id"))
+    )
+    got = with_seq(rows, ["ts", "event_id"], rows_per_task=20)
+    assert sorted(row.seq for row in got.collect()) == list(range(1, 601))
+    late = got.where("event_id > 100").collect()
+    assert all(row.seq == row.event_id + 201 for row in late)
+
+
+def executed(frame) -> str:
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def planned(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    path = scratch_path(spark, "stored")
+    samples = model.frame(spark, model.random_data(4, runs=2, targets=6)).withColumn("ts", F.lit(None).cast("timestamp"))
+    write_samples(samples.withColumn("malformed", F.lit(False)), path)
+    return read_samples(spark, path)
+
+
+def test_stored_samples_keep_everything(spark, stored):
+    assert stored.schema == SAMPLES
+    data = model.random_data(4, runs=2, targets=6)
+    assert {tuple(r) for r in stored.select("run_id", "target", "seq").collect()} == {row[:3] for row in model.to_rows(data)}
+
+
+def test_aggregates_shuffle_once_and_combine_first(stored):
+    for frame in (windows.window_agg(stored), target_summary(stored)):
+        plan = planned(frame)
+        assert plan.count("Exchange") == 1 and "partial_avg" in plan
+
+
+def test_summary_reads_needed_columns_only(stored):
+    assert "ReadSchema: struct<target:string,latency_ms:double>" in planned(target_summary(stored))
+
+
+def test_filters_reach_the_scan(stored):
+    plan = planned(windows.window_head(stored.where("run_id = 'run0' AND target = 'host1'")))
+    assert "PartitionFilters: [isnotnull(run_id" in plan and "EqualTo(target,host1)" in plan
+    assert "LessThanOrEqual(seq,300)" in plan
+
+
+def test_tail_drops_rows_before_the_shuffle(stored):
+    plan = planned(live.live_status(stored))
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+    assert plan.count("Exchange") == 1
+
+
+def test_numbering_then_operators_shuffle_once(spark):
+    samples = unnumbered(spark, [50, 60]).withColumn("latency_ms", F.col("event_id") * 1.0)
+    extent = measure(samples)
+    numbered = with_seq(samples, ["ts", "event_id"], extent)
+    for frame in (windows.window_agg(numbered), live.rolling_max(numbered), windows.y_limit(numbered)):
+        # The other exchange is the repartition of the input.
+        assert planned(frame).count("Exchange hashpartitioning(run_id") == 1
+    lengths = planned(segments.series_lengths(numbered))
+    assert "Window" not in lengths
+
+
+def test_no_cross_joins(stored):
+    extent = measure(stored)
+    for length in (3600, None):
+        high = regions.high_latency(stored, 90.0, length, extent)
+        for frame in (
+            regions.pad_regions(regions.regions(high, length), length),
+            regions.samples_in_regions(stored, 90.0, length, extent),
+            segments.segment_agg(windows.window_agg(stored), extent, length),
+        ):
+            plan = planned(frame)
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_shared_folder_is_the_configured_one(spark, conf):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
+    assert named is None or folder == named
+    assert scratch_path(spark, "a") != scratch_path(spark, "a") and scratch_path(spark, "a").startswith(folder)
