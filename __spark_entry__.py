@@ -19,7 +19,7 @@ from hoplens.plans.report import analyse, write_report
 from hoplens.session import scratch_path
 from hoplens.settings import Settings
 from hoplens.sources.sinks import read_segments, write_text
-from hoplens.sources.tables import EVENT_ORDER, events_as_samples
+from hoplens.sources.tables import EVENT_ORDER, events_as_samples, read_events
 from hoplens.sources.text import scan_file, scan_partitioned
 from hoplens.streaming import operators as live_streams, streams
 
@@ -38,7 +38,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return read_events(spark, f"{sf_dir}/events.parquet")
 
 
 def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def _b(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Extent]:
     return _numbered(_by_three(spark, sf_dir))
 
 
+def _in_order(samples: DataFrame) -> DataFrame:
+    return with_seq(samples, EVENT_ORDER)
+
+
 def _twice(samples: DataFrame) -> DataFrame:
     """Latencies doubled, so that some lie above the 800 ms cap."""
     return samples.withColumn("latency_ms", F.col("latency_ms") * 2)
@@ -100,17 +104,17 @@ def _windows(frame: DataFrame) -> DataFrame:
 
 
 def window_agg_60(spark, sf_dir):
-    samples, _ = _b(spark, sf_dir)
+    samples = _in_order(_by_three(spark, sf_dir))
     return _windows(windows.window_agg(samples))
 
 
 def window_agg_10(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return _windows(windows.window_agg(samples, INTERVAL))
 
 
 def window_agg_repair(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     with_nan = samples.withColumn(
         "latency_ms", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("latency_ms"))
     )
@@ -118,17 +122,17 @@ def window_agg_repair(spark, sf_dir):
 
 
 def all_lost_windows(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return _windows(windows.all_lost_windows(windows.window_agg(samples, 3)))
 
 
 def window_head(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return _windows(windows.window_head(samples, INTERVAL))
 
 
 def agg_gate(spark, sf_dir):
-    samples, _ = _b(spark, sf_dir)
+    samples = _in_order(_by_three(spark, sf_dir))
     gated = [
         windows.gated_window_agg(samples, Settings(duration=duration).aggregate).withColumn("duration", F.lit(duration))
         for duration in (59, 60)
@@ -137,7 +141,7 @@ def agg_gate(spark, sf_dir):
 
 
 def y_limit(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return windows.y_limit(_twice(samples), INTERVAL).select("target", _round9("y_max"))
 
 
@@ -167,7 +171,7 @@ def malformed_audit(spark, sf_dir):
 
 
 def sample_index(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return samples.select("target", "event_id", "seq")
 
 
@@ -184,17 +188,17 @@ def query_display_value(spark, sf_dir):
 
 
 def query_health_band(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return live.rolling_max(samples).select("target", "seq", health_band(F.col("window_max")).alias("band"))
 
 
 def query_live_scale(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return live.rolling_max(samples).select("target", "seq", live_scale(F.col("window_max")).alias("scale_max"))
 
 
 def query_segment_index(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return samples.select("target", "seq", segment_index(F.col("seq"), SEGMENT).alias("segment_idx"))
 
 
@@ -319,22 +323,22 @@ def samples_in_regions(spark, sf_dir):
 
 
 def rolling_max_30(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return live.rolling_max(samples).drop("run_id")
 
 
 def rolling_buffer(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return live.rolling_buffer(samples).select("target", F.posexplode("buffer").alias("slot", "live_ms"))
 
 
 def live_status(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return live.live_status(samples).drop("run_id")
 
 
 def tail_n(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     return live.tail_n(samples).select("target", "seq", "event_id", "latency_ms")
 
 
@@ -342,7 +346,7 @@ def tail_n(spark, sf_dir):
 
 
 def silent_targets(spark, sf_dir):
-    expected = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("target"))
+    expected = spark.read.schema("c_custkey bigint").parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("target"))
     return hosts.silent_targets(expected, _by_user(spark, sf_dir))
 
 
@@ -361,7 +365,7 @@ def valid_targets(spark, sf_dir):
     target = F.lit("host name")
     for number, address in enumerate(text):
         target = F.when(kind == number, address).otherwise(target)
-    table = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", target.alias("target"))
+    table = spark.read.schema("c_custkey bigint").parquet(f"{sf_dir}/customer.parquet").select("c_custkey", target.alias("target"))
     return hosts.valid_targets(table)
 
 
@@ -369,21 +373,21 @@ def valid_targets(spark, sf_dir):
 
 
 def scan_runs(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     path = scratch_path(spark, "runs")
     write_text(samples, path)
     return scan_partitioned(spark, path)
 
 
 def query_scan_file(spark, sf_dir):
-    samples, _ = _numbered(events_as_samples(_events(spark, sf_dir), F.lit("all")))
+    samples = _in_order(events_as_samples(_events(spark, sf_dir), F.lit("all")))
     path = scratch_path(spark, "file")
     write_text(samples, path)
     return scan_file(spark, f"{path}/run_id=events/target=all").select("seq", "latency_ms", "malformed")
 
 
 def sink_text_roundtrip(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     path = scratch_path(spark, "text")
     write_text(samples, path)
     lines = spark.read.schema("value string, run_id string, target string").text(path)
@@ -415,7 +419,7 @@ def _stored(spark: SparkSession, stream: DataFrame, name: str, start=streams.sto
 
 
 def stream_samples(spark, sf_dir):
-    samples, _ = _a(spark, sf_dir)
+    samples = _in_order(_by_user(spark, sf_dir))
     landing = scratch_path(spark, "landing")
     write_text(samples, landing)
     return _stored(spark, streams.partitioned_stream(spark, landing), "samples").drop("run_id")

@@ -1,6 +1,7 @@
 """The size of a samples table, measured once, so that plans are chosen by size and not by hope."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,8 +18,15 @@ class Extent:
     rows: int  # number of samples
     longest: int  # samples in the longest series
     times: int  # sum over runs of the longest series: bounds the distinct (run, seq) pairs
-    by_run: DataFrame  # run_id, max_seq
+    per_run: DataFrame = field(repr=False)  # run_id, max_seq
+    known: tuple | None = field(default=None, repr=False)  # the rows of per_run, if there are few
 
+    @cached_property
+    def by_run(self) -> DataFrame:
+        """Length of the longest series of each run; broadcast if its counted rows are few."""
+        if self.known is None:
+            return self.per_run
+        return F.broadcast(self.per_run.sparkSession.createDataFrame(self.known, "run_id string, max_seq bigint"))
 
     def with_max_seq(self, rows: DataFrame) -> DataFrame:
         """Add the length of the longest series of the row's run; a single run needs no join."""
@@ -38,22 +46,21 @@ def max_duration(samples: DataFrame) -> DataFrame:
 
 
 def measure(samples: DataFrame, max_runs: int = MAX_RUNS_ON_DRIVER) -> Extent:
-    """Runs one narrow job. The per-run table is broadcast only when its counted rows allow it."""
+    """Runs one narrow job, and a second one only if there are more than ``max_runs`` runs."""
     per_run = series_lengths(samples).groupBy("run_id").agg(
         F.max("n").alias("max_seq"), F.count("*").alias("series"), F.sum("n").alias("rows")
     )
+    maxima = per_run.select("run_id", "max_seq")
     found = per_run.limit(max_runs + 1).collect()
     if len(found) <= max_runs:
-        spark = samples.sparkSession
-        known = [(r.run_id, r.max_seq) for r in found]
-        by_run = F.broadcast(spark.createDataFrame(known, "run_id string, max_seq bigint"))
         return Extent(
             runs=len(found),
-            series=sum(r.series for r in found),
-            rows=sum(r["rows"] for r in found),
-            longest=max((r.max_seq for r in found), default=0),
-            times=sum(r.max_seq for r in found),
-            by_run=by_run,
+            series=sum(run.series for run in found),
+            rows=sum(run["rows"] for run in found),
+            longest=max((run.max_seq for run in found), default=0),
+            times=sum(run.max_seq for run in found),
+            per_run=maxima,
+            known=tuple((run.run_id, run.max_seq) for run in found),
         )
     total = per_run.agg(
         F.count("*").alias("runs"),
@@ -62,4 +69,4 @@ def measure(samples: DataFrame, max_runs: int = MAX_RUNS_ON_DRIVER) -> Extent:
         F.max("max_seq").alias("longest"),
         F.sum("max_seq").alias("times"),
     ).first()
-    return Extent(**total.asDict(), by_run=per_run.select("run_id", "max_seq"))
+    return Extent(**total.asDict(), per_run=maxima)

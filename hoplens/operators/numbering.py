@@ -23,10 +23,12 @@ def with_seq(
 
     A series that fits one task is numbered by a plain window, with a single shuffle by series. Where the measured
     extent shows longer ones, a window would put each of them whole into one task, so their rows are split off and
-    cut by range of the full sort key instead.
+    cut by range of the full sort key instead. Without a given extent, the rows of the whole table are
+    counted first, which for files reads no column; no series is longer than that.
     """
-    extent = extent or measure(samples)
-    if extent.longest <= rows_per_task:
+    if extent is None and samples.count() > rows_per_task:
+        extent = measure(samples)
+    if extent is None or extent.longest <= rows_per_task:
         return _number_whole(samples, order)
     parts = ceil(extent.rows / rows_per_task)
     long_series = series_lengths(samples).where(F.col("n") > rows_per_task).select(*SERIES)

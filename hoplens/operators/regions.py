@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hoplens.operators.extent import Extent, measure
+from hoplens.operators.extent import MAX_RUNS_ON_DRIVER, Extent, measure
 from hoplens.operators.segments import segment_raw
 from hoplens.schema import SERIES
 from hoplens.settings import SEGMENT_SECONDS
@@ -88,13 +88,21 @@ def regions(
     )
 
 
-def pad_regions(found: DataFrame, segment_len: int | None = SEGMENT_SECONDS, block: int = BLOCK) -> DataFrame:
+def pad_regions(
+    found: DataFrame,
+    segment_len: int | None = SEGMENT_SECONDS,
+    extent: Extent | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
     """Regions widened by half a position on both sides, with a mark on the first of each segment."""
     if segment_len is not None and segment_len <= block:
         first = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("start_s")) == 1
         marked = found.withColumn("is_first", first)
     else:
         firsts = found.groupBy(*SEGMENT).agg(F.min("start_s").alias("_first"))
+        # Without segmentation this has one row per run.
+        if segment_len is None and extent is not None and extent.runs <= MAX_RUNS_ON_DRIVER:
+            firsts = F.broadcast(firsts)
         marked = found.join(firsts, SEGMENT).withColumn("is_first", F.col("start_s") == F.col("_first")).drop("_first")
     return marked.withColumn("pad_start", F.col("start_s") - 0.5).withColumn("pad_end", F.col("end_s") + 0.5)
 

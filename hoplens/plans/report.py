@@ -21,6 +21,7 @@ class Report(NamedTuple):
     y_limits: DataFrame
     summary: DataFrame
     summary_text: DataFrame
+    segment_count: int  # upper bound
 
 
 def analyse(samples: DataFrame, settings: Settings = Settings(), extent: Extent | None = None) -> Report:
@@ -33,14 +34,15 @@ def analyse(samples: DataFrame, settings: Settings = Settings(), extent: Extent
         segments=segment_titles(segment_table(extent, length)),
         raw_series=segment_raw(samples, length, extent),
         agg_series=segment_agg(gated_window_agg(samples, settings.aggregate), extent, length),
-        regions=pad_regions(regions(high, length), length),
+        regions=pad_regions(regions(high, length), length, extent),
         y_limits=y_limit(samples, aggregate=settings.aggregate),
         summary=summary,
         summary_text=summary_display(summary),
+        segment_count=extent.runs + (0 if length is None else extent.times // length),
     )
 
 
 def write_report(report: Report, path: str) -> None:
     """Store the parts of a report that belong to a segment, each in its own folder under ``path``."""
     for name in ("segments", "raw_series", "agg_series", "regions"):
-        write_segments(getattr(report, name), f"{path}/{name}")
+        write_segments(getattr(report, name), f"{path}/{name}", report.segment_count)

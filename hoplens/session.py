@@ -17,6 +17,7 @@ def local_session(app: str = "hoplens", cores: str = "*", shuffle_partitions: in
         .config("spark.driver.memory", "8g")
         .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

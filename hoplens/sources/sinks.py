@@ -1,10 +1,13 @@
 """Sinks for samples and for the outputs of an analysis."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from hoplens.functions.series import measured
 from hoplens.schema import SERIES
 
+MAX_SEGMENT_FOLDERS = 10_000
+
 
 def write_text(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Write samples as result lines under ``run_id=…/target=…``, in the order of ``seq``.
@@ -34,12 +37,18 @@ def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def write_segments(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Store an output by run and segment. Rebalancing keeps small segments in few files and splits large ones."""
+def write_segments(rows: DataFrame, path: str, segments: int, mode: str = "append") -> None:
+    """Store an output by run and segment. Rebalancing keeps small segments in few files and splits large ones.
+
+    A segment is a folder unless ``segments`` says that there are too many. Then only runs are folders and rows are
+    sorted, so that a filter on the segment skips row groups instead.
+    """
     keys = ["run_id", "segment_idx"]
-    rows.hint("rebalance", *keys).write.partitionBy(*keys).mode(mode).parquet(path)
+    folders = keys if segments <= MAX_SEGMENT_FOLDERS else keys[:1]
+    together = rows.hint("rebalance", *keys).sortWithinPartitions(*keys)
+    together.write.partitionBy(*folders).mode(mode).parquet(path)
 
 
-def read_segments(spark, path: str, schema: str) -> DataFrame:
-    """Read an output of ``write_segments`` back; filters on run and segment prune folders."""
+def read_segments(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Read an output of ``write_segments`` back; filters on run and segment prune folders or row groups."""
     return spark.read.schema(schema).parquet(path)

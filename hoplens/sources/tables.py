@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hoplens.schema import SAMPLES
+from hoplens.schema import EVENTS, SAMPLES
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -10,6 +10,11 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLES).parquet(path).select(*SAMPLES.names)
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events by their declared schema, so that no job reads file footers to find one out."""
+    return spark.read.schema(EVENTS).parquet(path)
+
+
 def events_as_samples(events: DataFrame, target: Column, run_id: str = "events") -> DataFrame:
     """Events as probes: an ``error`` is a lost one, any other event's value is a latency.
 

@@ -39,21 +39,6 @@ def scan_partitioned(spark: SparkSession, root: str, where: str | Column | None
     return _number(lines.select(*SERIES, "value", *_place()), one_file_per_series=False).drop("_file")
 
 
-def list_result_files(spark: SparkSession, *folders: str) -> DataFrame:
-    """Result files with their size. The content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", RESULT_FILES).load(list(folders))
-    return files.select(
-        run_from_path(F.col("path")).alias("run_id"),
-        target_from_path(F.col("path")).alias("target"),
-        "length",
-    )
-
-
-def empty_result_files(spark: SparkSession, *folders: str) -> DataFrame:
-    """Targets whose file holds no samples and which the scan therefore does not return."""
-    return list_result_files(spark, *folders).where("length = 0").select(*SERIES)
-
-
 def _named_samples(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
     """Samples whose run and target are in the path. They are taken from it last, so the shuffle carries one text."""
     numbered = _number(lines.select("value", *_place()), one_file_per_series)

@@ -190,7 +190,7 @@ def test_regions(spark, data, segment_len, block):
     assert {tuple(row) for row in found.collect()} == want and found.count() == len(want)
     single = regions.regions(high, segment_len, by_target=True, block=block)
     assert {tuple(row) for row in single.collect()} == model.high_regions(data, segment_len, 90, by_target=True)
-    padded = regions.pad_regions(found, segment_len, block).collect()
+    padded = regions.pad_regions(found, segment_len, extent, block).collect()
     assert {(row.pad_start + 0.5, row.pad_end - 0.5) for row in padded} == {region[-2:] for region in want}
     firsts = {(run, k): min(r[2] for r in want if r[:2] == (run, k)) for run, k, *_ in want}
     assert {tuple(row)[:3] for row in padded if row.is_first} == {(*key, start) for key, start in firsts.items()}

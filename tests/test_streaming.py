@@ -69,7 +69,7 @@ def test_summary_of_a_stream_with_updates(spark, tmp_path):
 
 
 def test_time_windows_drop_late_rows(spark, tmp_path):
-    rows = [[(0, 10.0), (5, None), (14, 30.0)], [(40, 1.0)], [(3, 99.0), (41, 2.0)], [(90, 5.0)]]
+    rows = [[(0, 10.0), (5, None), (14, 30.0)], [(40, 1.0)], [(41, 2.0)], [(3, 99.0)], [(90, 5.0)]]
     for batch in rows:
         part = [("r", "h", 0, START + dt.timedelta(minutes=minute), latency, False) for minute, latency in batch]
         frame = spark.createDataFrame(part, "run_id string, target string, seq bigint, ts timestamp, latency_ms double, malformed boolean")

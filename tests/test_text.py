@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from hoplens.functions.parsing import parse_lines
 from hoplens.operators.extent import measure
+from hoplens.operators.hosts import silent_targets
 from hoplens.plans.report import analyse, write_report
 from hoplens.schema import TEXT_SAMPLES
+from hoplens.sources import sinks
 from hoplens.sources.sinks import read_segments, write_text
-from hoplens.sources.text import empty_result_files, list_result_files, scan_file, scan_partitioned, scan_runs
+from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
 
 
 @pytest.fixture
@@ -48,9 +50,10 @@ def test_scan_runs(spark, root):
     assert series(scan_runs(spark, f"{root}/results_{FIRST}")).keys() == {(FIRST, "8.8.8.8"), (FIRST, "crlf host+%")}
 
 
-def test_result_files(spark, root):
-    assert {tuple(row) for row in empty_result_files(spark, f"{root}/results_*").collect()} == {(FIRST, "empty")}
-    assert list_result_files(spark, f"{root}/results_*").count() == 4
+def test_empty_files_are_silent_targets(spark, root):
+    expected = spark.createDataFrame([("8.8.8.8",), ("empty",)], "target string")
+    silent = silent_targets(expected, scan_runs(spark, f"{root}/results_*"))
+    assert [row.target for row in silent.collect()] == ["empty"]
 
 
 def test_scan_file(spark, root):
@@ -101,13 +104,16 @@ def test_text_round_trip(spark, conf, tmp_path):
     assert part.where("latency_ms <> seq - 1").isEmpty() and part.count() == 500
 
 
-def test_report_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("folders", [10_000, 0])
+def test_report_round_trip(spark, tmp_path, monkeypatch, folders):
+    monkeypatch.setattr(sinks, "MAX_SEGMENT_FOLDERS", folders)
     samples = model.frame(spark, model.random_data(10))
     report = analyse(samples)
     write_report(report, str(tmp_path))
     for name in ("segments", "raw_series", "agg_series", "regions"):
         want = getattr(report, name)
         back = read_segments(spark, f"{tmp_path}/{name}", want.schema)
+        assert (tmp_path / name / "run_id=run0" / "segment_idx=0").exists() is (folders > 0)
         assert back.select(want.columns).exceptAll(want).isEmpty() and back.count() == want.count()
 
 
