@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hoplens.operators.extent import Extent, measure, series_lengths
 from hoplens.schema import SERIES
-from hoplens.session import shared_folder
+from hoplens.session import scratch_path
 
 # One task numbers at most about this many rows, whatever the length of a series. They are sorted, so they may spill.
-ROWS_PER_TASK = 10_000_000
+ROWS_PER_TASK = 8_000_000
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -49,19 +49,23 @@ def _number_by_range(samples: DataFrame, order: list[str], parts: int) -> DataFr
     """Sort rows into even ranges, then add to each local position what lies in earlier ranges.
 
     The tie breaker keeps even a great many copies of one row from landing in one range. The ranges are
-    checkpointed because their bounds are sampled: both uses below must see the same cut, also after a loss of executors.
+    stored because their bounds are sampled: both uses below must see the same cut, also after a loss of executors.
+    A table in the shared folder is columnar, so later operators read only what they use of it.
     """
-    shared_folder(samples.sparkSession)
+    spark = samples.sparkSession
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = [*SERIES, *order, "_tie"]
-    ranges = (
+    cut = (
         samples.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(parts, *key)
         .sortWithinPartitions(*key)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id())
         .drop("_tie")
-        .checkpoint()
     )
+    path = scratch_path(spark, "ranges")
+    cut.write.parquet(path)
+    ranges = spark.read.schema(cut.schema).parquet(path)
     earlier = Window.partitionBy(*SERIES).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranges.groupBy(*SERIES, "_part")
