@@ -2,7 +2,7 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from hoplens.operators.extent import Extent, measure
 from hoplens.operators.regions import high_latency, pad_regions, regions
@@ -11,6 +11,7 @@ from hoplens.operators.summary import summary_display, target_summary
 from hoplens.operators.windows import gated_window_agg, y_limit
 from hoplens.settings import Settings
 from hoplens.sources.sinks import write_segments
+from hoplens.sources.text import scan_file, scan_runs
 
 
 class Report(NamedTuple):
@@ -42,6 +43,16 @@ def analyse(samples: DataFrame, settings: Settings = Settings(), extent: Extent
     )
 
 
+def analyse_runs(spark: SparkSession, *folders: str, settings: Settings = Settings()) -> Report:
+    """Analysis of run folders as they are. To analyse large ones more than once, ``ingest_runs`` them first."""
+    return analyse(scan_runs(spark, *folders), settings)
+
+
+def analyse_file(spark: SparkSession, path: str, settings: Settings = Settings()) -> Report:
+    """Analysis of a single result file; every part is empty if it does not exist."""
+    return analyse(scan_file(spark, path), settings)
+
+
 def write_report(report: Report, path: str) -> None:
     """Store the parts of a report that belong to a segment, each in its own folder under ``path``."""
     for name in ("segments", "raw_series", "agg_series", "regions"):

@@ -6,7 +6,8 @@ from hoplens.functions.parsing import parse_lines
 from hoplens.operators.extent import measure
 from hoplens.operators.hosts import silent_targets
 from hoplens.plans.report import analyse, write_report
-from hoplens.schema import TEXT_SAMPLES
+from hoplens import Settings, analyse_file, analyse_runs, ingest_runs, read_samples
+from hoplens.schema import SAMPLES, TEXT_SAMPLES
 from hoplens.sources import sinks
 from hoplens.sources.sinks import read_segments, write_text
 from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
@@ -117,6 +118,20 @@ def test_report_round_trip(spark, tmp_path, monkeypatch, folders):
         assert back.select(want.columns).exceptAll(want).isEmpty() and back.count() == want.count()
 
 
+def test_ingest_and_analyse(spark, root, tmp_path):
+    table = ingest_runs(spark, str(tmp_path / "table"), f"{root}/results_{FIRST}")
+    ingest_runs(spark, str(tmp_path / "table"), f"{root}/results_2023-10-06*")
+    assert table.columns == SAMPLES.names
+    again = read_samples(spark, str(tmp_path / "table"))
+    assert series(again) == series(scan_runs(spark, f"{root}/results_*"))
+    direct = analyse_runs(spark, f"{root}/results_*", settings=Settings(latency_threshold=24.5))
+    assert direct.summary.exceptAll(analyse(again).summary).isEmpty() and direct.summary.count() == 3
+    file = analyse_file(spark, f"{root}/results_{FIRST}/ping_results_8.8.8.8.txt", Settings(latency_threshold=24.5))
+    assert [(row.start_s, row.end_s) for row in file.regions.collect()] == [(3, 5)]
+    nothing = analyse_file(spark, f"{root}/nothing.txt")
+    assert all(frame.count() == 0 for frame in nothing[:-1])
+
+
 def test_lines_are_stripped_once(spark):
     lines = spark.createDataFrame([("1",)], "value string")
     plan = parse_lines(lines)._jdf.queryExecution().executedPlan().toString()
