@@ -36,12 +36,24 @@ def scan_partitioned(spark: SparkSession, root: str, where: str | Column | None
     lines = spark.read.schema("value string, run_id string, target string").text(root)
     if where is not None:
         lines = lines.where(where)
-    return _number(lines.select(*SERIES, "value", *_place()), one_file_per_series=False).drop("_file")
+    return _number_parts(lines.select(*SERIES, "value", *_place())).select(*TEXT_SAMPLES.names)
 
 
 def _named_samples(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
-    """Samples whose run and target are in the path. They are taken from it last, so the shuffle carries one text."""
-    numbered = _number(lines.select("value", *_place()), one_file_per_series)
+    """Samples whose run and target are in the path. They are taken from it last, so the shuffle carries one text.
+
+    Where a series is one file, files too small to be split are read apart: nothing needs counting there.
+    """
+    if one_file_per_series:
+        size, limit = F.col("_metadata.file_size"), _smallest_split(lines.sparkSession)
+        whole = _ranked(lines.where(size <= limit).select("value", *_place()))
+        cut = lines.where(size > limit).select("value", *_place())
+        columns = ["_file", "seq", "latency_ms", "malformed"]
+        numbered = whole.withColumnRenamed("_rank", "seq").select(*columns).unionByName(
+            _number(cut, F.col("_file"), []).select(*columns)
+        )
+    else:
+        numbered = _number_parts(lines.select("value", *_place()))
     path = decoded_path(F.col("_file"))
     return numbered.select(
         run_from_path(path).alias("run_id"), target_from_path(path).alias("target"), "seq", "latency_ms", "malformed"
@@ -52,49 +64,50 @@ def _place() -> list[Column]:
     """Where a line comes from: its file, the split of the file, and its order within the task that reads the split."""
     return [
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_size").alias("_size"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_line"),
     ]
 
 
-def _number(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
-    """Number the lines of each series over all its splits and, unless it is one file, all files of its folder.
+SPLIT = ["_file", "_split"]
+
+
+def _ranked(lines: DataFrame) -> DataFrame:
+    """Rank the lines of each split, parsed before the shuffle. The reader bounds the size of a split."""
+    rank = F.row_number().over(Window.partitionBy(*SPLIT).orderBy("_line"))
+    return parse_lines(lines).withColumn("_rank", rank.cast("long"))
+
+
+def _number_parts(lines: DataFrame) -> DataFrame:
+    """Number the lines of series that are folders of part files, which one write numbers in the order of their content."""
+    file_order = [
+        F.regexp_extract("_file", pattern, 1).try_cast("long")
+        for pattern in (r"/part-([0-9]+)[^/]*\z", r"/part-[^/]*-c([0-9]+)[^/]*\z")
+    ]
+    return _number(lines, F.regexp_extract("_file", "^(.*)/", 1), file_order)
+
+
+def _number(lines: DataFrame, series: Column, file_order: list[Column]) -> DataFrame:
+    """Number the lines of each series over all its splits.
 
-    A task ranks one split, whose size the reader bounds, never a whole series. The lines of earlier splits are counted and
-    added. Both steps are keyed by file and split, so the lines are shuffled once, already parsed. Where a series is
-    one file, only files large enough to be split are counted.
+    The lines of earlier splits are added to the rank within a split. Both steps are keyed by file and split, so the
+    lines are shuffled once.
+
+    Both uses of ``lines`` must cut files alike, and Spark sizes splits by the bytes it is to read. So no later filter may
+    skip files for one use alone. Lines are therefore counted by their ids, which are consecutive within a split: a
+    filter is not moved below a column of such ids as long as it is used.
     """
-    split = ["_file", "_split"]
-    counted = lines
-    if one_file_per_series:
-        counted = counted.where(F.col("_size") > _smallest_split(lines.sparkSession))
-        series, file_order = F.col("_file"), []
-    else:
-        # Part files of one write are numbered in the order of their content.
-        series = F.regexp_extract("_file", "^(.*)/", 1)
-        file_order = [
-            F.regexp_extract("_file", pattern, 1).try_cast("long")
-            for pattern in (r"/part-([0-9]+)[^/]*\z", r"/part-[^/]*-c([0-9]+)[^/]*\z")
-        ]
-    earlier = Window.partitionBy(series).orderBy(*file_order, *split).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(series).orderBy(*file_order, *SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        counted.groupBy(*split)
-        .agg(F.count("*").alias("_n"))
-        .select(*split, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        lines.groupBy(*SPLIT)
+        .agg((F.max("_line") - F.min("_line") + 1).alias("_n"))
+        .select(*SPLIT, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    rank = F.row_number().over(Window.partitionBy(*split).orderBy("_line"))
     return (
-        parse_lines(lines)
-        .withColumn("_rank", rank)
-        .join(starts, split, "left")
-        .select(
-            *[name for name in lines.columns if name in SERIES],
-            "_file",
-            (F.col("_rank") + F.coalesce("_before", F.lit(0))).cast("long").alias("seq"),
-            "latency_ms",
-            "malformed",
-        )
+        _ranked(lines)
+        .join(starts, SPLIT, "left")
+        .withColumn("seq", F.col("_rank") + F.coalesce("_before", F.lit(0)))
+        .drop("_rank", "_before", "_split", "_line")
     )
 
 
