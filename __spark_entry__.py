@@ -454,7 +454,28 @@ def stream_sink_roundtrip(spark, sf_dir):
     return stored.select("target", "event_id", "latency_ms")
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries on text corpora and their SQL, where that subpackage is installed."""
+    try:
+        import corpus_pipeline
+        from hoplens.llm import queries as corpus
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "hoplens.llm"):
+            raise
+        return {}, {}
+    sql = corpus.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return corpus.QUERIES | {"pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Query]:
+    return _latency_queries() | _corpus()[0]
+
+
+def oracle_sql() -> dict[str, str]:
+    return _latency_sql() | _corpus()[1]
+
+
+def _latency_queries() -> dict[str, Query]:
     return {
         "window_agg_60": window_agg_60,
         "window_agg_10": window_agg_10,
@@ -598,7 +619,7 @@ LINE_KINDS = """
     FROM events"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _latency_sql() -> dict[str, str]:
     return {
         "window_agg_60": _windows_sql(B, 60),
         "window_agg_10": _windows_sql(A, 10),

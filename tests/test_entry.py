@@ -14,13 +14,14 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry._latency_queries().keys() == entry._latency_sql().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", entry._latency_queries())
 def test_query(spark, connection, name):
     assert check.difference(spark, connection, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
