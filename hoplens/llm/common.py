@@ -27,6 +27,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def empty(frame: DataFrame) -> DataFrame:
-    """No row of the same columns."""
-    return frame.where(F.lit(False))
+def row_key() -> Column:
+    """A digest of a row's ``doc_id`` and text, which stands for the row."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000"))
+    return F.md5(F.concat(name, F.lit("\u0001"), whole_text()).cast("binary"))
+
+
+def measured(frame: DataFrame, most: int) -> DataFrame:
+    """The frame, to be sent to every task if it has ``most`` rows at most; else joined by a shuffle."""
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hoplens.llm.common import cut, lower_ascii, whole_text
+from hoplens.llm.common import cut, lower_ascii, measured, whole_text
 from hoplens.session import scratch_path
 
 # Spark's state store on local disks, with changes stored in the checkpoint.
@@ -166,8 +166,11 @@ def unique_rows(docs: DataFrame, **options) -> DataFrame:
     path = scratch_path(spark, "exact-dedup-rows")
     docs.write.parquet(path)
     stored = spark.read.schema(docs.schema).parquet(path)
-    names = stored.columns
     at = stored.metadataColumn("_metadata")
-    placed = stored.select(*(stored[name] for name in names), F.struct(F.xxhash64(at["file_path"]), at["row_index"]).alias("__at"))
-    gone = dedupe_table(spark, path, **options).where(~F.col("kept")).select(F.struct("file", "place").alias("__at"))
-    return placed.join(gone, "__at", "left_anti").select(*names)
+    placed = stored.select(
+        F.struct(*(stored[name] for name in stored.columns)).alias("row"),
+        F.xxhash64(at["file_path"]).alias("file"),
+        at["row_index"].alias("place"),
+    )
+    gone = cut(dedupe_table(spark, path, **options).where(~F.col("kept")).select("file", "place"))
+    return placed.join(measured(gone, FEW_HITS), ["file", "place"], "left_anti").select("row.*")

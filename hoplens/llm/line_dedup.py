@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hoplens.llm import words
-from hoplens.llm.common import cut, whole_text
+from hoplens.llm.common import cut, row_key
 
 #: A run is deleted from this many words on.
 LEAST_WORDS = 50
@@ -41,14 +41,9 @@ def least_runs(lengths: np.ndarray, seeds: np.ndarray, least_words: int) -> list
     return sorted({(a, b) for a, b in ahead + back if held[b + 1] > held[a]})
 
 
-def _key() -> Column:
-    """A digest of a row's ``doc_id`` and text, which stands for the row."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.lit("\u0001"), whole_text()).cast("binary"))
-
-
 def _lines(docs: DataFrame, window: int, least_words: int) -> DataFrame:
     """Of each row: hashes and words of its lines that aren't blank, their numbers, and the fingerprints."""
-    rows = docs.select("doc_id", _key().alias("key"), "text")
+    rows = docs.select("doc_id", row_key().alias("key"), "text")
     schema = T.StructType(
         [
             *rows.schema.fields[:2],
@@ -174,7 +169,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, window: int =
 def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with later repeated runs deleted from their texts; other columns and null texts are unchanged."""
     runs = repeated_runs(docs, least_words, window).groupBy("key").agg(F.collect_list(F.struct("first_line", "last_line")).alias("runs"))
-    whole = docs.select(_key().alias("key"), F.struct("*").alias("row")).join(runs, "key", "left")
+    whole = docs.select(row_key().alias("key"), F.struct("*").alias("row")).join(runs, "key", "left")
     stays = lambda i: ~F.exists("runs", lambda run: (i >= run["first_line"]) & (i <= run["last_line"]))
     text = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: stays(i)), "\n")
     return whole.select(F.col("row").withField("text", F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(text)).alias("row")).select("row.*")

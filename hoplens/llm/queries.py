@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hoplens.llm import decontaminate, exact_dedup, line_dedup, packing, pii, secret_scan, sharding, spans
+from hoplens.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, secret_scan, sharding, spans
 from hoplens.llm.common import read_documents
 
 SHARDS = 40
@@ -36,6 +36,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.similar_groups(read_documents(spark, sf_dir))
+    return groups.withColumnRenamed("n", "n_shingles")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read_documents(spark, sf_dir))
     return found.select(
@@ -72,6 +77,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
