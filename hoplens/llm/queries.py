@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hoplens.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, secret_scan, sharding, spans
+from hoplens.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, packing, pii, secret_scan, sharding, spans
 from hoplens.llm.common import read_documents
 
 SHARDS = 40
@@ -23,6 +23,12 @@ def _count(kind):
     return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    network = language.train(docs, ~language.held_out())
+    return language.identify(docs, network, {"held_out": language.held_out()})
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read_documents(spark, sf_dir))
     return found.select(
@@ -76,6 +82,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
