@@ -2,23 +2,58 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hoplens.llm import exact_dedup
+from hoplens.llm import decontaminate, exact_dedup, jaccard_join, language, packing
 from hoplens.llm.common import read_documents
 from hoplens.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A text whose best language is less likely is rejected, as is one without letters.
+LEAST_SCORE = 0.3
+#: Near copies: word n-grams and their Jaccard similarity, 4/5.
+NGRAM, SIMILAR = 5, (4, 5)
+CAPACITY = 2048
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages of the table's labels."""
+    network = language.train(docs, ~language.held_out())
+    return language.in_known_languages(docs, network, LEAST_SCORE)
+
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.unique_rows(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar texts."""
+    return jaccard_join.one_of_each(docs, ngram=NGRAM, similar=SIMILAR)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return packing.pack(docs, CAPACITY, RANKS, public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language", known_languages),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("decontaminate", benchmark_free),
+    ("packing", packed),
 ]
+
+#: No SQL has a trained network or a tokenizer; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
