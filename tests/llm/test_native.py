@@ -1,0 +1,96 @@
+"""Personal data, secrets and shards: DataFrame functions only."""
+
+import random
+import zlib
+
+import plain
+import pytest
+
+from hoplens.llm import pii, secret_scan, sharding
+from pyspark.sql import functions as F
+
+PIECES = (
+    "a.b@c.d a@b.c%d@e.f x@y @ mail me at j.doe+1@mail.example.com. 1.2.3.4 1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.255 "
+    "4111111111111111 4111 1111 1111 1111 4111-1111-1111-1112 1 2 3 4 5 +1 (555) 010-2345 +49 30 1234567 +1 2 "
+    "DE89370400440532013000 DE88370400440532013000 123-45-6789 ssn ä😀 \u0001\u0002"
+).split(" ")
+SECRETS = [
+    "password=abcdefgh1", "PASSWORD : 'abcdefgh'", "secret=ab token=abcdefgh", "password: token:abcdefgh12", "token==abcdefgh",
+    "api_key = xyz", "ApiKey:12345678", "AKIA0123456789AB", "AKIAAKIA01234567", "AKIA123", "0" * 31, "0" * 32, "deadbeef" * 5,
+    "ſecret=abcdefgh", "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "é", "😀",
+]
+
+
+def texts(pieces, seed, number=120):
+    random.seed(seed)
+    return [random.choice([" ", "", "  "]).join(random.choice(pieces) for _ in range(random.randint(0, 30))) for _ in range(number)]
+
+
+def base(found, names):
+    return [(s["start"], names.index(s["kind"]), s["end"], s["kind"]) for s in found if s["base"]]
+
+
+def test_pii_equals_plain_search(documents, odd):
+    rows = [*enumerate(texts(PIECES, 1), 100), *odd, (8, "1 " * 30_000), (9, "1.2" * 20_000), (10, "a." * 30_000 + "@b")]
+    found = pii.find_pii(documents(rows)).collect()
+    assert len(found) == len(rows)
+    got = sorted((str(r.doc_id), plain.joined(base(r.found, list(pii.BASE)))) for r in found)
+    assert got == sorted((str(i), plain.joined(plain.pii(text or ""))) for i, text in rows)
+
+
+def test_checks_and_context(documents):
+    text = "iban DE89370400440532013000 or DE88370400440532013000, ssn 123-45-6789"
+    far = "x" * 100 + " 123-45-6789"
+    rows = {r.doc_id: r.found for r in pii.find_pii(documents([(1, text), (2, far), (3, "call +1 555 010 2345")])).collect()}
+    assert [(s["kind"], s["value"]) for s in rows[1] if not s["base"]] == [
+        ("iban", "DE89370400440532013000"),
+        ("ssn", "123-45-6789"),
+    ]
+    assert rows[2] == []
+    assert [round(s["score"], 2) for s in rows[3]] == [0.9]
+
+
+def test_secrets_equal_plain_search(documents, odd):
+    rows = [*enumerate(texts(SECRETS, 2), 100), *odd, (8, "token= " * 20_000), (9, "AKIA" * 20_000)]
+    found = secret_scan.find_secrets(documents(rows)).collect()
+    got = sorted((str(r.doc_id), plain.joined(base(r.found, list(secret_scan.BASE)))) for r in found)
+    assert got == sorted((str(i), plain.joined(plain.secrets(text or ""))) for i, text in rows)
+
+
+def test_ownership(frame):
+    shared, own = "password=changeme1", "password=q9w8e7r6"
+    rows = [(i, shared, "en", f"s{i % 4}") for i in range(40)] + [(100, own, "en", "s1"), (101, own, "en", "s1"), (102, own, "en", None)]
+    found = {r.doc_id: r.found[0] for r in secret_scan.find_secrets(frame(rows)).collect()}
+    assert (found[3]["owners"], found[3]["example"]) == (4, True)
+    assert (found[100]["owners"], found[100]["example"]) == (2, False)
+
+
+def test_shards(documents, odd):
+    rows = [*odd, *((i, "t" * (i % 50)) for i in range(100, 3100))]
+    placed = sharding.assign_shards(documents(rows), 40).collect()
+    assert len(placed) == len(rows)
+    slots = {}
+    for r in placed:
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert r.grown_shard in (r.shard, 40)
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+    assert sorted(slots) == list(range(40))
+    assert max(map(len, slots.values())) < 2 * len(rows) / 40
+    assert 0.4 * len(rows) / 41 < sum(r.grown_shard == 40 for r in placed) < 2 * len(rows) / 41
+    assert sorted((r.size, r.text_crc32) for r in placed) == sorted(
+        (len((text or "").encode()) + 16, zlib.crc32((text or "").encode())) for _, text in rows
+    )
+
+
+def test_shard_depends_on_key_and_count(documents):
+    few = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_shards(documents([(i, "a") for i in range(50)]), 7).collect()}
+    more = {r.doc_id: r.shard for r in sharding.assign_shards(documents([(i, "b" * i) for i in range(200)]), 8).collect()}
+    assert all(more[i] == grown for i, (_, grown) in few.items())
+
+
+@pytest.mark.parametrize("operator", [pii.find_pii, secret_scan.find_secrets, lambda docs: sharding.assign_shards(docs, 4)])
+def test_native_and_empty(documents, operator):
+    result = operator(documents([(1, "a")]).where(F.lit(False)))
+    assert result.count() == 0
+    plan = result._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

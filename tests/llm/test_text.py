@@ -1,0 +1,210 @@
+"""Packing, decontamination and language."""
+
+import collections
+import random
+import zlib
+
+import numpy as np
+import plain
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from hoplens.llm import decontaminate, language, packing, words
+from pyspark.sql import functions as F
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def test_pieces_hold_the_tokens(documents, odd, tokenizer):
+    rows = [*[r for r in odd if r[0] != 6], (30, "<|endoftext|> it's  two\n\n spaces"), (31, "word " * 500), (32, "a" * 3000)]
+    found = packing.pack(documents(rows), 64, RANKS, public_tokenizers.PATTERN).collect()
+    want = collections.Counter()
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, (start, length) in enumerate(packing.pieces_of(len(ids), 64)):
+            own = np.array(ids[start : start + length], "<u4")
+            want[doc_id, piece, start, length, zlib.crc32(own.tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    check_sequences(found, 64)
+
+
+def check_sequences(found, capacity):
+    sequences = collections.defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in sequences.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(sequences)
+
+
+def test_pieces_of():
+    assert packing.pieces_of(1, 4) == [(0, 1)]
+    assert packing.pieces_of(4, 4) == [(0, 4)]
+    assert packing.pieces_of(9, 4) == [(0, 1), (1, 4), (5, 4)]
+
+
+def test_equal_lengths_and_copies(documents):
+    rows = [(i, "same words here") for i in range(500)]
+    found = packing.pack(documents(rows), 64, RANKS, public_tokenizers.PATTERN).collect()
+    assert check_sequences(found, 64) == -(-500 // (64 // found[0].length))
+
+
+@pytest.mark.parametrize("capacity", [7, 100, 2048])
+def test_plans(capacity):
+    random.seed(capacity)
+    for size in (0, 1, 2, 3, 50, 1000, 5000):
+        for mean in (0.05, 0.3, 0.6):
+            lengths = [min(capacity, max(1, int(capacity * random.lognormvariate(np.log(mean), 0.8)))) for _ in range(size)]
+            bins = packing.plan_bins(collections.Counter(lengths), capacity)
+            held = collections.Counter()
+            for group in bins:
+                assert group.number > 0 and group.room == capacity - sum(n * k for n, k in group.items) >= 0
+                assert sum(k for n, k in group.items if 3 * n > capacity) <= 2
+                for n, k in group.items:
+                    held[n] += k * group.number
+            assert held == collections.Counter(lengths)
+            large = sum(2 * n > capacity for n in lengths)
+            least = max(-(-sum(lengths) // capacity), large)
+            assert sum(group.number for group in bins) <= 1.2 * least + 1
+            assert len(bins) <= 5 * capacity
+
+
+def test_no_documents(documents):
+    none = documents([(1, "a")]).where(F.lit(False))
+    assert packing.pack(none, 64, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert packing.plan_bins({}, 64) == []
+
+
+def test_tiles_equal_plain_tiles():
+    random.seed(1)
+    differing = 0
+    for _ in range(200):
+        vocabulary = [b"w%d" % i for i in range(random.choice([3, 8, 40]))]
+        item = [random.choice(vocabulary) for _ in range(random.randint(5, 40))]
+        parts = [item[i : i + random.randint(3, 12)] for i in range(0, len(item), random.randint(4, 9))]
+        random.shuffle(parts)
+        doc = [random.choice(vocabulary) for _ in range(random.randint(0, 30))]
+        for part in parts:
+            doc += part + [random.choice(vocabulary)] * random.randint(0, 2)
+        seeds = decontaminate.Seeds([(0, b" ".join(item))], 5)
+        flat, _ = words.word_hashes([b" ".join(doc)], words.LETTERS)
+        with np.errstate(over="ignore"):
+            near = seeds.near(words.shingles(flat, 5))
+        found = decontaminate.tiles(seeds.words[0], flat, near, 5) if len(near) else []
+        for start, at, length in found:
+            assert item[start : start + length] == doc[at : at + length] and length >= 5
+        differing += sum(x[2] for x in found) != plain.tiled_words(item, doc, 5)
+    assert differing <= 4  # equally long matches may be taken in another order
+
+
+def benchmark(spark, texts):
+    return spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "item_id long, text string").selectExpr("*", "'x' AS item")
+
+
+def test_reordered_passages(spark, documents, odd, monkeypatch):
+    item = [f"term{i}" for i in range(40)]
+    turned = " ".join([*item[20:], "between", *item[:20]])
+    rows = [
+        *odd, (20, " ".join(item)), (21, turned.upper() + "!"), (22, " ".join(item[:30])), (23, " ".join(item[::-1])),
+        (24, "x " * 30_000 + ", ".join(item)), (25, " ".join(item[:36])),
+    ]
+    texts = [" ".join(item), None, "", "too short", " ".join(item)]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)  # several blocks
+    for found in (decontaminate.contaminated(documents(rows), benchmark(spark, texts)).collect(),):
+        assert sorted((r.doc_id, r.item) for r in found) == sorted((d, i) for d in (20, 21, 24, 25) for i in (0, 4))
+        assert {r.tiles for r in found if r.doc_id == 21} == {2}
+    docs = documents(rows)
+    clean = decontaminate.clean_rows(docs, benchmark(spark, texts))
+    assert clean.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in rows if i not in (20, 21, 24, 25))
+
+
+def test_empty_sides(spark, documents):
+    docs = documents([(1, "a b c d e f")])
+    assert decontaminate.contaminated(docs, benchmark(spark, ["a b c d e"]).where(F.lit(False))).count() == 0
+    assert decontaminate.contaminated(docs.where(F.lit(False)), benchmark(spark, ["a b c d e"])).count() == 0
+    assert decontaminate.clean_rows(docs, benchmark(spark, ["a b c d e"])).count() == 0
+
+
+def test_gradients():
+    rng = np.random.default_rng(1)
+    network = language.Network.fresh(["a", "b", "c"], 4, rng)
+    network.weights = {k: w.astype(np.float64) for k, w in network.weights.items()}
+    codes, labels = rng.integers(0, 256, (3, 5)), np.array([0, 1, 2])
+    _, grads = network.gradients(codes, labels)
+    for name, weights in network.weights.items():
+        at = (codes[0, 1], 3) if name.endswith("byte") else tuple(rng.integers(0, s) for s in weights.shape)
+        before, losses = weights[at], []
+        for step in (1e-3, -1e-3):
+            weights[at] = before + step
+            losses.append(network.gradients(codes, labels)[0])
+        weights[at] = before
+        assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(grads[name][at], rel=0.02, abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def network():
+    random.seed(3)
+    syllables = {"xx": "ba be bi bo bu".split(), "yy": "ka ke ki ko ku".split()}
+    samples = [(" ".join("".join(random.choices(own, k=3)) for _ in range(200)), name) for name, own in syllables.items()]
+    return language.fit(samples, steps=200)
+
+
+def test_labels(documents, network, odd):
+    rows = [*odd, (20, "babebi BOBU, bubabi"), (21, "kakeki 12 koku"), (22, "12 34 !"), (23, "ba" * 50_000)]
+    found = {r.doc_id: r for r in language.identify(documents(rows), network, {"held_out": language.held_out()}).collect() if r.doc_id}
+    assert (found[20].lang_pred, found[21].lang_pred, found[23].lang_pred) == ("xx", "yy", "xx")
+    assert min(found[20].score, found[21].score) > 0.9
+    assert {i: (found[i].lang_pred, found[i].score) for i in (1, 2, 3, 22)} == dict.fromkeys((1, 2, 3, 22), ("und", 0.0))
+    assert all(0 <= r.score <= 1 for r in found.values())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
+    docs = documents(rows)
+    kept = language.in_known_languages(docs, network, 0.6)
+    assert kept.columns == docs.columns
+    assert {20, 21, 23} <= {r.doc_id for r in kept.collect()} and not {1, 2, 3, 22} & {r.doc_id for r in kept.collect()}
+
+
+def test_every_position(network):
+    codes = np.frombuffer(b"babebikakeki", np.uint8).reshape(2, 6)
+    p = network.probabilities(codes)
+    assert p.shape == (6, 2, 2)
+    assert p.sum(2) == pytest.approx(np.ones((6, 2)), abs=1e-5)
+    pooled, size = language.Reader(network).read(["babebi kakeki"])
+    assert pooled[0] == pytest.approx(p.mean((0, 1)), abs=1e-5) and size[0] == 12
+
+
+def test_known_words_start_anew(network, monkeypatch):
+    texts = [" ".join("".join(x) for x in zip(*[iter("babebibobukakekikoku" * k)] * 6, strict=False)) for k in range(1, 6)]
+    want = language.Reader(network).read(texts)[0]
+    monkeypatch.setattr(language, "KNOWN_WORDS", 8)
+    reader = language.Reader(network)
+    for _ in range(2):
+        for text, own in zip(texts, want, strict=True):
+            assert reader.read([text])[0][0] == pytest.approx(own, abs=1e-6)
+
+
+def test_training_never_sees_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    network = language.train(docs, ~language.held_out())
+    found = language.identify(docs, network, {"held_out": language.held_out()}).join(docs.select("doc_id", "lang"), "doc_id")
+    held = found.where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.95 * len(held)
+
+
+def test_no_labels(documents):
+    docs = documents([(1, "some text")])
+    network = language.train(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert language.identify(docs, network).first().lang_pred == "und"
+    assert language.identify(docs.where(F.lit(False)), network).count() == 0
