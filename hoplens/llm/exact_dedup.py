@@ -13,6 +13,10 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # No files of megabytes set aside for each small partition of the state.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # A partition's store is closed with its task, so an executor holds as many as it runs tasks.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Up to so many digests with hits are sent to every task to pick their rows; beyond, those rows are found by a shuffle.
 FEW_HITS = 2_000_000
