@@ -41,16 +41,18 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _located(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digest and content locator of every row: the file, by its hash, and the row in the file."""
+def _located(
+    docs: DataFrame, digest: Callable[[Column], Column] | None, content: Column, sha: Column | None = None
+) -> DataFrame:
+    """Content locator of every row, which is the file, by its hash, and the row in the file; and digest or content."""
     at = docs.metadataColumn("_metadata")
-    text = lower_ascii(whole_text(docs["text"]))
+    told = [content.alias("content")] if digest is None else [digest(content).alias("digest")]
     return docs.select(
-        docs["doc_id"],
-        digest(text).alias("digest"),
+        F.col("doc_id"),
         F.xxhash64(at["file_path"]).alias("file"),
         at["row_index"].alias("place"),
-        text.alias("content"),
+        *told,
+        *([] if sha is None else [sha.alias("text_sha256")]),
     )
 
 
@@ -74,7 +76,7 @@ def absorb(
         reader = reader.option("maxFilesPerTrigger", files)
     # A pattern of one name, since a stream takes a single file only by a pattern.
     path = path.rstrip("/")
-    rows = _located(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest)
+    rows = _located(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest, lower_ascii(whole_text()))
     # Of rows that repeat a doc_id, the one with the larger locator stands for the group.
     state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "place")), F.count("*"))
     with _settings(spark, STATE):
@@ -118,37 +120,37 @@ def dedupe_table(
     checkpoint = checkpoint or scratch_path(spark, "exact-dedup")
     absorb(spark, path, checkpoint, digest, files)
     state = cut(read_state(spark, checkpoint))
-    rows = _located(spark.read.parquet(path), digest)
-    hits = state.where(F.col("group_size") > 1)
-
-    held = hits.select(F.xxhash64("digest").alias("key")).distinct()
-    if hits.count() <= few_hits:  # eight bytes each
-        held = F.broadcast(held)
-    repeated = rows.withColumn("key", F.xxhash64("digest")).join(held, "key", "left_semi")
-    kept = repeated.join(
-        hits.select(F.col("last.file").alias("file"), F.col("last.place").alias("place")), ["file", "place"], "left_semi"
-    ).select("digest", F.col("content").alias("retained"))
+    docs = spark.read.parquet(path)
+    content = lower_ascii(whole_text(F.col("text")))
+    rows = cut(
+        _located(docs, digest, content, None if digest is sha256 else sha256(content)).join(state, "digest")
+    )
+
+    # Only rows with a hit are read again, by their locators.
+    hits = rows.where(F.col("group_size") > 1).select("file", "place", "digest", _is_last().alias("retained"), "doc_id")
+    few = measured(hits.select("file", "place"), few_hits)
+    texts = _located(docs, None, content).join(few, ["file", "place"], "left_semi").select("file", "place", "content")
+    repeated = hits.join(texts, ["file", "place"])
+    kept = repeated.where("retained").select("digest", F.col("content").alias("own"))
     differing = cut(
-        repeated.join(kept, "digest")
-        .where(F.col("content") != F.col("retained"))
+        repeated.where("NOT retained")
+        .join(kept, "digest")
+        .where(F.col("content") != F.col("own"))
         .select("doc_id", "digest", "file", "place", "content")
     )
 
-    sha = F.col("digest") if digest is sha256 else sha256(F.col("content"))
-    told = rows.select("doc_id", "digest", "file", "place", sha.alias("text_sha256")).join(state, "digest")
-    if not differing.isEmpty():
-        told = _apart(told, differing)
+    told = rows if differing.isEmpty() else _apart(rows, differing)
+    sha = F.col("digest" if digest is sha256 else "text_sha256").alias("text_sha256")
     return told.select(
-        "doc_id",
-        F.col("last.doc_id").alias("keep_id"),
-        "group_size",
-        ((F.col("file") == F.col("last.file")) & (F.col("place") == F.col("last.place"))).alias("kept"),
-        "text_sha256",
-        "file",
-        "place",
+        "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", _is_last().alias("kept"), sha, "file", "place"
     )
 
 
+def _is_last() -> Column:
+    """Whether the row is the one at its group's locator."""
+    return (F.col("file") == F.col("last.file")) & (F.col("place") == F.col("last.place"))
+
+
 def _apart(told: DataFrame, differing: DataFrame) -> DataFrame:
     """Groups where texts share a digest: rows that differ from the retained text leave its group for their own."""
     left = differing.groupBy("digest").agg(F.count("*").alias("gone"))
