@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from hoplens.llm import words
-from hoplens.llm.common import whole_text
+from hoplens.llm.common import row_key
 
 #: Bytes that a repeated string has at least.
 LENGTH = 200
@@ -220,7 +220,7 @@ def _stretches(near: DataFrame, length: int) -> DataFrame:
                     names=["bucket", "digest", "n", "places", "starts", "lead", "text"],
                 )
 
-    return near.select("key", "text", "at").mapInArrow(read, schema)
+    return near.select("key", "doc_id", "text", "at").mapInArrow(read, schema)
 
 
 _KEY = 16  # bytes of a row's key
@@ -370,8 +370,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     """
     if length < RANKED + GRAM:
         raise ValueError(f"length must be {RANKED + GRAM} or more")
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.lit("\u0001"), whole_text()).cast("binary")))
-    rows = docs.select(key.alias("key"), "doc_id", "text")
+    # The same columns and no null key, so that both joins below read one shuffle of the texts.
+    rows = docs.select(F.coalesce(F.unhex(row_key()), F.lit(b"")).alias("key"), "doc_id", "text")
     counts = _grams(rows, length, False).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     places = (
         _grams(rows, length, True)
