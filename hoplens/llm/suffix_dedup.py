@@ -30,6 +30,8 @@ RANKED = 5 * PERIOD
 SORT_BYTES = 1 << 20
 #: Bytes of a text whose grams are hashed at a time.
 TILE = 4 << 20
+#: Bytes of distinct stretches that a task holds to collect the places of their copies.
+HELD_BYTES = 16 << 20
 #: A gram that occurs more often is hot: its suffixes are dealt out by their whole first bytes instead.
 HOT = 20_000
 
@@ -76,6 +78,23 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def anchors_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """The ``anchors`` of texts that are read in one go, and the row of each; places count from the text's start."""
+    sizes = np.array([len(text) for text in texts], np.int64)
+    ends = np.cumsum(sizes)
+    whole = np.frombuffer(b"".join(texts) or b" ", np.uint8)
+    if len(whole) < length:
+        return (np.empty(0, np.int64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+    gram, first, last, place = anchors(whole, length)
+    # A string within a text has its least gram there, so a run belongs to the text of its gram.
+    row = np.searchsorted(ends, place, "right")
+    base = ends[row] - sizes[row]
+    first, last = np.maximum(first, base), np.minimum(last, ends[row] - length)
+    inside = first <= last
+    row, gram, base = row[inside], gram[inside], base[inside]
+    return row, gram, first[inside] - base, last[inside] - base, place[inside] - base
+
+
 def _cover_ranks(words8: np.ndarray) -> np.ndarray:
     """The rank of the RANKED bytes from each cover position on; -1 elsewhere."""
     reach = len(words8) - RANKED
@@ -167,13 +186,8 @@ def _grams(rows: DataFrame, length: int, located: bool) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in words.sliced(batch):
-                row = [i for i, text in enumerate(texts) if len(text) >= length]
-                found = [anchors(np.frombuffer(texts[i], np.uint8), length) for i in row]
-                if not found:
-                    continue
-                gram, first, last, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                row, gram, first, last, place = anchors_of(texts, length)
                 if located:
-                    row = np.repeat(row, [len(x[0]) for x in found])
                     columns = [part.column("key").take(pa.array(row)), pa.array(gram.view(np.int64))]
                     columns += [pa.array(x.astype(np.int32)) for x in (first, last, place)]
                 else:
@@ -185,18 +199,36 @@ def _grams(rows: DataFrame, length: int, located: bool) -> DataFrame:
 
 
 def _stretches(near: DataFrame, length: int) -> DataFrame:
-    """A row for each distinct stretch of a batch, with where it occurs; hot stretches suffix by suffix, without text."""
+    """A row for each distinct stretch of HELD_BYTES, with where it occurs; hot stretches suffix by suffix, without text."""
     schema = "bucket long, digest binary, n long, places binary, starts int, lead int, text binary"
 
+    def taken(held: dict[bytes, list]) -> pa.RecordBatch:
+        rows = list(held.values())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[0] for x in rows], pa.int64()),
+                pa.array([x[1] for x in rows], pa.binary()),
+                pa.array([len(x[2]) for x in rows], pa.int64()),
+                pa.array([b"".join(x[2]) for x in rows], pa.binary()),
+                pa.array([x[3] for x in rows], pa.int32()),
+                pa.array([x[4] for x in rows], pa.int32()),
+                pa.array([x[5] for x in rows], pa.binary()),
+            ],
+            names=["bucket", "digest", "n", "places", "starts", "lead", "text"],
+        )
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        size = 0
         for batch in batches:
             for part, texts in words.sliced(batch):
-                held: dict[bytes, list] = {}
                 keys = part.column("key").to_pylist()
-                for i, found in enumerate(part.column("at").to_pylist()):
-                    text = texts[i]
-                    for at in {(x["gram"], x["first"], x["last"], x["place"], x["hot"]) for x in found}:
-                        gram, first, last, place, hot = at
+                lists = part.column("at")
+                ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+                fields = zip(*(field.to_pylist() for field in lists.flatten().flatten()), strict=True)
+                places = list(fields)
+                for i, text in enumerate(texts):
+                    for gram, first, last, place, hot in set(places[ends[i - 1] if i else 0 : ends[i]]):
                         for start, end in [(s, s) for s in range(first, last + 1)] if hot else [(first, last)]:
                             own = text[start : end + length]
                             digest = xxhash.xxh3_128_digest(own)
@@ -206,19 +238,11 @@ def _stretches(near: DataFrame, length: int) -> DataFrame:
                             else:
                                 bucket = int.from_bytes(digest[:8], "big", signed=True) if hot else gram
                                 held[digest] = [bucket, digest, [where], end - start + 1, place - start, b"" if hot else own]
-                rows = list(held.values())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in rows], pa.int64()),
-                        pa.array([x[1] for x in rows], pa.binary()),
-                        pa.array([len(x[2]) for x in rows], pa.int64()),
-                        pa.array([b"".join(x[2]) for x in rows], pa.binary()),
-                        pa.array([x[3] for x in rows], pa.int32()),
-                        pa.array([x[4] for x in rows], pa.int32()),
-                        pa.array([x[5] for x in rows], pa.binary()),
-                    ],
-                    names=["bucket", "digest", "n", "places", "starts", "lead", "text"],
-                )
+                                size += len(own)
+                if size >= HELD_BYTES:
+                    yield taken(held)
+                    held, size = {}, 0
+        yield taken(held)
 
     return near.select("key", "doc_id", "text", "at").mapInArrow(read, schema)
 
