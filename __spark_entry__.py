@@ -15,12 +15,13 @@ from hoplens.functions.series import display_value, fill_and_clip, health_band,
 from hoplens.operators import hosts, live, regions, segments, summary, windows
 from hoplens.operators.extent import Extent, max_duration, measure
 from hoplens.operators.numbering import with_seq
+from hoplens.plans.ingest import ingest_runs
 from hoplens.plans.report import analyse, write_report
 from hoplens.session import scratch_path
 from hoplens.settings import Settings
-from hoplens.sources.sinks import read_segments, write_text
-from hoplens.sources.tables import EVENT_ORDER, events_as_samples, read_events
-from hoplens.sources.text import scan_file, scan_partitioned
+from hoplens.sources.sinks import read_segments, write_samples, write_text
+from hoplens.sources.tables import EVENT_ORDER, events_as_samples, read_events, read_samples
+from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
 from hoplens.streaming import operators as live_streams, streams
 
 # Parameters of A, whose series are short. B uses the defaults: 60 samples, 3600 positions, 200 ms.
@@ -372,18 +373,85 @@ def valid_targets(spark, sf_dir):
 # Text files and stored outputs
 
 
-def scan_runs(spark, sf_dir):
+RUN = "2024-05-01_12-00-00"
+
+
+def _run_folder(spark: SparkSession, samples: DataFrame) -> str:
+    """A run folder as a monitor leaves it: a result file for each target, beside files that are none, and an empty one."""
+    folder = f"{scratch_path(spark, 'named')}/results_{RUN}"
+    parts = f"{folder}-parts"
+    line = F.coalesce(F.col("latency_ms").cast("string"), F.lit("Lost"))
+    # One file for each target: few targets, and files are what this layout has.
+    (
+        samples.repartition("target")
+        .sortWithinPartitions("target", "seq")
+        .select("target", line.alias("value"))
+        .write.partitionBy("target")
+        .text(parts)
+    )
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for part in files.globStatus(path(f"{parts}/target=*/part-*")):
+        target = part.getPath().getParent().getName().removeprefix("target=")
+        files.rename(part.getPath(), path(f"{folder}/ping_results_{target}.txt"))
+    for name in ("other.txt", "ping_results_a.csv"):
+        stream = files.create(path(f"{folder}/{name}"))
+        stream.write(bytearray(b"1.0\n"))
+        stream.close()
+    files.create(path(f"{folder}/ping_results_silent.txt")).close()
+    return folder
+
+
+def query_scan_runs(spark, sf_dir):
+    return scan_runs(spark, _run_folder(spark, _in_order(_by_three(spark, sf_dir))))
+
+
+def query_scan_file(spark, sf_dir):
+    return scan_file(spark, f"{_run_folder(spark, _in_order(_by_three(spark, sf_dir)))}/ping_results_1.txt")
+
+
+def query_scan_partitioned(spark, sf_dir):
     samples = _in_order(_by_user(spark, sf_dir))
     path = scratch_path(spark, "runs")
     write_text(samples, path)
     return scan_partitioned(spark, path)
 
 
-def query_scan_file(spark, sf_dir):
-    samples = _in_order(events_as_samples(_events(spark, sf_dir), F.lit("all")))
-    path = scratch_path(spark, "file")
-    write_text(samples, path)
-    return scan_file(spark, f"{path}/run_id=events/target=all").select("seq", "latency_ms", "malformed")
+def ingest_twice(spark, sf_dir):
+    folder, table = _run_folder(spark, _in_order(_by_three(spark, sf_dir))), scratch_path(spark, "table")
+    ingest_runs(spark, table, folder)
+    return ingest_runs(spark, table, folder).drop("ts")
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several runs, one of them NULL, and targets of which one is NULL and one empty."""
+    target = F.when(F.col("user_id") % 5 == 0, F.lit(None)).when(F.col("user_id") % 5 == 1, "").otherwise(
+        (F.col("user_id") % 5).cast("string")
+    )
+    run = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("run"), (F.col("event_id") % 3).cast("string")))
+    samples = _events(spark, sf_dir).select(
+        run.alias("run_id"),
+        target.alias("target"),
+        "ts",
+        "event_id",
+        F.when(F.col("event_type") != "error", F.col("value")).alias("latency_ms"),
+    )
+    return _in_order(samples)
+
+
+def null_keys(spark, sf_dir):
+    inside = segments.segment_raw(_keyed(spark, sf_dir), SEGMENT)
+    return inside.groupBy("run_id", "target", "segment_idx").agg(
+        F.count("*").alias("n"), F.sum("seq").alias("positions"), F.round(F.max("ping_ms"), 9).alias("top_ms")
+    )
+
+
+def regions_null_keys(spark, sf_dir):
+    samples = _keyed(spark, sf_dir)
+    high = regions.high_latency(samples, THRESHOLD, SEGMENT)
+    return regions.regions(high, SEGMENT, by_target=True)
 
 
 def sink_text_roundtrip(spark, sf_dir):
@@ -395,9 +463,9 @@ def sink_text_roundtrip(spark, sf_dir):
 
 
 def sink_segments_roundtrip(spark, sf_dir):
-    samples, extent = _b(spark, sf_dir)
-    path = scratch_path(spark, "report")
-    write_report(analyse(samples, extent=extent), path)
+    table, path = scratch_path(spark, "table"), scratch_path(spark, "report")
+    write_samples(_in_order(_by_three(spark, sf_dir)).withColumn("malformed", F.lit(False)), table)
+    write_report(analyse(read_samples(spark, table)), path)
     series = "target string, seq bigint, ping_ms double, run_id string, segment_idx bigint"
     return read_segments(spark, f"{path}/raw_series", series)
 
@@ -443,7 +511,8 @@ def stream_window_agg(spark, sf_dir):
 
 
 def stream_summary(spark, sf_dir):
-    updates = _stored(spark, live_streams.summary_updates(_user_stream(spark, sf_dir)), "summary")
+    running = live_streams.summary_updates(_user_stream(spark, sf_dir))
+    updates = _stored(spark, running, "summary", streams.store_updates).drop("batch")
     return streams.newest(updates, ["target"], "total").select(
         "target", "total", "successful", _round9("packet_loss_pct"), _round9("avg_ms"), "min_ms", "max_ms"
     )
@@ -520,8 +589,12 @@ def _latency_queries() -> dict[str, Query]:
         "tail_n": tail_n,
         "silent_targets": silent_targets,
         "valid_targets": valid_targets,
-        "scan_runs": scan_runs,
+        "scan_runs": query_scan_runs,
         "scan_file": query_scan_file,
+        "scan_partitioned": query_scan_partitioned,
+        "ingest_twice": ingest_twice,
+        "null_keys": null_keys,
+        "regions_null_keys": regions_null_keys,
         "sink_text_roundtrip": sink_text_roundtrip,
         "sink_segments_roundtrip": sink_segments_roundtrip,
         "stream_samples": stream_samples,
@@ -552,6 +625,18 @@ A = "WITH" + _series("user_id")
 B = "WITH" + _series("user_id % 3")
 
 
+#: Samples of several runs in segments, with NULL and empty keys, as ``r``.
+KEYED = f"""WITH k AS (
+        SELECT CASE WHEN event_id % 3 > 0 THEN 'run' || CAST(event_id % 3 AS VARCHAR) END AS run_id,
+               CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(user_id % 5 AS VARCHAR) END AS target,
+               ts, event_id, {LATENCY} AS latency_ms
+        FROM events),
+    s AS (SELECT *, row_number() OVER (PARTITION BY run_id, target ORDER BY ts, event_id) AS seq FROM k),
+    m AS (SELECT run_id, max(seq) AS max_seq FROM s GROUP BY run_id),
+    r AS (SELECT s.run_id, target, seq // {SEGMENT} AS segment_idx, seq, least(coalesce(latency_ms, 800.0), 800.0) AS ping_ms
+          FROM s JOIN m ON s.run_id IS NOT DISTINCT FROM m.run_id WHERE seq < max_seq)"""
+
+
 def _windows_sql(series: str, interval: int, where: str = "true", mean: str = "coalesce(avg(latency_ms), 0.0)") -> str:
     return f"""{series}
         SELECT target, (seq - 1) // {interval} AS window_idx,
@@ -759,11 +844,22 @@ def _latency_sql() -> dict[str, str]:
             FROM customer
             WHERE (c_custkey % 8 = 0 AND c_custkey % 300 < 256) OR (c_custkey % 8 IN (3, 4) AND c_custkey < 65536)
                OR (c_custkey % 8 = 6 AND c_custkey % 270 < 256)""",
-        "scan_runs": f"""{A}
+        "scan_runs": f"""{B}
+            SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
+        "scan_file": f"""{B}
+            SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s WHERE target = '1'""",
+        "scan_partitioned": f"""{A}
             SELECT 'events' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
-        "scan_file": f"""
-            SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, {LATENCY} AS latency_ms, false AS malformed
-            FROM events""",
+        "ingest_twice": f"""{B}
+            SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
+        "null_keys": f"""{KEYED}
+            SELECT run_id, target, segment_idx, count(*) AS n, CAST(sum(seq) AS BIGINT) AS positions, round(max(ping_ms), 9) AS top_ms
+            FROM r GROUP BY run_id, target, segment_idx""",
+        "regions_null_keys": f"""{KEYED},
+            i AS (SELECT *, seq - row_number() OVER (PARTITION BY run_id, target, segment_idx ORDER BY seq) AS island
+                  FROM r WHERE ping_ms > {THRESHOLD})
+            SELECT run_id, target, segment_idx, min(seq) AS start_s, max(seq) AS end_s
+            FROM i GROUP BY run_id, target, segment_idx, island""",
         "sink_text_roundtrip": f"""
             SELECT 'events' AS run_id, CAST(user_id AS VARCHAR) AS target,
                    coalesce(CAST({LATENCY} AS VARCHAR), 'Lost') AS value, count(*) AS n_lines

@@ -21,8 +21,11 @@ def zero_fill(latency: Column) -> Column:
 
 
 def display_value(latency: Column, cap: float = LATENCY_CAP_MS) -> Column:
-    shown = F.least(measured(latency), F.lit(cap))
-    return F.when(measured(latency).isNull(), "Lost").otherwise(F.concat(shown.cast("string"), F.lit(" ms")))
+    shown = F.least(measured(latency), F.lit(cap)).cast("string")
+    # Below a thousandth the text has an exponent; it is written out.
+    plain = F.rtrim(shown.try_cast("decimal(38,30)").cast("string"), F.lit("0"))
+    shown = F.when(shown.contains("E-"), plain).otherwise(shown)
+    return F.when(measured(latency).isNull(), "Lost").otherwise(F.concat(shown, F.lit(" ms")))
 
 
 def health_band(latency: Column) -> Column:

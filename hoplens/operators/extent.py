@@ -5,6 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from hoplens.operators.keys import join_keys
 from hoplens.schema import SERIES
 
 # More runs than this stay distributed; up to here the per-run table (two columns) is at most a few MB.
@@ -29,10 +30,10 @@ class Extent:
         return F.broadcast(self.per_run.sparkSession.createDataFrame(self.known, "run_id string, max_seq bigint"))
 
     def with_max_seq(self, rows: DataFrame) -> DataFrame:
-        """Add the length of the longest series of the row's run; a single run needs no join."""
+        """Add the length of the longest series of the row's run, which may be NULL; a single run needs no join."""
         if self.runs == 1:
             return rows.withColumn("max_seq", F.lit(self.longest).cast("long"))
-        return rows.join(self.by_run, "run_id")
+        return join_keys(rows, self.by_run, ["run_id"])
 
 
 def series_lengths(samples: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hoplens.functions.hosts import is_host, is_ipv4
+from hoplens.operators.keys import join_keys
+from hoplens.schema import SERIES
 from hoplens.settings import DEFAULT_HOSTS
 
 
@@ -39,5 +41,16 @@ def require_valid_targets(hosts: DataFrame) -> DataFrame:
 
 
 def silent_targets(expected: DataFrame, samples: DataFrame) -> DataFrame:
-    """Expected targets without any sample."""
-    return expected.join(samples.select("target").distinct(), "target", "left_anti")
+    """Expected targets without any sample; in a run of their own, if ``expected`` has a ``run_id``."""
+    keys = [name for name in SERIES if name in expected.columns]
+    return join_keys(expected, samples.select(*keys).distinct(), keys, "left_anti")
+
+
+def silent_in_runs(expected: DataFrame, samples: DataFrame) -> DataFrame:
+    """Expected targets (``target``) without any sample, for each run that has samples.
+
+    The list of expected targets is one array, so it must be one that a task can hold, as a host list is.
+    """
+    targets = expected.agg(F.collect_set("target").alias("targets"))
+    each = samples.select("run_id").distinct().withColumn("targets", F.lit(targets.first().targets).cast("array<string>"))
+    return silent_targets(each.select("run_id", F.explode("targets").alias("target")), samples)

@@ -5,8 +5,9 @@ from math import ceil
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hoplens.operators.extent import Extent, measure, series_lengths
+from hoplens.operators.keys import join_keys
 from hoplens.schema import SERIES
-from hoplens.session import scratch_path
+from hoplens.session import use_checkpoints
 
 # One task numbers at most about this many rows, whatever the length of a series. They are sorted, so they may spill.
 ROWS_PER_TASK = 8_000_000
@@ -35,8 +36,8 @@ def with_seq(
     # There are fewer long series than parts.
     if parts <= MAX_BROADCAST_ROWS:
         long_series = F.broadcast(long_series)
-    short = samples.join(long_series, SERIES, "left_anti")
-    long = samples.join(long_series, SERIES, "left_semi")
+    short = join_keys(samples, long_series, SERIES, "left_anti")
+    long = join_keys(samples, long_series, SERIES, "left_semi")
     return _number_whole(short, order).unionByName(_number_by_range(long, order, parts))
 
 
@@ -49,8 +50,8 @@ def _number_by_range(samples: DataFrame, order: list[str], parts: int) -> DataFr
     """Sort rows into even ranges, then add to each local position what lies in earlier ranges.
 
     The tie breaker keeps even a great many copies of one row from landing in one range. The ranges are
-    stored because their bounds are sampled: both uses below must see the same cut, also after a loss of executors.
-    A table in the shared folder is columnar, so later operators read only what they use of it.
+    checkpointed because their bounds are sampled: both uses below must see the same cut, also after a loss of executors.
+    Spark removes the checkpoint when the frame is no longer used, if ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     spark = samples.sparkSession
     parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -63,9 +64,8 @@ def _number_by_range(samples: DataFrame, order: list[str], parts: int) -> DataFr
         .withColumn("_pos", F.monotonically_increasing_id())
         .drop("_tie")
     )
-    path = scratch_path(spark, "ranges")
-    cut.write.parquet(path)
-    ranges = spark.read.schema(cut.schema).parquet(path)
+    use_checkpoints(spark)
+    ranges = cut.checkpoint()
     earlier = Window.partitionBy(*SERIES).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranges.groupBy(*SERIES, "_part")
@@ -77,7 +77,7 @@ def _number_by_range(samples: DataFrame, order: list[str], parts: int) -> DataFr
     if 2 * parts <= MAX_BROADCAST_ROWS:
         starts = F.broadcast(starts)
     return (
-        ranges.join(starts, [*SERIES, "_part"])
+        join_keys(ranges, starts, [*SERIES, "_part"])
         .withColumn("seq", F.col("_pos") - F.col("_first") + F.col("_before") + 1)
         .drop("_part", "_pos", "_first", "_before")
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hoplens.operators.extent import MAX_RUNS_ON_DRIVER, Extent, measure
+from hoplens.operators.keys import join_keys
 from hoplens.operators.segments import segment_raw
 from hoplens.schema import SERIES
 from hoplens.settings import SEGMENT_SECONDS
@@ -60,8 +61,7 @@ def with_island(times: DataFrame, keys: list[str], segment_len: int | None, bloc
         .select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     return (
-        blocked.withColumn("_rank", F.row_number().over(in_block))
-        .join(starts, [*keys, "_block"])
+        join_keys(blocked.withColumn("_rank", F.row_number().over(in_block)), starts, [*keys, "_block"])
         .withColumn("island", F.col("seq") - F.col("_rank") - F.col("_before"))
         .drop("_block", "_rank", "_before")
     )
@@ -103,7 +103,7 @@ def pad_regions(
         # Without segmentation this has one row per run.
         if segment_len is None and extent is not None and extent.runs <= MAX_RUNS_ON_DRIVER:
             firsts = F.broadcast(firsts)
-        marked = found.join(firsts, SEGMENT).withColumn("is_first", F.col("start_s") == F.col("_first")).drop("_first")
+        marked = join_keys(found, firsts, SEGMENT).withColumn("is_first", F.col("start_s") == F.col("_first")).drop("_first")
     return marked.withColumn("pad_start", F.col("start_s") - 0.5).withColumn("pad_end", F.col("end_s") + 0.5)
 
 
@@ -130,8 +130,8 @@ def samples_in_regions(
         bounded = times.withColumn("start_s", F.min("seq").over(whole)).withColumn("end_s", F.max("seq").over(whole))
     else:
         spans = times.groupBy(*island).agg(F.min("seq").alias("start_s"), F.max("seq").alias("end_s"))
-        bounded = times.join(spans, island)
+        bounded = join_keys(times, spans, island)
     bounded = bounded.drop("island")
     if extent.times <= max_broadcast_times:
         bounded = F.broadcast(bounded)
-    return inside.join(bounded, [*SEGMENT, "seq"]).select(*SERIES_SEGMENT, "seq", "ping_ms", "start_s", "end_s")
+    return join_keys(inside, bounded, [*SEGMENT, "seq"]).select(*SERIES_SEGMENT, "seq", "ping_ms", "start_s", "end_s")

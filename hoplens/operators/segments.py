@@ -91,23 +91,33 @@ def segment_agg(
     )
 
 
-def empty_segments(
+def empty_segment_ranges(
     samples: DataFrame,
-    segment_len: int = SEGMENT_SECONDS,
+    segment_len: int | None = SEGMENT_SECONDS,
     interval: int = WINDOW_SAMPLES,
     aggregate: bool = True,
     extent: Extent | None = None,
 ) -> DataFrame:
-    """Segments of a run in which a series has no samples (``raw``) or samples but no window (``aggregated``).
+    """Ranges of segments in which a series has no samples (``raw``) or samples but no window (``aggregated``).
 
-    Positions are dense, so both follow from the length of a series: samples are counted, neither numbered nor joined.
+    Positions are dense, so both follow from the length of a series: samples are counted, neither numbered nor joined. A series
+    lacks samples in the segments after its own, one range however long the run. Only its own segments are looked at one by one.
     """
     extent = extent or measure(samples)
-    lengths = extent.with_max_seq(series_lengths(samples))
-    last_segment = segment_index(F.col("max_seq") - 1, segment_len)
+    lengths = extent.with_max_seq(series_lengths(samples)).withColumn(
+        "_last_segment", segment_index(F.col("max_seq") - 1, segment_len)
+    )
+    if segment_len is None:
+        segment_len = 2**40  # one segment, longer than any series
+    in_run = F.least("n", F.col("max_seq") - 1)
+    # The first position is 1, so a segment of length 1 at position 0 has no sample.
+    own_last = F.when(in_run >= 1, segment_index(in_run, segment_len)).otherwise(F.lit(-1).cast("long"))
+    after = lengths.withColumn("from_segment", own_last + 1).where("from_segment <= _last_segment").select(
+        *SERIES, "from_segment", F.col("_last_segment").alias("to_segment"), F.lit("raw").alias("series")
+    )
     start, n = F.col("segment_idx") * segment_len, F.col("n")
     end = start + segment_len
-    has_raw = F.least(n, F.col("max_seq") - 1, end - 1) >= F.greatest(start, F.lit(1))
+    has_raw = F.least(in_run, end - 1) >= F.greatest(start, F.lit(1))
     # Midpoints are halves, so everything is doubled. The first full window at or after the start:
     first = F.greatest(F.lit(0), F.ceil((2 * start - interval) / (2 * interval)))
     full = (first < window_index(n + 1, interval)) & ((2 * first + 1) * interval < 2 * end)
@@ -117,8 +127,24 @@ def empty_segments(
     missing = F.when(~has_raw, "raw")
     if aggregate:
         missing = missing.when(~(full | tail), "aggregated")
-    return (
-        explode_range(lengths, last_segment, "segment_idx")
-        .select(*SERIES, "segment_idx", missing.alias("series"))
+    own = (
+        explode_range(lengths.where(own_last >= 0), own_last, "segment_idx")
+        .select(*SERIES, F.col("segment_idx").alias("from_segment"), F.col("segment_idx").alias("to_segment"), missing.alias("series"))
         .where("series IS NOT NULL")
     )
+    return after.unionByName(own)
+
+
+def empty_segments(
+    samples: DataFrame,
+    segment_len: int = SEGMENT_SECONDS,
+    interval: int = WINDOW_SAMPLES,
+    aggregate: bool = True,
+    extent: Extent | None = None,
+) -> DataFrame:
+    """The ranges of ``empty_segment_ranges`` as one row per segment: as many as series times segments at worst."""
+    ranges = empty_segment_ranges(samples, segment_len, interval, aggregate, extent)
+    length = F.col("to_segment") - F.col("from_segment")
+    return explode_range(ranges, length, "_step").select(
+        *SERIES, (F.col("from_segment") + F.col("_step")).alias("segment_idx"), "series"
+    )

@@ -34,9 +34,11 @@ def window_agg(samples: DataFrame, interval: int = WINDOW_SAMPLES, repair_nan: b
     )
 
 
-def gated_window_agg(samples: DataFrame, aggregate: bool, interval: int = WINDOW_SAMPLES) -> DataFrame:
+def gated_window_agg(
+    samples: DataFrame, aggregate: bool, interval: int = WINDOW_SAMPLES, repair_nan: bool = True
+) -> DataFrame:
     """Windows, or the same columns without rows when aggregation is off."""
-    windows = window_agg(samples, interval)
+    windows = window_agg(samples, interval, repair_nan)
     return windows if aggregate else windows.where(F.lit(False))
 
 

@@ -8,9 +8,11 @@ from hoplens.sources.text import scan_runs
 
 
 def ingest_runs(spark: SparkSession, path: str, *folders: str) -> DataFrame:
-    """Add the samples of run folders to the table at ``path`` and return the whole table.
+    """Put the samples of run folders into the table at ``path`` and return the whole table.
+
+    A run that the table has already is replaced, so ingesting again changes nothing.
 
     Lines are parsed and numbered here and never again: analyses of the table prune columns, runs and targets.
     """
-    write_samples(scan_runs(spark, *folders), path)
+    write_samples(scan_runs(spark, *folders), path, mode="replace")
     return read_samples(spark, path)

@@ -2,15 +2,17 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hoplens.operators.extent import Extent, measure
 from hoplens.operators.regions import high_latency, pad_regions, regions
-from hoplens.operators.segments import segment_agg, segment_raw, segment_table, segment_titles
-from hoplens.operators.summary import summary_display, target_summary
-from hoplens.operators.windows import gated_window_agg, y_limit
+from hoplens.operators.hosts import silent_in_runs
+from hoplens.operators.segments import empty_segment_ranges, segment_agg, segment_raw, segment_table, segment_titles
+from hoplens.operators.summary import malformed_audit, summary_display, target_summary
+from hoplens.operators.windows import all_lost_windows, gated_window_agg, y_limit
+from hoplens.schema import SERIES
 from hoplens.settings import Settings
-from hoplens.sources.sinks import write_segments
+from hoplens.sources.sinks import write_part
 from hoplens.sources.text import scan_file, scan_runs
 
 
@@ -22,24 +24,46 @@ class Report(NamedTuple):
     y_limits: DataFrame
     summary: DataFrame
     summary_text: DataFrame
-    segment_count: int  # upper bound
+    lost_windows: DataFrame  # windows in which nothing arrived
+    malformed: DataFrame  # lines that were neither a number nor lost, by series
+    empty_segments: DataFrame  # segments without samples or windows, by series
+    silent: DataFrame  # expected targets without samples, by run
 
 
-def analyse(samples: DataFrame, settings: Settings = Settings(), extent: Extent | None = None) -> Report:
-    """Series, regions and summaries of numbered samples of any number of runs and targets."""
+def analyse(
+    samples: DataFrame,
+    settings: Settings = Settings(),
+    extent: Extent | None = None,
+    expected: DataFrame | None = None,
+    repair_nan: bool = True,
+) -> Report:
+    """Series, regions, summaries and gaps of numbered samples of any number of runs and targets.
+
+    Measures the samples by a job where no ``extent`` is given; all else is lazy. ``expected`` has the targets that every run
+    should have.
+    """
     extent = extent or measure(samples)
     length = settings.segment_len
+    windows = gated_window_agg(samples, settings.aggregate, repair_nan=repair_nan)
+    if "malformed" not in samples.columns:
+        counted = samples.withColumn("malformed", F.lit(False))
+    else:
+        counted = samples
+    nothing = samples.select(*SERIES).where(F.lit(False))
     high = high_latency(samples, settings.latency_threshold, length, extent)
     summary = target_summary(samples)
     return Report(
         segments=segment_titles(segment_table(extent, length)),
         raw_series=segment_raw(samples, length, extent),
-        agg_series=segment_agg(gated_window_agg(samples, settings.aggregate), extent, length),
+        agg_series=segment_agg(windows, extent, length),
         regions=pad_regions(regions(high, length), length, extent),
         y_limits=y_limit(samples, aggregate=settings.aggregate),
         summary=summary,
         summary_text=summary_display(summary),
-        segment_count=extent.runs + (0 if length is None else extent.times // length),
+        lost_windows=all_lost_windows(windows),
+        malformed=malformed_audit(counted),
+        empty_segments=empty_segment_ranges(samples, length, aggregate=settings.aggregate, extent=extent),
+        silent=nothing if expected is None else silent_in_runs(expected, samples),
     )
 
 
@@ -49,11 +73,11 @@ def analyse_runs(spark: SparkSession, *folders: str, settings: Settings = Settin
 
 
 def analyse_file(spark: SparkSession, path: str, settings: Settings = Settings()) -> Report:
-    """Analysis of a single result file; every part is empty if it does not exist."""
-    return analyse(scan_file(spark, path), settings)
+    """Analysis of a single result file, NaN means kept; every part is empty if it does not exist."""
+    return analyse(scan_file(spark, path), settings, repair_nan=False)
 
 
 def write_report(report: Report, path: str) -> None:
-    """Store the parts of a report that belong to a segment, each in its own folder under ``path``."""
-    for name in ("segments", "raw_series", "agg_series", "regions"):
-        write_segments(getattr(report, name), f"{path}/{name}", report.segment_count)
+    """Store every part of a report in its own folder under ``path``, beside what is there."""
+    for name, part in report._asdict().items():
+        write_part(part, f"{path}/{name}")

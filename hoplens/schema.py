@@ -2,13 +2,20 @@
 
 A *sample* is one probe of one target: its latency in milliseconds, or NULL when the probe was lost.
 ``seq`` is the 1-based, dense position of the sample inside its ``(run_id, target)`` series; it is what
-the operators call time. Sources never leave ``run_id`` or ``target`` NULL, so joins on them keep every row.
+the operators call time. ``run_id`` and ``target`` may be NULL or empty: a NULL is a key like any other, in joins too. As a
+folder name both become the same, so readers of stored text and samples give an empty one.
 """
 
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 SERIES = ["run_id", "target"]
 
+
+def with_keys(rows: DataFrame, folders: list[str]) -> DataFrame:
+    """Rows whose keys were folder names: an empty one is read as NULL and becomes empty again. Filters still prune."""
+    return rows.withColumns({name: F.coalesce(name, F.lit("")) for name in folders})
+
+
 SAMPLES = T.StructType(
     [
         T.StructField("run_id", T.StringType()),

@@ -5,6 +5,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: The temporary folder of each local session without a shared one.
+_local: dict[str, str] = {}
+
 
 def local_session(app: str = "hoplens", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks. On a cluster, use the session that the cluster provides."""
@@ -27,16 +30,20 @@ def local_session(app: str = "hoplens", cores: str = "*", shuffle_partitions: in
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode where none is set."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _local.get(context.applicationId)
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="hoplens-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        folder = _local[context.applicationId] = tempfile.mkdtemp(prefix="hoplens-")
     return folder
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Let frames be checkpointed: in the caller's checkpoint folder, or the shared one where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; nothing exists there yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

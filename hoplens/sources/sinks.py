@@ -4,9 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from hoplens.functions.series import measured
-from hoplens.schema import SERIES
-
-MAX_SEGMENT_FOLDERS = 10_000
+from hoplens.schema import SERIES, with_keys
 
 
 def write_text(samples: DataFrame, path: str, mode: str = "append") -> None:
@@ -26,29 +24,36 @@ def write_text(samples: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+# Positions of a series that are written together.
+WRITE_BLOCK = 1_000_000
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
-    """Store numbered samples as Parquet, clustered by series so that row groups of other targets are skipped."""
-    (
-        samples.repartitionByRange(*SERIES, "seq")
-        .sortWithinPartitions(*SERIES, "seq")
-        .write.partitionBy("run_id")
-        .mode(mode)
-        .parquet(path)
-    )
+    """Store numbered samples as Parquet, clustered by series so that row groups of other targets are skipped.
+
+    Rows are dealt out by series and block of positions, so a long series becomes several files and nothing is sampled.
+    ``mode="replace"`` replaces whole runs: those in ``samples``, and no other.
+    """
+    block = F.call_function("div", F.col("seq"), F.lit(WRITE_BLOCK).cast("long"))
+    writer = samples.repartition(*SERIES, block).sortWithinPartitions(*SERIES, "seq").write.partitionBy("run_id")
+    if mode == "replace":
+        writer = writer.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    else:
+        writer = writer.mode(mode)
+    writer.parquet(path)
 
 
-def write_segments(rows: DataFrame, path: str, segments: int, mode: str = "append") -> None:
-    """Store an output by run and segment. Rebalancing keeps small segments in few files and splits large ones.
+def write_part(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Store a part of a report by run, sorted by segment where it has one, so that a filter on it skips row groups.
 
-    A segment is a folder unless ``segments`` says that there are too many. Then only runs are folders and rows are
-    sorted, so that a filter on the segment skips row groups instead.
+    Rebalancing keeps small runs in few files and splits large ones. The layout is the same at any size, so reports of
+    any size append to one path.
     """
-    keys = ["run_id", "segment_idx"]
-    folders = keys if segments <= MAX_SEGMENT_FOLDERS else keys[:1]
+    keys = ["run_id", *(name for name in ("segment_idx",) if name in rows.columns)]
     together = rows.hint("rebalance", *keys).sortWithinPartitions(*keys)
-    together.write.partitionBy(*folders).mode(mode).parquet(path)
+    together.write.partitionBy("run_id").mode(mode).parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Read an output of ``write_segments`` back; filters on run and segment prune folders or row groups."""
-    return spark.read.schema(schema).parquet(path)
+    """Read an output of ``write_part`` back; filters on run and segment prune folders and row groups."""
+    return with_keys(spark.read.schema(schema).parquet(path), ["run_id"])

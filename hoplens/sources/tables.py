@@ -2,12 +2,12 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hoplens.schema import EVENTS, SAMPLES
+from hoplens.schema import EVENTS, SAMPLES, with_keys
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Canonical samples stored as Parquet. Positions are stored with them, so nothing is numbered again."""
-    return spark.read.schema(SAMPLES).parquet(path).select(*SAMPLES.names)
+    return with_keys(spark.read.schema(SAMPLES).parquet(path), ["run_id"]).select(*SAMPLES.names)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -9,15 +9,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hoplens.functions.parsing import decoded_path, parse_lines, run_from_path, target_from_path
-from hoplens.schema import SERIES, TEXT_SAMPLES
+from hoplens.schema import SERIES, TEXT_SAMPLES, with_keys
 
 RESULT_FILES = "ping_results_*.txt"
 
 
 def scan_runs(spark: SparkSession, *folders: str) -> DataFrame:
-    """Samples of all result files directly in the given run folders; patterns such as ``…/results_*`` work."""
+    """Samples of all result files directly in the given run folders; patterns such as ``…/results_*`` work.
+
+    Runs are named by their folder. Where folders lie in several roots, or roots are given as patterns, equal names would
+    merge runs, so a run is named by the whole path of its folder.
+    """
     lines = spark.read.option("pathGlobFilter", RESULT_FILES).text(list(folders))
-    return _named_samples(lines, one_file_per_series=True)
+    roots = {folder.rstrip("/").rpartition("/")[0] for folder in folders}
+    several = len(roots) > 1 or any(sign in root for root in roots for sign in "*?[{")
+    return _named_samples(lines, one_file_per_series=True, whole_path=several)
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
@@ -33,13 +39,13 @@ def scan_file(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_partitioned(spark: SparkSession, root: str, where: str | Column | None = None) -> DataFrame:
     """Samples of a partitioned text folder. ``where``, on ``run_id`` and ``target``, prunes whole folders."""
-    lines = spark.read.schema("value string, run_id string, target string").text(root)
+    lines = with_keys(spark.read.schema("value string, run_id string, target string").text(root), SERIES)
     if where is not None:
         lines = lines.where(where)
     return _number_parts(lines.select(*SERIES, "value", *_place())).select(*TEXT_SAMPLES.names)
 
 
-def _named_samples(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
+def _named_samples(lines: DataFrame, one_file_per_series: bool, whole_path: bool = False) -> DataFrame:
     """Samples whose run and target are in the path. They are taken from it last, so the shuffle carries one text.
 
     Where a series is one file, files too small to be split are read apart: nothing needs counting there.
@@ -55,8 +61,9 @@ def _named_samples(lines: DataFrame, one_file_per_series: bool) -> DataFrame:
     else:
         numbered = _number_parts(lines.select("value", *_place()))
     path = decoded_path(F.col("_file"))
+    run = F.regexp_extract(path, "^(?:[a-z0-9]+:)?/*(/.*)/", 1) if whole_path else run_from_path(path)
     return numbered.select(
-        run_from_path(path).alias("run_id"), target_from_path(path).alias("target"), "seq", "latency_ms", "malformed"
+        run.alias("run_id"), target_from_path(path).alias("target"), "seq", "latency_ms", "malformed"
     )
 
 

@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hoplens.operators.live import describe_live
+from hoplens.operators.summary import target_summary
 from hoplens.schema import SERIES
 from hoplens.settings import LIVE_WINDOW
 
+# Stands for a missing time or tie breaker: before all others.
+NO_CLOCK = -(2**62)
+
 
 def time_windows(stream: DataFrame, length: str, delay: str) -> DataFrame:
     """Mean latency and loss per series and stretch of event time. Rows later than ``delay`` are dropped."""
@@ -31,17 +35,19 @@ def time_windows(stream: DataFrame, length: str, delay: str) -> DataFrame:
     )
 
 
-def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW) -> DataFrame:
+def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW, idle_ms: int | None = None) -> DataFrame:
     """Live status of each series after each batch that brought samples of it; ``seq`` counts them.
 
     State is the last ``size`` samples by (``ts``, ``tie``), so the outcome does not depend on how rows fell into batches.
     Before the shuffle each Arrow batch keeps only its own last ``size`` rows of a series with the count of all,
-    so a series with very many rows reaches its one state holder thinned out.
+    so a series with very many rows reaches its one state holder thinned out. Samples without ``ts`` come before those with
+    one, by ``tie``. After ``idle_ms`` without samples the state of a series is freed, its last status having been given;
+    a later sample starts it anew. By default state stays.
     """
     rows = stream.select(
         *SERIES,
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        F.col(tie).cast("long").alias("tie"),
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_CLOCK)).alias("at"),
+        F.coalesce(F.col(tie).cast("long"), F.lit(NO_CLOCK)).alias("tie"),
         "latency_ms",
     )
     order = ["at", "tie"]
@@ -49,12 +55,15 @@ def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW) -> DataFr
     def keep_newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.sort_values(order)
-            in_series = batch.groupby(SERIES, sort=False)["at"].transform("size")
+            in_series = batch.groupby(SERIES, sort=False, dropna=False)["at"].transform("size")
             last = ~batch.duplicated(SERIES, keep="last")
             batch["n_rows"] = in_series.where(last, 0)
-            yield batch.groupby(SERIES, sort=False).tail(size)
+            yield batch.groupby(SERIES, sort=False, dropna=False).tail(size)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, at, ties, latencies = state.get if state.exists else (0, [], [], [])
         buffer = pd.DataFrame({"at": at, "tie": ties, "latency_ms": latencies}).astype(
             {"at": "int64", "tie": "int64", "latency_ms": "float64"}
@@ -64,6 +73,8 @@ def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW) -> DataFr
             buffer = pd.concat([buffer, batch[buffer.columns]]).sort_values(order).tail(size)
         latency = buffer["latency_ms"]
         state.update((seen, buffer["at"].tolist(), buffer["tie"].tolist(), latency.tolist()))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         top = latency.fillna(0.0).max()
         yield pd.DataFrame(
             {
@@ -83,67 +94,15 @@ def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW) -> DataFr
             "run_id string, target string, seq bigint, latest_ms double, window_max double",
             "seen bigint, at array<bigint>, tie array<bigint>, latency_ms array<double>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
     return describe_live(statuses)
 
 
 def summary_updates(stream: DataFrame) -> DataFrame:
-    """Running summary of each series after each batch that brought samples of it, as rows to append.
+    """Running summary of each series, for sinks that take updates, such as ``streams.store_updates``.
 
-    ``target_summary`` also takes a stream, for sinks that accept updates. This form suits sinks that only append, such as
-    files. Each Arrow batch is summed up before the shuffle.
+    Spark's own aggregation: each batch is added up before the shuffle. State is one row per series and stays.
     """
-    sums = "run_id string, target string, total bigint, successful bigint, sum_ms double, min_ms double, max_ms double"
-
-    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            latency = batch.groupby(SERIES, sort=False)["latency_ms"]
-            yield latency.agg(
-                total="size", successful="count", sum_ms="sum", min_ms="min", max_ms="max"
-            ).reset_index()
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["total", "successful", "sum_ms", "min_ms", "max_ms"]
-        parts = [pd.DataFrame([state.get], columns=names)] if state.exists else []
-        for batch in batches:
-            parts.append(batch)
-            parts = [merge(pd.concat(parts))]
-        merged = parts[0]
-        state.update(tuple(merged[name].iloc[0].item() for name in merged.columns))
-        yield merged.assign(run_id=key[0], target=key[1])
-
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "total": [int(parts["total"].sum())],
-                "successful": [int(parts["successful"].sum())],
-                "sum_ms": [float(parts["sum_ms"].sum())],
-                "min_ms": [float(parts["min_ms"].min())],
-                "max_ms": [float(parts["max_ms"].max())],
-            }
-        )
-
-    running = (
-        stream.select(*SERIES, "latency_ms")
-        .mapInPandas(sum_up, sums)
-        .groupBy(*SERIES)
-        .applyInPandasWithState(
-            update,
-            sums,
-            "total bigint, successful bigint, sum_ms double, min_ms double, max_ms double",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
-    arrived = F.col("successful") > 0
-    return running.select(
-        *SERIES,
-        "total",
-        "successful",
-        ((F.col("total") - F.col("successful")) / F.col("total") * 100).alias("packet_loss_pct"),
-        F.when(arrived, F.col("sum_ms") / F.col("successful")).alias("avg_ms"),
-        F.when(arrived, F.col("min_ms")).alias("min_ms"),
-        F.when(arrived, F.col("max_ms")).alias("max_ms"),
-    )
+    return target_summary(stream)

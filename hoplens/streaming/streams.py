@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from hoplens.functions.parsing import decoded_path, parse_lines, run_from_path, target_from_path
-from hoplens.schema import EVENTS, SAMPLES, SERIES
+from hoplens.schema import EVENTS, SAMPLES, SERIES, with_keys
 from hoplens.session import scratch_path
 from hoplens.sources.text import RESULT_FILES
 
@@ -18,7 +18,7 @@ def _files(spark: SparkSession, max_files: int | None):
 
 def sample_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Canonical samples landing as Parquet. The source takes new files, so producers land small ones."""
-    return _files(spark, max_files).schema(SAMPLES).parquet(path)
+    return with_keys(_files(spark, max_files).schema(SAMPLES).parquet(path), ["run_id"])
 
 
 def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def result_stream(spark: SparkSession, folders: str, max_files: int | None = Non
 def partitioned_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
     """Lines of a partitioned text folder as its files land."""
     lines = _files(spark, max_files).schema("value string, run_id string, target string").text(root)
-    return parse_lines(lines.select(*SERIES, "value"))
+    return parse_lines(with_keys(lines, SERIES).select(*SERIES, "value"))
 
 
 def store(
@@ -58,6 +58,20 @@ def store(
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
+def store_updates(
+    stream: DataFrame, path: str, checkpoint: str | None = None, every: str | None = REFRESH
+) -> StreamingQuery:
+    """Store the rows that each batch updates, a folder ``batch=…`` for each; a batch that is run again replaces its own."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(put)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
+    return writer.option("checkpointLocation", checkpoint).start()
+
+
 def store_samples(stream: DataFrame, path: str, **options) -> StreamingQuery:
     """Store samples by run and day. A folder per target would make a file per target and batch."""
     return store(

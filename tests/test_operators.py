@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hoplens.functions.series import display_value, fill_and_clip, fixed2, health_band, live_scale, span_text, zero_fill
 from hoplens.operators import hosts, live, regions, segments, summary, windows
 from hoplens.operators.extent import max_duration, measure
+from hoplens.operators.numbering import with_seq
 from hoplens.plans.report import analyse
 from hoplens.settings import Settings
 
@@ -282,3 +283,41 @@ def test_report(spark):
     assert report.segments.count() == 1 and report.summary_text.count() == 2
     off = analyse(model.frame(spark, XY), Settings(duration=30, no_segmentation=True))
     assert off.agg_series.count() == 0 and off.segments.first().segment_label == "entire_duration"
+
+
+@pytest.mark.parametrize("runs", [("r",), (None,), ("r", None), ("r", None, "", "q")])
+def test_null_keys_are_keys(spark, runs):
+    """A run or target that is NULL or empty gives the rows of any other, alone or beside others."""
+    rows = [(run, target, seq, float(seq)) for run in runs for target in (None, "", "a") for seq in range(1, 6)]
+    samples = spark.createDataFrame(rows, "run_id string, target string, seq bigint, latency_ms double")
+    assert segments.segment_raw(samples, 2).count() == 12 * len(runs)
+    high = regions.high_latency(samples, 0.5, None)
+    assert [(row.start_s, row.end_s) for row in regions.regions(high, None, by_target=True).collect()] == [(1, 4)] * 3 * len(runs)
+    assert regions.samples_in_regions(samples, 0.5, None, max_broadcast_times=0).count() == 12 * len(runs)
+    many = measure(samples, max_runs=0)
+    assert segments.segment_raw(samples, 2, many).count() == 12 * len(runs)
+    numbered = with_seq(samples.drop("seq"), ["latency_ms"], rows_per_task=2)
+    assert numbered.where("seq = latency_ms").count() == len(rows)
+
+
+def test_silent_targets_of_a_run(spark):
+    rows = [("r1", "a", 1, 1.0), ("r1", "b", 1, 1.0), ("r2", "a", 1, 1.0), (None, "b", 1, 1.0)]
+    samples = spark.createDataFrame(rows, "run_id string, target string, seq bigint, latency_ms double")
+    found = hosts.silent_in_runs(spark.createDataFrame([("a",), ("b",)], "target string"), samples)
+    assert {tuple(row) for row in found.select("run_id", "target").collect()} == {("r2", "b"), (None, "a")}
+
+
+def test_one_range_for_a_short_series(spark):
+    """Many short series beside a long one: a range for each, not a row for each of the long one's segments."""
+    rows = [("r", f"h{n}", 1, 1.0) for n in range(50)] + [("r", "long", seq, 1.0) for seq in range(1, 2001)]
+    samples = spark.createDataFrame(rows, "run_id string, target string, seq bigint, latency_ms double")
+    found = segments.empty_segment_ranges(samples, 2, aggregate=False)
+    assert found.count() == 50
+    assert segments.empty_segments(samples, 2, aggregate=False).count() == 50 * 999
+
+
+def test_small_values_are_written_out(spark):
+    rows = spark.createDataFrame([(0.0005,), (1e-5,), (12.5,), (900.0,), (None,), (0.0,)], "v double")
+    assert [row.text for row in rows.select(display_value(F.col("v")).alias("text")).collect()] == [
+        "0.0005 ms", "0.00001 ms", "12.5 ms", "800.0 ms", "Lost", "0.0 ms",
+    ]

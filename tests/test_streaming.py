@@ -6,6 +6,7 @@ import pytest
 
 from hoplens.operators.live import live_status
 from hoplens.operators.summary import target_summary
+from hoplens.schema import SAMPLES
 from hoplens.streaming import operators, streams
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -48,7 +49,9 @@ def test_summary_updates(spark, tmp_path):
     data["run0"]["gone"] = [None] * 5
     land(spark, data, tmp_path / "in", 3)
     stream = operators.summary_updates(streams.sample_stream(spark, str(tmp_path / "in"), max_files=1))
-    updates, _ = finish(spark, stream, tmp_path / "out")
+    streams.run_to_end(streams.store_updates(stream, str(tmp_path / "out"), str(tmp_path / "state"), every=None))
+    updates = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
     last = streams.newest(updates, ["run_id", "target"], "total").collect()
     want = model.summary(data)
     assert {(row.run_id, row.target) for row in last} == want.keys()
@@ -57,6 +60,24 @@ def test_summary_updates(spark, tmp_path):
             assert (a is None and b is None) or abs(a - b) < 1e-9
 
 
+def test_samples_without_clock_and_key(spark, tmp_path):
+    """Text samples have no time and a key may be missing: positions order them, over several batches."""
+    for first in (1, 41, 81):
+        rows = [("r", target, seq, None, float(seq), False) for target in (None, "a") for seq in range(first, first + 40)]
+        frame = spark.createDataFrame(rows, SAMPLES)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = streams.sample_stream(spark, str(tmp_path / "in"), max_files=1)
+    for idle in (None, 3_600_000):
+        stream = operators.live_updates(source, "seq", idle_ms=idle)
+        updates, _ = finish(spark, stream, tmp_path / f"live-{idle}")
+        last = {row.target: row for row in streams.newest(updates, ["run_id", "target"], "seq").collect()}
+        assert {target: (row.seq, row.window_max) for target, row in last.items()} == {None: (120, 120.0), "a": (120, 120.0)}
+    summary = operators.summary_updates(source)
+    streams.run_to_end(streams.store_updates(summary, str(tmp_path / "sum"), every=None))
+    stored = spark.read.schema(summary.schema).parquet(str(tmp_path / "sum"))
+    assert {row.target: row.total for row in streams.newest(stored, ["run_id", "target"], "total").collect()} == {None: 120, "a": 120}
+
+
 def test_summary_of_a_stream_with_updates(spark, tmp_path):
     data = model.random_data(8, runs=1, targets=2)
     land(spark, data, tmp_path / "in", 2)

@@ -8,7 +8,6 @@ from hoplens.operators.hosts import silent_targets
 from hoplens.plans.report import analyse, write_report
 from hoplens import Settings, analyse_file, analyse_runs, ingest_runs, read_samples
 from hoplens.schema import SAMPLES, TEXT_SAMPLES
-from hoplens.sources import sinks
 from hoplens.sources.sinks import read_segments, write_text
 from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
 
@@ -120,22 +119,47 @@ def test_text_round_trip(spark, conf, tmp_path):
     one = scan_partitioned(spark, path, "target = '01'")
     assert [row.latency_ms for row in one.orderBy("seq").collect()] == [1e-5, 1e16, -0.5, None]
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(target" in plan
+    assert "PartitionFilters: [(coalesce(target" in plan
     part = scan_file(spark, f"{path}/run_id=run0/target=%3A%3A1")
     assert part.where("latency_ms <> seq - 1").isEmpty() and part.count() == 500
 
 
-@pytest.mark.parametrize("folders", [10_000, 0])
-def test_report_round_trip(spark, tmp_path, monkeypatch, folders):
-    monkeypatch.setattr(sinks, "MAX_SEGMENT_FOLDERS", folders)
-    samples = model.frame(spark, model.random_data(10))
-    report = analyse(samples)
-    write_report(report, str(tmp_path))
-    for name in ("segments", "raw_series", "agg_series", "regions"):
-        want = getattr(report, name)
+def test_reports_of_any_size_share_a_path(spark, tmp_path):
+    """A small and a large report, one with many segments, are read back together, all parts of them."""
+    long = {"long": {"h": [float(n % 700) for n in range(30_000)], "short": [1.0]}}
+    expected = spark.createDataFrame([("h",), ("absent",)], "target string")
+    reports = [analyse(model.frame(spark, data), expected=expected) for data in (model.random_data(10), long)]
+    for report in reports:
+        write_report(report, str(tmp_path))
+    for name in reports[0]._fields:
+        want = getattr(reports[0], name).unionByName(getattr(reports[1], name))
         back = read_segments(spark, f"{tmp_path}/{name}", want.schema)
-        assert (tmp_path / name / "run_id=run0" / "segment_idx=0").exists() is (folders > 0)
         assert back.select(want.columns).exceptAll(want).isEmpty() and back.count() == want.count()
+    assert {row.target for row in reports[1].silent.collect()} == {"absent"}
+
+
+def test_equal_folder_names_stay_two_runs(spark, tmp_path):
+    for place, value in (("a", 1), ("b", 2)):
+        folder = tmp_path / place / f"results_{FIRST}"
+        folder.mkdir(parents=True)
+        (folder / "ping_results_x.txt").write_text(f"{value}\n")
+    for folders in ([f"{tmp_path}/a/results_*", f"{tmp_path}/b/results_*"], [f"{tmp_path}/*/results_*"]):
+        rows = scan_runs(spark, *folders).collect()
+        assert len({row.run_id for row in rows}) == 2 and {row.seq for row in rows} == {1}
+    assert scan_runs(spark, f"{tmp_path}/a/results_*").first().run_id == FIRST
+
+
+def test_ingesting_again_changes_nothing(spark, root, tmp_path):
+    table = str(tmp_path / "table")
+    first = series(ingest_runs(spark, table, f"{root}/results_*"))
+    assert series(ingest_runs(spark, table, f"{root}/results_{FIRST}")) == first
+
+
+def test_empty_keys_come_back(spark, tmp_path):
+    samples = spark.createDataFrame([("r", "", 1, 5.0), ("r", "a", 1, 6.0)], "run_id string, target string, seq bigint, latency_ms double")
+    write_text(samples, str(tmp_path / "text"))
+    assert {row.target for row in scan_partitioned(spark, str(tmp_path / "text")).collect()} == {"", "a"}
+    assert [row.latency_ms for row in scan_partitioned(spark, str(tmp_path / "text"), "target = ''").collect()] == [5.0]
 
 
 def test_ingest_and_analyse(spark, root, tmp_path):
@@ -149,7 +173,7 @@ def test_ingest_and_analyse(spark, root, tmp_path):
     file = analyse_file(spark, f"{root}/results_{FIRST}/ping_results_8.8.8.8.txt", Settings(latency_threshold=24.5))
     assert [(row.start_s, row.end_s) for row in file.regions.collect()] == [(3, 5)]
     nothing = analyse_file(spark, f"{root}/nothing.txt")
-    assert all(frame.count() == 0 for frame in nothing[:-1])
+    assert all(frame.count() == 0 for frame in nothing)
 
 
 def test_lines_are_stripped_once(spark):
