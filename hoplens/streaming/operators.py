@@ -42,7 +42,8 @@ def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW, idle_ms:
     Before the shuffle each Arrow batch keeps only its own last ``size`` rows of a series with the count of all,
     so a series with very many rows reaches its one state holder thinned out. Samples without ``ts`` come before those with
     one, by ``tie``. After ``idle_ms`` without samples the state of a series is freed, its last status having been given;
-    a later sample starts it anew. By default state stays.
+    a later sample starts it anew. Such a query must be paced, as one that ends with the data there is waits for timeouts. By
+    default state stays.
     """
     rows = stream.select(
         *SERIES,

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import model
 import pytest
@@ -67,17 +68,32 @@ def test_samples_without_clock_and_key(spark, tmp_path):
         frame = spark.createDataFrame(rows, SAMPLES)
         frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = streams.sample_stream(spark, str(tmp_path / "in"), max_files=1)
-    for idle in (None, 3_600_000):
-        stream = operators.live_updates(source, "seq", idle_ms=idle)
-        updates, _ = finish(spark, stream, tmp_path / f"live-{idle}")
-        last = {row.target: row for row in streams.newest(updates, ["run_id", "target"], "seq").collect()}
-        assert {target: (row.seq, row.window_max) for target, row in last.items()} == {None: (120, 120.0), "a": (120, 120.0)}
+    updates, _ = finish(spark, operators.live_updates(source, "seq"), tmp_path / "live")
+    last = {row.target: row for row in streams.newest(updates, ["run_id", "target"], "seq").collect()}
+    assert {target: (row.seq, row.window_max) for target, row in last.items()} == {None: (120, 120.0), "a": (120, 120.0)}
     summary = operators.summary_updates(source)
     streams.run_to_end(streams.store_updates(summary, str(tmp_path / "sum"), every=None))
     stored = spark.read.schema(summary.schema).parquet(str(tmp_path / "sum"))
     assert {row.target: row.total for row in streams.newest(stored, ["run_id", "target"], "total").collect()} == {None: 120, "a": 120}
 
 
+def test_idle_state_is_freed(spark, tmp_path):
+    land(spark, {"r": {"a": [1.0] * 5, "b": [2.0] * 3}}, tmp_path / "in", 1)
+    stream = operators.live_updates(streams.sample_stream(spark, str(tmp_path / "in")), "seq", idle_ms=1)
+    query = streams.store(stream, str(tmp_path / "out"), every="100 milliseconds")
+    try:
+        for _ in range(300):
+            time.sleep(0.2)
+            last = query.lastProgress
+            if last and last["batchId"] > 0 and last["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+    finally:
+        query.stop()
+    assert last["stateOperators"][0]["numRowsTotal"] == 0
+    stored = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert {row.target: row.seq for row in stored.collect()} == {"a": 5, "b": 3}
+
+
 def test_summary_of_a_stream_with_updates(spark, tmp_path):
     data = model.random_data(8, runs=1, targets=2)
     land(spark, data, tmp_path / "in", 2)
