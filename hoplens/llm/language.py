@@ -121,7 +121,7 @@ class Network:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(2, keepdims=True))
+    x = np.exp(x - x.max(2, keepdims=True, initial=-np.inf))
     return x / x.sum(2, keepdims=True)
 
 
@@ -167,9 +167,6 @@ class Reader:
         self.sums = np.zeros((0, len(network.languages)), np.float32)
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            self.sums = self.sums[:0]
         sums = np.empty((len(new), len(self.network.languages)), np.float32)
         lengths = np.array([len(run) for run in new])
         for length in np.unique(lengths):
@@ -186,11 +183,13 @@ class Reader:
         """Each text's mean probabilities, and its number of letters' bytes."""
         runs = [letter_runs(text) for text in texts]
         used = set().union(*runs)
-        if new := [run for run in used if run not in self.known]:
-            before = len(self.known)
+        new = [run for run in used if run not in self.known]
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            self.sums = self.sums[:0]
+            new = list(used)
+        if new:
             self._learn(new)
-            if len(self.known) < before + len(new):  # started anew
-                self._learn([run for run in used if run not in self.known])
         total = np.zeros((len(texts), len(self.network.languages)))
         size = np.zeros(len(texts), np.int64)
         for i, own in enumerate(runs):
@@ -228,8 +227,9 @@ def train(docs: DataFrame, may_train: Column, language: str = "lang") -> Network
 
 def _labels(network: Network, texts: list[bytes], reader: Reader) -> tuple[list[str], list[float]]:
     pooled, size = reader.read([text.decode() for text in texts])
-    best = pooled.argmax(1) if network.languages else np.zeros(len(texts), int)
-    known = (size > 0) & bool(network.languages)
+    if not network.languages:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    best, known = pooled.argmax(1), size > 0
     names = [network.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
     return names, [float(min(1.0, row[b])) if k else 0.0 for row, b, k in zip(pooled, best, known, strict=True)]
 
