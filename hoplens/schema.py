@@ -13,7 +13,7 @@ SERIES = ["run_id", "target"]
 
 def with_keys(rows: DataFrame, folders: list[str]) -> DataFrame:
     """Rows whose keys were folder names: an empty one is read as NULL and becomes empty again. Filters still prune."""
-    return rows.withColumns({name: F.coalesce(name, F.lit("")) for name in folders})
+    return rows.withColumns({name: F.when(F.col(name).isNull(), "").otherwise(F.col(name)) for name in folders})
 
 
 SAMPLES = T.StructType(
