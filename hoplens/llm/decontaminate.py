@@ -230,7 +230,7 @@ def contaminated(
     spark = docs.sparkSession
     found = None
     for seeds in _blocks(benchmark, item, least):
-        part = docs.select("doc_id", "text").mapInArrow(search(spark.sparkContext.broadcast(seeds)), schema)
+        part = docs.select("doc_id", "text").mapInArrow(words.frugal(search(spark.sparkContext.broadcast(seeds))), schema)
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -259,5 +259,5 @@ def clean_rows(
         return run
 
     for seeds in _blocks(benchmark, item, least):
-        docs = docs.mapInArrow(keep(spark.sparkContext.broadcast(seeds)), docs.schema)
+        docs = docs.mapInArrow(words.frugal(keep(spark.sparkContext.broadcast(seeds))), docs.schema)
     return docs

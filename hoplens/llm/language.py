@@ -259,7 +259,7 @@ def identify(docs: DataFrame, network: Network, also: dict[str, Column] | None =
                     [*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names
                 )
 
-    return rows.mapInArrow(label, schema)
+    return rows.mapInArrow(words.frugal(label), schema)
 
 
 def in_known_languages(docs: DataFrame, network: Network, least_score: float) -> DataFrame:
@@ -274,4 +274,4 @@ def in_known_languages(docs: DataFrame, network: Network, least_score: float) ->
                 stays = [name != UNKNOWN and score >= least_score for name, score in zip(names, scores, strict=True)]
                 yield part.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(words.frugal(keep), docs.schema)

@@ -72,7 +72,7 @@ def _lines(docs: DataFrame, window: int, least_words: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    return rows.mapInArrow(read, schema)
+    return rows.mapInArrow(words.frugal(read), schema)
 
 
 def _least_runs(near: DataFrame, least_words: int) -> DataFrame:

@@ -74,7 +74,7 @@ def cut_pieces(docs: DataFrame, capacity: int, ranks: str, pattern: str) -> Data
                     names=schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(encode, schema)
+    return docs.select("doc_id", "text").mapInArrow(words.frugal(encode), schema)
 
 
 class _Bins:

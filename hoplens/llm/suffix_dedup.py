@@ -195,7 +195,7 @@ def _grams(rows: DataFrame, length: int, located: bool) -> DataFrame:
                     columns = [pa.array(gram.view(np.int64)), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.select("key", "text").mapInArrow(read, schema)
+    return rows.select("key", "text").mapInArrow(words.frugal(read), schema)
 
 
 def _stretches(near: DataFrame, length: int) -> DataFrame:
@@ -244,7 +244,7 @@ def _stretches(near: DataFrame, length: int) -> DataFrame:
                     held, size = {}, 0
         yield taken(held)
 
-    return near.select("key", "doc_id", "text", "at").mapInArrow(read, schema)
+    return near.select("key", "doc_id", "text", "at").mapInArrow(words.frugal(read), schema)
 
 
 _KEY = 16  # bytes of a row's key
@@ -337,7 +337,7 @@ def _sorted(stretches: DataFrame, length: int) -> DataFrame:
         yield sorter.taken()
 
     dealt = stretches.repartition("bucket").sortWithinPartitions("bucket", "digest")
-    return dealt.mapInArrow(run, "key binary, start int, number int")
+    return dealt.mapInArrow(words.frugal(run), "key binary, start int, number int")
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
@@ -377,7 +377,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    return rows.select("doc_id", "text", "found").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "found").mapInArrow(words.frugal(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:

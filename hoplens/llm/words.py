@@ -1,6 +1,8 @@
 """Hashed words of texts, for operators that run NumPy inside Spark tasks."""
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,8 @@ import xxhash
 KNOWN_WORDS = 400_000
 #: Bytes of text that are taken apart at a time, so that a batch of long texts needs little memory.
 SLICE_BYTES = 4 << 20
+#: Bytes of text whose distinct results a task gathers before it passes them on.
+GATHERED_BYTES = 16 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LOWER = _LOWER
@@ -78,3 +82,34 @@ def sliced(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
         part = batch.slice(first, last - first)
         yield part, texts_of(part.column(text))
         first = last
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[list[list[bytes]]]:
+    """Texts in slices, GATHERED_BYTES or a little more at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for _, texts in sliced(batch, text):
+            held.append(texts)
+            size += sum(map(len, texts))
+            if size >= GATHERED_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def frugal(run: Callable) -> Callable:
+    """A task's function that at its end gives unused memory back to the system, since workers stay for later stages."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _known.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
