@@ -13,6 +13,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # MB that all stores of an executor share; what is read again is on its disk.
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
     # No files of megabytes set aside for each small partition of the state.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # A partition's store is closed with its task, so an executor holds as many as it runs tasks.
