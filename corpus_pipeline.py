@@ -17,6 +17,7 @@ LEAST_SCORE = 0.3
 NGRAM, SIMILAR = 5, (4, 5)
 CAPACITY = 2048
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SPECIAL = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences."""
-    return packing.pack(docs, CAPACITY, RANKS, public_tokenizers.PATTERN)
+    return packing.pack(docs, CAPACITY, RANKS, public_tokenizers.PATTERN, SPECIAL)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -1,5 +1,6 @@
 """Documents packed into token sequences of one length."""
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -16,21 +17,35 @@ END = 0
 #: Blocks that the pieces of one length are numbered in.
 NUMBER_BLOCKS = 64
 
+#: Strings that are one token wherever a text holds them, with their ids.
+Special = tuple[tuple[str, int], ...]
+
+
+def added_tokens(vocabulary: str) -> Special:
+    """The added tokens of a vocabulary file of the library ``tokenizers``."""
+    with open(vocabulary, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if any(token[option] for option in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{token['content']!r} is not matched as plain text")
+    return tuple((token["content"], token["id"]) for token in added)
+
 
 @cache
-def _encoder(ranks: str, pattern: str):
+def _encoder(ranks: str, pattern: str, special: Special):
     import base64
 
     import tiktoken
 
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=dict(special))
 
 
-def _ids(text: str, ranks: str, pattern: str) -> np.ndarray:
-    """The ids of a text, and END. Strings of special tokens are ordinary text."""
-    return np.array([*_encoder(ranks, pattern).encode_ordinary(text), END], "<u4")
+def _ids(text: str, ranks: str, pattern: str, special: Special) -> np.ndarray:
+    """The ids of a text, and END."""
+    encoder = _encoder(ranks, pattern, special)
+    return np.array([*(encoder.encode(text, allowed_special="all") if special else encoder.encode_ordinary(text)), END], "<u4")
 
 
 def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -39,7 +54,7 @@ def pieces_of(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(start, capacity) for start in range(first, length, capacity)]
 
 
-def cut_pieces(docs: DataFrame, capacity: int, ranks: str, pattern: str) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int, ranks: str, pattern: str, special: Special = ()) -> DataFrame:
     """Token pieces of every row: ``doc_id, piece, start, length, ids_crc32``. Tokens themselves aren't kept."""
     schema = T.StructType(
         [
@@ -56,7 +71,7 @@ def cut_pieces(docs: DataFrame, capacity: int, ranks: str, pattern: str) -> Data
             for part, texts in words.sliced(batch):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, text in enumerate(texts):
-                    ids = _ids(text.decode(), ranks, pattern)
+                    ids = _ids(text.decode(), ranks, pattern, special)
                     for k, (at, size) in enumerate(pieces_of(len(ids), capacity)):
                         row.append(i)
                         piece.append(k)
@@ -164,11 +179,12 @@ def _places(bins: list[_Bins]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, capacity: int, ranks: str, pattern: str) -> DataFrame:
+def pack(docs: DataFrame, capacity: int, ranks: str, pattern: str, special: Special = ()) -> DataFrame:
     """Packs every document into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. ``ranks`` and ``pattern`` are a
-    byte-level vocabulary and its splitting pattern; the vocabulary file lies on every executor. Only documents longer than
+    byte-level vocabulary and its splitting pattern; the vocabulary file lies on every executor. Strings of ``special`` tokens
+    are one token each wherever a text holds them; without any they are ordinary text. Only documents longer than
     a sequence are cut. A null text is empty and has the end token alone; repeated rows are packed each; other columns are
     not read; an empty table gives no rows.
 
@@ -177,7 +193,7 @@ def pack(docs: DataFrame, capacity: int, ranks: str, pattern: str) -> DataFrame:
     The plan has some five kinds of bins for each length, and a bin at most sqrt(2 capacity) lengths, whatever the input.
     """
     pieces = cut(
-        cut_pieces(docs, capacity, ranks, pattern).withColumn(
+        cut_pieces(docs, capacity, ranks, pattern, special).withColumn(
             "__block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(NUMBER_BLOCKS)).cast("int")
         )
     )

@@ -1,16 +1,18 @@
 """Packing, decontamination and language."""
 
 import collections
+import json
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import plain
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from hoplens.llm import decontaminate, language, packing, words
+from hoplens.llm import decontaminate, language, packing, queries, words
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,6 +38,35 @@ def test_pieces_hold_the_tokens(documents, odd, tokenizer):
     check_sequences(found, 64)
 
 
+def test_added_tokens_in_texts(spark, documents, tmp_path, odd):
+    mark = "<|endoftext|>"
+    texts = [mark, f"end {mark} start", f"a  {mark}{mark}\n it's{mark}", f"{mark} " * 3000, "<|endoftext|", f"é{mark}😀 <|{mark}|>"]
+    rows = [*[r for r in odd if r[0] != 6], *enumerate(texts, 40)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    named = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for doc_id, text in rows:
+        ids = [*named.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, (start, length) in enumerate(packing.pieces_of(len(ids), 2048)):
+            own = np.array(ids[start : start + length], "<u4")
+            want[doc_id, piece, start, length, zlib.crc32(own.tobytes())] += 1
+    packed = corpus_pipeline.packed(spark, documents(rows), str(tmp_path))
+    for result in (queries.op8_packing(spark, str(tmp_path)), packed):
+        found = result.collect()
+        assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+        check_sequences(found, 2048)
+
+
+def test_added_tokens_with_options(tmp_path):
+    token = {"id": 9, "content": "<x>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps({"added_tokens": [token]}))
+    assert packing.added_tokens(str(path)) == (("<x>", 9),)
+    path.write_text(json.dumps({"added_tokens": [token | {"lstrip": True}]}))
+    with pytest.raises(ValueError, match="<x>"):
+        packing.added_tokens(str(path))
+
+
 def check_sequences(found, capacity):
     sequences = collections.defaultdict(list)
     for r in found:
