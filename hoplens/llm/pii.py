@@ -5,6 +5,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hoplens.llm import spans
 from hoplens.llm.common import whole_text
 
+# Lengths of account numbers by country, those of the registry and, at the end, those in use without an entry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST AO CV GW MZ",
+    26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(
+    rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, countries in IBAN_LENGTHS.items()
+)
+
 # The shapes proposed. Repetitions that nothing follows are possessive, so that long runs need no deep
 # stack; a look behind keeps long runs from being searched again from each of their characters.
 PATTERNS = {
@@ -12,7 +23,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # Score without context, and the words that raise it by BOOST.
@@ -26,6 +37,8 @@ WORDS = {
     "ssn": "ssn|social security",
 }
 BOOST = 0.3
+#: Kinds of which a match that isn't confirmed hides none that starts inside it.
+INSIDE = ("iban",)
 #: An added kind below this score is no span. The base kinds stay at any score.
 LEAST_SCORE = 0.5
 BASE = ("email", "ip", "card", "phone")
@@ -96,7 +109,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     text = whole_text()
     every = [
-        spans.find(text, pattern, kind, rank, lambda value, kind=kind: _confirmed(kind, value), _need(kind, text))
+        spans.find(text, pattern, kind, rank, lambda value, kind=kind: _confirmed(kind, value), _need(kind, text), kind in INSIDE)
         for rank, (kind, pattern) in enumerate(PATTERNS.items())
     ]
     scored = F.transform(

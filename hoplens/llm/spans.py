@@ -15,15 +15,47 @@ CONTEXT = 40
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string,before:string,after:string>"
 
 
-def find(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column], Column], need: Column) -> Column:
+def find(
+    text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column], Column], need: Column, inside: bool = False
+) -> Column:
     """Leftmost non-overlapping matches that pass ``keep``, as an array of spans. ``need`` is a cheap condition that every
-    text with a match meets; other texts are not searched."""
+    text with a match meets; other texts are not searched.
+
+    Matches are told apart before ``keep`` sees them, so one that fails hides others that start in it. With ``inside`` it
+    hides none: a copy of each match is put before its place, and those that pass and don't overlap are taken. Such patterns
+    have no groups.
+    """
     plain = F.translate(text, OPEN + CLOSE, "\u0003\u0003")
-    pieces = F.split(F.regexp_replace(plain, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
+    if inside:
+        pieces = F.split(F.regexp_replace(plain, f"(?=({pattern}))", f"{OPEN}$1{CLOSE}"), OPEN)
+    else:
+        pieces = F.split(F.regexp_replace(plain, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
     start = F.struct(
         F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("found")
     )
 
+    def step_inside(state: Column, piece: Column) -> Column:
+        split = F.instr(piece, CLOSE)
+        value = F.when(split > 0, F.substring_index(piece, CLOSE, 1))
+        rest = F.substring_index(piece, CLOSE, -1)  # with the match itself
+        behind = F.substring(rest, F.length(value) + 1, F.length(rest))
+        span = F.struct(
+            state["at"].alias("start"),
+            F.lit(rank).alias("rank"),
+            (state["at"] + F.length(value)).alias("end"),
+            F.lit(kind).alias("kind"),
+            value.alias("value"),
+            state["tail"].alias("before"),
+            F.substring(behind, 1, CONTEXT).alias("after"),
+        )
+        free = F.coalesce(F.get(state["found"], F.size(state["found"]) - 1)["end"] <= state["at"], F.lit(True))
+        kept = F.when(split > 0, free & keep(value)).otherwise(False)
+        return F.struct(
+            (state["at"] + F.length(rest)).alias("at"),
+            F.right(F.when(kept, behind).otherwise(F.concat(state["tail"], rest)), F.lit(CONTEXT)).alias("tail"),
+            F.when(kept, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"),
+        )
+
     def step(state: Column, piece: Column) -> Column:
         split = F.instr(piece, CLOSE)
         value = F.when(split > 0, F.substring_index(piece, CLOSE, 1))
@@ -45,7 +77,7 @@ def find(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Colum
             .alias("found"),
         )
 
-    found = F.aggregate(pieces, start, step, lambda state: state["found"])
+    found = F.aggregate(pieces, start, step_inside if inside else step, lambda state: state["found"])
     return F.when(need, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 

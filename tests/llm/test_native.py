@@ -1,6 +1,7 @@
 """Personal data, secrets and shards: DataFrame functions only."""
 
 import random
+import re
 import zlib
 
 import plain
@@ -50,6 +51,55 @@ def test_checks_and_context(documents):
     assert [round(s["score"], 2) for s in rows[3]] == [0.9]
 
 
+def test_ibans_before_words_and_numbers(documents):
+    spaced, plain_one, british, norwegian = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"
+    british_spaced, maltese = "GB82 WEST 123456 98765432", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    cases = [
+        (f"IBAN {spaced} Please pay", [spaced]), (f"IBAN {british} The", [british]), (f"IBAN {plain_one} BIC COBADEFFXXX", [plain_one]),
+        (f"IBAN {plain_one} 2024", [plain_one]), (f"{spaced} {british} {norwegian} 1", [spaced, british, norwegian]),
+        (f"pay {british_spaced} NOW 12", [british_spaced]), (f"{maltese} MALTA", [maltese]), (f"{plain_one}0 {spaced}0", []),
+        (f"room SE24 {spaced} Please", [spaced]), (f"\U0001f600 é {norwegian} A {plain_one}", [norwegian, plain_one]),
+        ("DE88 3704 0044 0532 0130 00 Please", []), (f"X{plain_one} {plain_one}x", []), (f"{plain_one}.", [plain_one]),
+    ]
+    found = {r.doc_id: r.found for r in pii.find_pii(documents([(i, text) for i, (text, _) in enumerate(cases)])).collect()}
+    for i, (text, want) in enumerate(cases):
+        spans = [s for s in found[i] if s["kind"] == "iban"]
+        assert [s["value"] for s in spans] == want == [text[s["start"] : s["end"]] for s in spans]
+        assert all(round(s["score"], 2) == (1.0 if "IBAN" in text else 0.9) for s in spans)
+
+
+def test_ibans_equal_plain_search(documents):
+    lengths = {country: length for length, countries in pii.IBAN_LENGTHS.items() for country in countries.split()}
+    random.seed(7)
+
+    def account(country):
+        own = "".join(random.choice("0123456789ABCXYZ") for _ in range(lengths[country] - 4))
+        rest = int("".join(str(int(c, 36)) for c in own + country + "00")) % 97
+        whole = f"{country}{98 - rest:02}{own}"
+        size = random.choice([4, 4, 99])
+        return " ".join(whole[i : i + size] for i in range(0, len(whole), size))
+
+    def searched(text):
+        out, end = [], 0
+        for start in range(len(text)):
+            if start < end or (start and text[start - 1].isascii() and text[start - 1].isalnum()):
+                continue
+            length = lengths.get(text[start : start + 2])
+            m = length and re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}(?![A-Za-z0-9])").match(text, start)
+            if m and int("".join(str(int(c, 36)) for c in (m[0].replace(" ", "")[4:] + m[0][:4]))) % 97 == 1:
+                out.append((start, m.end()))
+                end = m.end()
+        return out
+
+    rows = []
+    for i, country in enumerate(sorted(lengths) * 3):
+        rows.append((i, " ".join(random.choice(["Pay", "SE24", "AT12", "2024", "COBADEFF", "x", "\U0001f600", account(country)]) for _ in range(8)) + f" {account(country)} A"))
+    want = {i: searched(text) for i, text in rows}
+    assert sum(map(len, want.values())) >= len(rows)
+    for r in pii.find_pii(documents(rows)).collect():
+        assert [(s["start"], s["end"]) for s in r.found if s["kind"] == "iban"] == want[r.doc_id]
+
+
 def test_secrets_equal_plain_search(documents, odd):
     rows = [*enumerate(texts(SECRETS, 2), 100), *odd, (8, "token= " * 20_000), (9, "AKIA" * 20_000)]
     found = secret_scan.find_secrets(documents(rows)).collect()
