@@ -85,6 +85,29 @@ def test_similar_groups(documents, odd, size, p, q, entries, few):
     assert collections.Counter((r.doc_id, r.n, r.component_id) for r in found) == plain.similar_groups(rows, size, p, q)
 
 
+@pytest.mark.parametrize("similar", [(1, 4), (1, 2), (3, 5), (2, 3), (4, 5), (9, 10)])
+def test_similar_sets_share_a_key(similar):
+    p, q = similar
+    entries = np.arange(1, 120, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for size in range(1, 120):
+            whole = jaccard_join.signatures(entries[:size], similar)
+            assert len(set(whole.tolist())) == len(whole)
+            for least in range(-(-size * p // q), size + 1):  # the other has the last entries only
+                assert np.isin(jaccard_join.signatures(entries[size - least : size], similar), whole).any()
+
+
+@pytest.mark.parametrize("p, q", [(1, 2), (3, 5)])
+def test_pairs_of_far_sizes(documents, p, q):
+    rows = []
+    for size in (4, 6, 13, 19, 30, 50, 90):
+        for least in range(-(-size * p // q) - 1, size):  # own words, so that a pair is a component
+            name = f"s{size}x{least}w"
+            rows += [(len(rows), " ".join(f"{name}{i}" for i in range(size))), (len(rows) + 1, " ".join(f"{name}{i}" for i in range(least)))]
+    found = jaccard_join.similar_groups(documents(rows), 1, (p, q)).collect()
+    assert collections.Counter((r.doc_id, r.n, r.component_id) for r in found) == plain.similar_groups(rows, 1, p, q)
+
+
 def test_one_of_each(documents, odd):
     rows = [*odd, *similar_texts(3)]
     docs = documents(rows)
