@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hoplens.session import shared_folder
+from hoplens.session import use_checkpoints
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,7 +24,7 @@ def lower_ascii(text: Column) -> Column:
 
 def cut(frame: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: lineage ends here and a lost executor loses nothing."""
-    shared_folder(frame.sparkSession)
+    use_checkpoints(frame.sparkSession)
     return frame.checkpoint()
 
 

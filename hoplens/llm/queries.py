@@ -5,14 +5,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hoplens.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, packing, pii, secret_scan, sharding, spans, suffix_dedup
+from hoplens.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, packing, pii, secret_scan, sharding, spans, suffix_dedup, token_files
 from hoplens.llm.common import read_documents
+from hoplens.session import scratch_path
 
 SHARDS = 40
 CAPACITY = 2048
 #: The vocabulary of byte_bpe_50k.json as ranks, which lack its added tokens. With these ids are the same, and encoding takes a
 #: fifth of the time.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 SPECIAL = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -95,6 +98,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    token_files.write_tokens(read_documents(spark, sf_dir), folder, VOCABULARY, END_ID)
+    return token_files.read_tokens(spark, folder, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
@@ -106,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_token_files": op12_token_files,
 }
 
 SQL = {
