@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hoplens.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, packing, pii, secret_scan, sharding, spans, suffix_dedup, token_files
+from hoplens.llm import decontaminate, exact_dedup, jaccard_join, language, line_dedup, merkle, packing, pii, prefix_trie, secret_scan, sharding, spans, suffix_dedup, token_files
 from hoplens.llm.common import read_documents
 from hoplens.session import scratch_path
 
@@ -98,12 +98,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt_paths(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     token_files.write_tokens(read_documents(spark, sf_dir), folder, VOCABULARY, END_ID)
     return token_files.read_tokens(spark, folder, with_ids=False)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = merkle.leaf_rows(read_documents(spark, sf_dir), merkle.hit_by_tampering())
+    return merkle.prove(merkle.build(leaves))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
@@ -115,9 +124,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_files": op12_token_files,
+    "op13_merkle": op13_merkle,
 }
 
+#: Unsigned CRC-32 of a text of ASCII characters, which DuckDB lacks: eight steps for each byte, by the reversed polynomial.
+CRC32 = """xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(1, length({0}) + 1), lambda i: ord(substr({0}, i::BIGINT, 1))::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))"""
+
+
+def _sql_leaf(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    parts = [f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')" for x in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
 SQL = {
     "op9_exact_dedup": """
         WITH rows AS (
@@ -127,4 +151,75 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM rows WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op11_prefix_trie": f"""
+        WITH own AS (
+            SELECT conv_id, list(coalesce(role, '') || chr(0) || coalesce(text, '') ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), headed AS (
+            SELECT *, ({CRC32.format("conv_id::VARCHAR")} % 9)::BIGINT AS h FROM own
+        ), rebuilt AS (
+            SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+            FROM headed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), prefixes AS (
+            SELECT conv_id, d AS depth, list_slice(turns, 1, d) AS prefix, d = len(turns) AS ended
+            FROM rebuilt, unnest(range(0, len(turns) + 1)) AS t(d)
+        ), nodes AS (
+            SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                CASE WHEN depth = 0 THEN 0
+                    ELSE octet_length(encode(substr(prefix[depth], strpos(prefix[depth], chr(0)) + 1))) END AS size,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+            FROM prefixes GROUP BY prefix, depth
+        ), under AS (
+            SELECT list_slice(parent.prefix, 1, parent.depth - 1) AS prefix, count(*) AS n_children FROM nodes parent WHERE depth > 0 GROUP BY 1
+        ), linked AS (
+            SELECT n.*, coalesce(u.n_children, 0) AS n_children FROM nodes n LEFT JOIN under u USING (prefix)
+        ), sums AS (
+            SELECT list_slice(l.prefix, 1, k) AS prefix, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+                sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+            FROM linked l, unnest(range(0, depth + 1)) AS t(k) GROUP BY 1
+        )
+        SELECT l.conv_id, l.depth, p.conv_id AS parent_conv_id, l.n_convs, l.n_children, s.n_leaves, s.saved_tokens, l.ends_sha256
+        FROM linked l JOIN sums s USING (prefix)
+        LEFT JOIN nodes p ON p.depth = l.depth - 1 AND p.prefix = list_slice(l.prefix, 1, l.depth - 1)
+    """,
+    "op13_merkle": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf, CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 7 = 0
+                THEN {_sql_leaf("(n_chars + 1)")} ELSE {_sql_leaf("n_chars")} END AS claimed,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+            FROM documents
+        ), levels AS (
+            SELECT lang, 0 AS k, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY lang
+            UNION ALL
+            SELECT lang, k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+                lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+            FROM levels WHERE len(nodes) > 1
+        ), subroots AS (
+            SELECT lang, k AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+            FROM levels WHERE len(nodes) = 1
+        ), tops AS (
+            SELECT 0 AS k, list(subroot ORDER BY tree) AS nodes FROM subroots
+            UNION ALL
+            SELECT k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+                lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+            FROM tops WHERE len(nodes) > 1
+        ), placed AS (
+            SELECT l.*, s.height, s.subroot, s.tree FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+        ), siblings AS (
+            SELECT p.doc_id, v.k, p.pos >> v.k AS at, v.nodes[xor(p.pos >> v.k, 1) + 1] AS sibling
+            FROM placed p JOIN levels v ON p.lang IS NOT DISTINCT FROM v.lang WHERE len(v.nodes) > 1
+            UNION ALL
+            SELECT p.doc_id, p.height + t.k, p.tree >> t.k, t.nodes[xor(p.tree >> t.k, 1) + 1] FROM placed p, tops t WHERE len(t.nodes) > 1
+        ), climb AS (
+            SELECT doc_id, 0 AS k, '' AS proof, claimed AS folded FROM placed
+            UNION ALL
+            SELECT c.doc_id, c.k + 1, c.proof || coalesce(s.sibling, ''), sha256(CASE WHEN s.at & 1 = 0
+                THEN c.folded || coalesce(s.sibling, '') ELSE s.sibling || c.folded END)
+            FROM climb c JOIN siblings s ON c.doc_id = s.doc_id AND c.k = s.k
+        ), ended AS (
+            SELECT doc_id, max_by(proof, k) AS proof, max_by(folded, k) AS folded FROM climb GROUP BY doc_id
+        ), root AS (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1)
+        SELECT p.doc_id, p.leaf, p.subroot, r.root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = r.root AS verified
+        FROM placed p JOIN ended e USING (doc_id), root r
+    """,
 }
