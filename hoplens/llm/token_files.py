@@ -39,8 +39,11 @@ PERCENT = 95
 TOGETHER = 64
 #: Bytes of text for one file, until there are MOST_FILES of them; then files get longer. A task streams, so this bounds no memory.
 FILE_BYTES, MOST_FILES = 32 << 20, 20_000
-#: Stretches of text between spaces whose ids a worker keeps; when full, it starts anew. Longer ones are not kept.
-KNOWN, KNOWN_LENGTH = 500_000, 40
+#: Stretches of text whose ids a worker keeps: so many of late and as many from before. Longer ones are not kept.
+KNOWN, KNOWN_LENGTH = 1_000_000, 40
+#: Signs that are cut off behind a letter or digit, and those letters and digits.
+SIGNS = ".,;:!?)]}\"'-/"
+ENDS = frozenset(chr(c) for c in range(0x250) if chr(c).isalnum())
 
 HEAD = struct.Struct("<qHBBH")
 TRAILER = struct.Struct("<8Q8s")
@@ -232,59 +235,117 @@ class Reader:
 
 @cache
 def _tokenizer(vocabulary: str):
+    """The library's tokenizer, its added tokens, and whether it cuts a text into words by the rules that ``ids_of`` relies on."""
     import json
 
     from tokenizers import Tokenizer
 
     with open(vocabulary, encoding="utf-8") as file:
-        added = tuple(token["content"] for token in json.load(file)["added_tokens"])
-    return Tokenizer.from_file(vocabulary), added
+        stated = json.load(file)
+    cutting = stated["pre_tokenizer"] or {}
+    byte_level = (
+        stated["normalizer"] is None
+        and cutting.get("type") == "ByteLevel"
+        and cutting.get("use_regex", True)
+        and not cutting.get("add_prefix_space", True)
+    )
+    return Tokenizer.from_file(vocabulary), tuple(token["content"] for token in stated["added_tokens"]), byte_level
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it can be printed, else one from U+0100 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in printed]
+    return {byte: chr(byte) for byte in printed} | {byte: chr(256 + i) for i, byte in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class _Known(dict):
-    """Ids of stretches that begin with a space, as bytes; the space itself is left out of the key."""
+    """Ids of stretches of text, as bytes. In ``spaced``, stretches follow a space that is no part of the key.
+
+    What was met since the last time that it was full stays known, and what was met in the time before as long as it is met again.
+    """
 
-    def __init__(self, vocabulary: str):
-        self.tokenizer, self.added = _tokenizer(vocabulary)
+    def __init__(self, vocabulary: str, bare: "_Known | None" = None):
+        self.tokenizer, self.added, self.byte_level = _tokenizer(vocabulary)
+        self.earlier: dict[str, bytes] = {}
+        self.bare = self if bare is None else bare
+        self.space = "" if bare is None else " "
+        self.spaced = _Known(vocabulary, self) if bare is None else self
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word of letters, which the library need not look for the words in."""
+        letters = (self.space + word).encode().decode("latin-1").translate(BYTE_LETTERS)
+        return np.array([token.id for token in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+
     def __missing__(self, stretch: str) -> bytes:
-        ids = self.ids(" " + stretch)
+        ids = self.earlier.get(stretch)
+        if ids is None:
+            word = stretch.rstrip(SIGNS)
+            if word and word != stretch and word[-1] in ENDS:
+                ids = self[word] + self.bare[stretch[len(word) :]]
+            elif stretch.isalpha() and max(stretch) in ENDS:
+                ids = self.word_ids(stretch)
+            else:
+                ids = self.ids(self.space + stretch)
         if len(stretch) <= KNOWN_LENGTH:
             if len(self) >= KNOWN:
+                self.earlier = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
 
 
-def _stretches_of(text: str) -> list[str]:
-    """The text cut before every space that a letter, digit or ASCII sign follows; the spaces are left out."""
-    stretches = [text]
-    if " " in text:
-        stretches = text.split(" ")
-        if not all(x and (x[0].isalnum() or "!" <= x[0] <= "~") for x in stretches):
-            first, *others = stretches
-            stretches = [first]
-            for other in others:
-                if other and (other[0].isalnum() or "!" <= other[0] <= "~"):
-                    stretches.append(other)
-                else:
-                    stretches[-1] += " " + other
-    return stretches
+@cache
+def _known(vocabulary: str) -> _Known:
+    """What a worker keeps from task to task."""
+    return _Known(vocabulary)
+
+
+def _begins_word(stretch: str) -> bool:
+    """Whether the first character is surely no white space."""
+    return stretch[:1].isalnum() or "!" <= stretch[:1] <= "~"
+
+
+def _joined(parts: list[str], between: str) -> list[str]:
+    """Parts that were split apart, put together again where the split was not before a word."""
+    first, *others = parts
+    joined = [first]
+    for other in others:
+        if _begins_word(other):
+            joined.append(other)
+        else:
+            joined[-1] += between + other
+    return joined
 
 
 def ids_of(text: str, known: _Known) -> bytes:
     """The ids of a text by the library, four bytes each.
 
-    A byte-level vocabulary takes a space together with the word behind it, whatever stands before. So a text is cut before such
-    spaces, and stretches that are met again are not encoded again. A text with an added token in it is encoded in one go.
+    A byte-level vocabulary cuts a text before the last white space in front of a word, behind it if that is a line end, and between
+    letters or digits and signs, whatever stands around. So a text is cut into stretches there, and those met again are not
+    encoded again. A text with an added token in it is encoded in one go.
     """
-    if any(token in text for token in known.added):
+    if not known.byte_level or any(token in text for token in known.added):
         return known.ids(text)
-    first, *others = _stretches_of(text)
-    return known.ids(first) + b"".join(map(known.__getitem__, others))
+    found = []
+    lines = text.split("\n")
+    if not all(map(_begins_word, lines)):
+        lines = _joined(lines, "\n")
+    for number, line in enumerate(lines):
+        if number:
+            found.append(known["\n"])
+        stretches = line.split(" ")
+        if not all(map(_begins_word, stretches)):
+            stretches = _joined(stretches, " ")
+        found.append(known[stretches[0]])
+        found += map(known.spaced.__getitem__, stretches[1:])
+    return b"".join(found)
 
 
 # Tables
@@ -315,7 +376,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
                     store, root = fs.FileSystem.from_uri(folder)
                     store.create_dir(root, recursive=True)
                     name = f"ids-{part:05d}-{uuid.uuid4().hex}.bin"
-                    stream, known = store.open_output_stream(f"{root}/{name}"), _Known(vocabulary)
+                    stream, known = store.open_output_stream(f"{root}/{name}"), _known(vocabulary)
                     writer = Writer(stream)
                 end = np.array([end_id], "<u4").tobytes()
                 ids = [ids_of(text.decode(), known) + end for text in contents]
