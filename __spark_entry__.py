@@ -14,12 +14,17 @@ from hoplens.functions.parsing import parse_lines, probe_latency, run_clock, run
 from hoplens.functions.series import display_value, fill_and_clip, health_band, live_scale, segment_index, zero_fill
 from hoplens.operators import hosts, live, regions, segments, summary, windows
 from hoplens.operators.extent import Extent, max_duration, measure
+from hoplens.operators.clock import with_clock
+from hoplens.operators.keys import join_keys
 from hoplens.operators.numbering import with_seq
-from hoplens.plans.ingest import ingest_runs
+from hoplens.plans.ingest import ingest_runs, read_partials
 from hoplens.plans.report import analyse, write_report
+from hoplens.schema import SERIES
 from hoplens.session import scratch_path
 from hoplens.settings import Settings
-from hoplens.sources.sinks import read_segments, write_samples, write_text
+from hoplens.sources import updates
+from hoplens.sources.appended import appended_stream
+from hoplens.sources.sinks import read_segments, write_part, write_samples, write_text
 from hoplens.sources.tables import EVENT_ORDER, events_as_samples, read_events, read_samples
 from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
 from hoplens.streaming import operators as live_streams, streams
@@ -376,10 +381,13 @@ def valid_targets(spark, sf_dir):
 RUN = "2024-05-01_12-00-00"
 
 
-def _run_folder(spark: SparkSession, samples: DataFrame) -> str:
-    """A run folder as a monitor leaves it: a result file for each target, beside files that are none, and an empty one."""
-    folder = f"{scratch_path(spark, 'named')}/results_{RUN}"
-    parts = f"{folder}-parts"
+def _run_folder(spark: SparkSession, samples: DataFrame, root: str | None = None) -> str:
+    """A run folder as a monitor leaves it: a result file for each target, beside files that are none, and an empty one.
+
+    In a ``root`` given again, files are replaced; with more samples of the same series that is as if lines had been appended.
+    """
+    root = root or scratch_path(spark, "named")
+    folder, parts = f"{root}/results_{RUN}", scratch_path(spark, "parts")
     line = F.coalesce(F.col("latency_ms").cast("string"), F.lit("Lost"))
     # One file for each target: few targets, and files are what this layout has.
     (
@@ -395,6 +403,7 @@ def _run_folder(spark: SparkSession, samples: DataFrame) -> str:
     files.mkdirs(path(folder))
     for part in files.globStatus(path(f"{parts}/target=*/part-*")):
         target = part.getPath().getParent().getName().removeprefix("target=")
+        files.delete(path(f"{folder}/ping_results_{target}.txt"), False)
         files.rename(part.getPath(), path(f"{folder}/ping_results_{target}.txt"))
     for name in ("other.txt", "ping_results_a.csv"):
         stream = files.create(path(f"{folder}/{name}"))
@@ -425,6 +434,109 @@ def ingest_twice(spark, sf_dir):
     return ingest_runs(spark, table, folder).drop("ts")
 
 
+def _growing(spark: SparkSession, sf_dir: str, steps: int):
+    """A run folder with more and more lines of each file."""
+    samples, extent = _b(spark, sf_dir)
+    root = scratch_path(spark, "growing")
+    for step in range(1, steps + 1):
+        yield _run_folder(spark, samples.where(F.col("seq") <= extent.longest * step // steps), root)
+
+
+def ingest_grown(spark, sf_dir):
+    table = scratch_path(spark, "table")
+    for folder in _growing(spark, sf_dir, 2):
+        stored = ingest_runs(spark, table, folder)
+    return stored.drop("ts")
+
+
+def ingest_two_roots(spark, sf_dir):
+    samples, table = _in_order(_by_three(spark, sf_dir)), scratch_path(spark, "table")
+    folders = {"home": _run_folder(spark, samples), "office": _run_folder(spark, _twice(samples))}
+    for label in ("home", "office", "home"):
+        stored = ingest_runs(spark, table, folders[label], label=label)
+    return stored.drop("ts")
+
+
+def sample_clock(spark, sf_dir):
+    folder = _run_folder(spark, _in_order(_by_three(spark, sf_dir)))
+    return with_clock(scan_runs(spark, folder, label="home"), Settings(ping_interval=5)).drop("malformed")
+
+
+def _partials_of_growing(spark, sf_dir):
+    table = scratch_path(spark, "table")
+    for folder in _growing(spark, sf_dir, 3):
+        samples = ingest_runs(spark, table, folder)
+    return samples, read_partials(spark, table)
+
+
+def report_from_partials(spark, sf_dir):
+    samples, rows = _partials_of_growing(spark, sf_dir)
+    return analyse(samples, partials=rows).agg_series.select(
+        "target", "segment_idx", "window_idx", "mid_s", _round9("mean_latency_ms"), _round9("packet_loss_pct")
+    )
+
+
+def summary_from_partials(spark, sf_dir):
+    samples, rows = _partials_of_growing(spark, sf_dir)
+    report = analyse(samples, partials=rows)
+    return join_keys(report.summary, report.y_limits, SERIES).select(
+        "run_id", "target", "total", "successful", _round9("packet_loss_pct"), _round9("avg_ms"), "min_ms", "max_ms", _round9("y_max")
+    )
+
+
+def samples_in_stored_regions(spark, sf_dir):
+    samples, extent = _b(spark, sf_dir)
+    path = scratch_path(spark, "report")
+    write_part(analyse(samples, extent=extent).regions, path)
+    stored = read_segments(spark, path, "run_id string, segment_idx bigint, start_s bigint, end_s bigint, is_first boolean")
+    others, size = _a(spark, sf_dir)
+    found = regions.samples_in(others, stored, size)
+    return found.select("target", "seq", "latency_ms", "segment_idx", "start_s", "end_s", "is_first")
+
+
+def rolling_max_300(spark, sf_dir):
+    return live.rolling_max(_in_order(_by_three(spark, sf_dir)), 300).drop("run_id")
+
+
+def _customers(spark, sf_dir):
+    return spark.read.schema("c_custkey bigint").parquet(f"{sf_dir}/customer.parquet")
+
+
+def silent_by_run(spark, sf_dir):
+    expected = _customers(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("target"))
+    run = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("run"), (F.col("event_id") % 3).cast("string")))
+    samples = _by_user(spark, sf_dir).withColumn("run_id", run)
+    return hosts.silent_in_runs(expected, samples)
+
+
+def host_check(spark, sf_dir):
+    key = F.col("c_custkey")
+    target = F.when(key % 4 == 0, F.concat(F.lit("10.0.0."), key % 300)).when(key % 4 == 1, F.format_string("fe80::%x", key))
+    target = target.when(key % 4 == 2, F.lit("host name"))
+    checked = hosts.check_hosts(_customers(spark, sf_dir).select("c_custkey", target.alias("target")))
+    return checked.withColumn("version", F.col("version").cast("string"))
+
+
+def _stored_part(spark, part: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "report")
+    write_part(part, path)
+    return read_segments(spark, path, part.schema)
+
+
+def stored_regions(spark, sf_dir):
+    samples, extent = _b(spark, sf_dir)
+    return _stored_part(spark, analyse(samples, extent=extent).regions)
+
+
+def stored_summary(spark, sf_dir):
+    return _stored_part(spark, analyse(_in_order(_by_user(spark, sf_dir))).summary_text).drop("run_id")
+
+
+def stored_malformed(spark, sf_dir):
+    samples = with_seq(parse_lines(_result_lines(spark, sf_dir)), ["event_id"])
+    return _stored_part(spark, analyse(samples).malformed).drop("run_id")
+
+
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several runs, one of them NULL, and targets of which one is NULL and one empty."""
     target = F.when(F.col("user_id") % 5 == 0, F.lit(None)).when(F.col("user_id") % 5 == 1, "").otherwise(
@@ -462,6 +574,14 @@ def sink_text_roundtrip(spark, sf_dir):
     return lines.groupBy("run_id", "target", "value").agg(F.count("*").alias("n_lines"))
 
 
+def sink_text_appended(spark, sf_dir):
+    samples = _in_order(_by_user(spark, sf_dir))
+    path = scratch_path(spark, "text")
+    for first, last in ((0, 20), (20, 45), (45, 2**40)):
+        write_text(samples.where(F.col("seq").between(first + 1, last)).withColumn("seq", F.col("seq") - first), path)
+    return scan_partitioned(spark, path)
+
+
 def sink_segments_roundtrip(spark, sf_dir):
     table, path = scratch_path(spark, "table"), scratch_path(spark, "report")
     write_samples(_in_order(_by_three(spark, sf_dir)).withColumn("malformed", F.lit(False)), table)
@@ -518,6 +638,52 @@ def stream_summary(spark, sf_dir):
     )
 
 
+def stream_appended(spark, sf_dir):
+    """Lines appended between three runs of one query, which goes on from its checkpoint each time."""
+    state, table, checkpoint = (scratch_path(spark, name) for name in ("sizes", "table", "checkpoint"))
+    for folder in _growing(spark, sf_dir, 3):
+        lines = appended_stream(spark, folder, state)
+        streams.run_to_end(streams.store_appended(lines, table, checkpoint, every=None))
+    return read_samples(spark, table).drop("ts")
+
+
+def stream_runs_closed(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    closed = _stored(spark, live_streams.closed_runs(_user_stream(spark, sf_dir), "8 hours", "1 hour"), "closed")
+    return closed.select(
+        "target",
+        F.col("from_ts").cast("timestamp_ntz").alias("from_ts"),
+        F.col("to_ts").cast("timestamp_ntz").alias("to_ts"),
+        "total", "successful", _round9("packet_loss_pct"), _round9("avg_ms"), "min_ms", "max_ms",
+    )
+
+
+def _file_by_file(spark, sf_dir, late: bool = False) -> DataFrame:
+    """Samples as a stream of six files, one in a batch; some without a time if ``late``."""
+    folder = scratch_path(spark, "landed")
+    _events(spark, sf_dir).repartition(6, "event_id").write.parquet(folder)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    samples = events_as_samples(streams.event_stream(spark, folder, max_files=1), F.col("user_id"))
+    ts = F.col("ts").cast("timestamp")
+    return samples.withColumn("ts", F.when(F.col("event_id") % 11 != 0, ts) if late else ts)
+
+
+def stream_newest_merged(spark, sf_dir):
+    """Updates of six batches, merged after every two."""
+    running, path = live_streams.summary_updates(_file_by_file(spark, sf_dir)), scratch_path(spark, "updates")
+    merged_by = (["run_id", "target"], "total")
+    streams.run_to_end(streams.store_updates(running, path, every=None, merged_by=merged_by, merge_every=2))
+    return updates.read_newest(spark, path, running.schema, *merged_by).select(
+        "target", "total", "successful", _round9("packet_loss_pct"), _round9("avg_ms"), "min_ms", "max_ms"
+    )
+
+
+def stream_live_files(spark, sf_dir):
+    """Live status over several batches, with samples that have no time and come before all others."""
+    statuses = _stored(spark, live_streams.live_updates(_file_by_file(spark, sf_dir, late=True), "event_id"), "live")
+    return streams.newest(statuses, ["target"], "seq").drop("run_id")
+
+
 def stream_sink_roundtrip(spark, sf_dir):
     stored = _stored(spark, _user_stream(spark, sf_dir), "sink", streams.store_samples)
     return stored.select("target", "event_id", "latency_ms")
@@ -602,6 +768,23 @@ def _latency_queries() -> dict[str, Query]:
         "stream_window_agg": stream_window_agg,
         "stream_summary": stream_summary,
         "stream_sink_roundtrip": stream_sink_roundtrip,
+        "stream_appended": stream_appended,
+        "stream_runs_closed": stream_runs_closed,
+        "stream_newest_merged": stream_newest_merged,
+        "stream_live_files": stream_live_files,
+        "ingest_grown": ingest_grown,
+        "ingest_two_roots": ingest_two_roots,
+        "sample_clock": sample_clock,
+        "report_from_partials": report_from_partials,
+        "summary_from_partials": summary_from_partials,
+        "samples_in_stored_regions": samples_in_stored_regions,
+        "rolling_max_300": rolling_max_300,
+        "silent_by_run": silent_by_run,
+        "host_check": host_check,
+        "stored_regions": stored_regions,
+        "stored_summary": stored_summary,
+        "stored_malformed": stored_malformed,
+        "sink_text_appended": sink_text_appended,
     }
 
 
@@ -690,6 +873,9 @@ LIVE = f"""{ROLLING}
            window_max, greatest(window_max, 100.0) AS scale_max, {BAND} AS band
     FROM w QUALIFY row_number() OVER (PARTITION BY target ORDER BY seq DESC) = 1"""
 
+#: A with times missing, which come first.
+A_LATE = A.replace("ORDER BY ts, event_id", "ORDER BY CASE WHEN event_id % 11 <> 0 THEN ts END NULLS FIRST, event_id")
+
 DOUBLED = "CASE WHEN event_type <> 'error' THEN value * 2 END"
 
 LINE_KINDS = """
@@ -704,6 +890,34 @@ LINE_KINDS = """
     FROM events"""
 
 
+def _summary_sql(target: str) -> str:
+    return SUMMARY.replace("user_id", target)
+
+
+def _segment_agg_sql(series: str, segment: int, interval: int) -> str:
+    return f"""{_in_segments(series, segment)},
+            w AS (SELECT target, (seq - 1) // {interval} AS window_idx,
+                         (seq - 1) // {interval} * {interval} + count(*) / 2.0::DOUBLE AS mid_s,
+                         round(coalesce(avg(latency_ms), 0.0), 9) AS mean_latency_ms,
+                         round((count(*) - count(latency_ms))::DOUBLE / count(*)::DOUBLE * 100.0::DOUBLE, 9)
+                             AS packet_loss_pct
+                  FROM s GROUP BY target, (seq - 1) // {interval}),
+            p AS (SELECT *, CAST(floor(mid_s) AS BIGINT) // {segment} AS segment_idx FROM w)
+            SELECT target, segment_idx, window_idx, mid_s, mean_latency_ms, packet_loss_pct
+            FROM p, m
+            WHERE mid_s < max_seq AND (target, segment_idx) IN (SELECT target, segment_idx FROM r)"""
+
+
+def _y_limit_sql(series: str, interval: int) -> str:
+    return f"""{series},
+            w AS (SELECT target, max(latency_ms) AS peak, coalesce(avg(latency_ms), 0.0) AS mean
+                  FROM s GROUP BY target, (seq - 1) // {interval})
+            SELECT target, round(CASE WHEN max(peak) IS NULL THEN NULL
+                                      WHEN greatest(max(peak), max(mean)) > 800 THEN 800.0::DOUBLE
+                                      ELSE greatest(max(peak), max(mean)) * 1.05::DOUBLE END, 9) AS y_max
+            FROM w GROUP BY target"""
+
+
 def _latency_sql() -> dict[str, str]:
     return {
         "window_agg_60": _windows_sql(B, 60),
@@ -718,13 +932,7 @@ def _latency_sql() -> dict[str, str]:
         "agg_gate": f"""{B}
             SELECT 60::INTEGER AS duration, target, (seq - 1) // 60 AS window_idx, count(*) AS n
             FROM s GROUP BY target, (seq - 1) // 60""",
-        "y_limit": f"""WITH{_series("user_id", DOUBLED)},
-            w AS (SELECT target, max(latency_ms) AS peak, coalesce(avg(latency_ms), 0.0) AS mean
-                  FROM s GROUP BY target, (seq - 1) // 10)
-            SELECT target, round(CASE WHEN max(peak) IS NULL THEN NULL
-                                      WHEN greatest(max(peak), max(mean)) > 800 THEN 800.0::DOUBLE
-                                      ELSE greatest(max(peak), max(mean)) * 1.05::DOUBLE END, 9) AS y_max
-            FROM w GROUP BY target""",
+        "y_limit": _y_limit_sql("WITH" + _series("user_id", DOUBLED), 10),
         "target_summary": ROUNDED_SUMMARY,
         "summary_display": f"""
             SELECT target, total::VARCHAR AS total_pings, successful::VARCHAR AS successful_pings,
@@ -781,17 +989,7 @@ def _latency_sql() -> dict[str, str]:
             FROM e""",
         "segment_raw": f"{_in_segments(A, 20)} SELECT * FROM r",
         "entire_duration": f"{_in_segments(B, None)} SELECT * FROM r",
-        "segment_agg": f"""{_in_segments(A, 20)},
-            w AS (SELECT target, (seq - 1) // 10 AS window_idx,
-                         (seq - 1) // 10 * 10 + count(*) / 2.0::DOUBLE AS mid_s,
-                         round(coalesce(avg(latency_ms), 0.0), 9) AS mean_latency_ms,
-                         round((count(*) - count(latency_ms))::DOUBLE / count(*)::DOUBLE * 100.0::DOUBLE, 9)
-                             AS packet_loss_pct
-                  FROM s GROUP BY target, (seq - 1) // 10),
-            p AS (SELECT *, CAST(floor(mid_s) AS BIGINT) // 20 AS segment_idx FROM w)
-            SELECT target, segment_idx, window_idx, mid_s, mean_latency_ms, packet_loss_pct
-            FROM p, m
-            WHERE mid_s < max_seq AND (target, segment_idx) IN (SELECT target, segment_idx FROM r)""",
+        "segment_agg": _segment_agg_sql(A, 20, 10),
         "empty_segments": f"""{_in_segments(A, 20)},
             k AS (SELECT unnest(range(0, (max_seq - 1) // 20 + 1)) AS segment_idx FROM m),
             h AS (SELECT DISTINCT target FROM s),
@@ -845,7 +1043,7 @@ def _latency_sql() -> dict[str, str]:
             WHERE (c_custkey % 8 = 0 AND c_custkey % 300 < 256) OR (c_custkey % 8 IN (3, 4) AND c_custkey < 65536)
                OR (c_custkey % 8 = 6 AND c_custkey % 270 < 256)""",
         "scan_runs": f"""{B}
-            SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
+            SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed, TIMESTAMP '2024-05-01 12:00:00' AS run_ts FROM s""",
         "scan_file": f"""{B}
             SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s WHERE target = '1'""",
         "scan_partitioned": f"""{A}
@@ -879,4 +1077,75 @@ def _latency_sql() -> dict[str, str]:
         "stream_summary": ROUNDED_SUMMARY,
         "stream_sink_roundtrip": f"""
             SELECT CAST(user_id AS VARCHAR) AS target, event_id, {LATENCY} AS latency_ms FROM events""",
+        "stream_appended": f"""{B}
+            SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
+        "stream_runs_closed": f"""
+            WITH s AS (
+                SELECT CAST(user_id AS VARCHAR) AS target, ts, event_id, {LATENCY} AS latency_ms,
+                       coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 8 HOUR, true) AS starts
+                FROM events),
+            g AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY target ORDER BY ts, event_id) AS stretch FROM s)
+            SELECT target, min(ts) AS from_ts, max(ts) AS to_ts, count(*) AS total, count(latency_ms) AS successful,
+                   round((count(*) - count(latency_ms))::DOUBLE / count(*)::DOUBLE * 100.0::DOUBLE, 9) AS packet_loss_pct,
+                   round(avg(latency_ms), 9) AS avg_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms
+            FROM g GROUP BY target, stretch
+            HAVING max(ts) + INTERVAL 9 HOUR <= (SELECT max(ts) FROM events)""",
+        "stream_newest_merged": ROUNDED_SUMMARY,
+        "stream_live_files": LIVE.replace(A, A_LATE),
+        "ingest_grown": f"""{B}
+            SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
+        "ingest_two_roots": f"""{B}
+            SELECT 'home/{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s
+            UNION ALL
+            SELECT 'office/{RUN}' AS run_id, target, seq, latency_ms * 2 AS latency_ms, false AS malformed FROM s""",
+        "sample_clock": f"""{B}
+            SELECT 'home/{RUN}' AS run_id, target, seq, latency_ms, TIMESTAMP '2024-05-01 12:00:00' AS run_ts, seq * 5 AS elapsed_s,
+                   TIMESTAMP '2024-05-01 12:00:00' + to_seconds((seq - 1) * 5) AS probe_ts
+            FROM s""",
+        "report_from_partials": _segment_agg_sql(B, 3600, 60),
+        "summary_from_partials": f"""
+            SELECT '{RUN}' AS run_id, target, total, successful, round(packet_loss_pct, 9) AS packet_loss_pct,
+                   round(avg_ms, 9) AS avg_ms, min_ms, max_ms, y_max
+            FROM ({_summary_sql("(user_id % 3)")}) JOIN ({_y_limit_sql(B, 60)}) USING (target)""",
+        "samples_in_stored_regions": f"""
+            SELECT s.target, seq, latency_ms, segment_idx, start_s, end_s,
+                   start_s = min(start_s) OVER (PARTITION BY segment_idx) AS is_first
+            FROM ({A} SELECT target, seq, latency_ms FROM s) s
+            JOIN ({_regions_sql(B, 3600, 200, 'segment_idx')} SELECT * FROM g) g ON s.seq BETWEEN g.start_s AND g.end_s""",
+        "rolling_max_300": f"""{B},
+            v AS (SELECT target, seq, coalesce(latency_ms, 0.0) AS live_ms, max(coalesce(latency_ms, 0.0)) OVER (
+                      PARTITION BY target ORDER BY seq ROWS BETWEEN 299 PRECEDING AND CURRENT ROW) AS top FROM s)
+            SELECT target, seq, live_ms, CASE WHEN seq < 300 THEN greatest(top, 0.0) ELSE top END AS window_max FROM v""",
+        "silent_by_run": """
+            WITH s AS (SELECT DISTINCT CASE WHEN event_id % 3 > 0 THEN 'run' || CAST(event_id % 3 AS VARCHAR) END AS run_id,
+                              CAST(user_id AS VARCHAR) AS target FROM events),
+            e AS (SELECT run_id, CAST(c_custkey AS VARCHAR) AS target FROM customer, (SELECT DISTINCT run_id FROM s))
+            SELECT run_id, target FROM e
+            WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.target = e.target AND s.run_id IS NOT DISTINCT FROM e.run_id)""",
+        "host_check": """
+            WITH t AS (
+                SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '10.0.0.' || CAST(c_custkey % 300 AS VARCHAR)
+                           WHEN 1 THEN printf('fe80::%x', c_custkey) WHEN 2 THEN 'host name' END AS target,
+                       CASE WHEN c_custkey % 4 = 0 AND c_custkey % 300 < 256 THEN 4
+                            WHEN c_custkey % 4 = 1 AND c_custkey < 65536 THEN 6 END::VARCHAR AS version
+                FROM customer)
+            SELECT c_custkey, target, version IS NOT NULL AS is_valid, version FROM t""",
+        "stored_regions": f"""{_regions_sql(B, 3600, 200, 'segment_idx')}
+            SELECT 'events' AS run_id, segment_idx, start_s, end_s,
+                   start_s = min(start_s) OVER (PARTITION BY segment_idx) AS is_first,
+                   start_s - 0.5::DOUBLE AS pad_start, end_s + 0.5::DOUBLE AS pad_end
+            FROM g""",
+        "stored_summary": f"""
+            SELECT target, total::VARCHAR AS total_pings, successful::VARCHAR AS successful_pings,
+                   printf('%.2f%%', packet_loss_pct) AS packet_loss,
+                   coalesce(printf('%.2f', avg_ms), 'N/A') AS average_latency,
+                   coalesce(printf('%.2f', min_ms), 'N/A') AS min_latency,
+                   coalesce(printf('%.2f', max_ms), 'N/A') AS max_latency
+            FROM ({SUMMARY})""",
+        "stored_malformed": f"""
+            SELECT CAST(user_id AS VARCHAR) AS target, count(*) AS n_lines,
+                   count(*) FILTER (malformed) AS n_malformed
+            FROM ({LINE_KINDS}) GROUP BY user_id""",
+        "sink_text_appended": f"""{A}
+            SELECT 'events' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
     }

@@ -2,7 +2,7 @@
 
 from hoplens.operators.extent import Extent, measure
 from hoplens.operators.hosts import check_hosts, host_list, require_valid_targets, silent_targets
-from hoplens.plans.ingest import ingest_runs
+from hoplens.plans.ingest import ingest_runs, read_partials
 from hoplens.plans.report import Report, analyse, analyse_file, analyse_runs, write_report
 from hoplens.settings import Settings
 from hoplens.sources.tables import read_samples
@@ -19,6 +19,7 @@ __all__ = [
     "host_list",
     "ingest_runs",
     "measure",
+    "read_partials",
     "read_samples",
     "require_valid_targets",
     "scan_file",

@@ -78,11 +78,26 @@ def run_from_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, FOLDER, 1), RESULT_FOLDER, "$1")
 
 
+def labelled(run_id: Column, label: str | None) -> Column:
+    """The name of a run of a labelled root."""
+    return run_id if label is None else F.concat(F.lit(f"{label}/"), run_id)
+
+
 def decoded_path(uri: Column) -> Column:
     """The path behind the URI that file metadata gives."""
     return F.when(uri.contains("%"), F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))).otherwise(uri)
 
 
 def run_clock(run_id: Column) -> Column:
-    """Wall clock a run id was named after, without a zone; NULL if the run is not named by the clock."""
-    return F.try_to_timestamp(run_id, F.lit(RUN_CLOCK)).cast("timestamp_ntz")
+    """Wall clock a run id was named after, behind a label or not, without a zone; NULL if the run is not named by the clock."""
+    return F.try_to_timestamp(F.regexp_extract(run_id, FILE, 1), F.lit(RUN_CLOCK)).cast("timestamp_ntz")
+
+
+def probe_clock(run_id: Column, seq: Column, ping_interval: int = 1) -> Column:
+    """When a sample was taken: ``ping_interval`` seconds after the one before it, the first at its run's clock."""
+    return F.timestamp_add("SECOND", (seq - 1) * ping_interval, run_clock(run_id))
+
+
+def elapsed(seq: Column, ping_interval: int = 1) -> Column:
+    """Seconds on the time axis: a position counts probes, and these are ``ping_interval`` seconds apart."""
+    return seq * ping_interval

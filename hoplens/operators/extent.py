@@ -48,7 +48,12 @@ def max_duration(samples: DataFrame) -> DataFrame:
 
 def measure(samples: DataFrame, max_runs: int = MAX_RUNS_ON_DRIVER) -> Extent:
     """Runs one narrow job, and a second one only if there are more than ``max_runs`` runs."""
-    per_run = series_lengths(samples).groupBy("run_id").agg(
+    return extent_of(series_lengths(samples), max_runs)
+
+
+def extent_of(lengths: DataFrame, max_runs: int = MAX_RUNS_ON_DRIVER) -> Extent:
+    """The extent, from the length ``n`` of each series."""
+    per_run = lengths.groupBy("run_id").agg(
         F.max("n").alias("max_seq"), F.count("*").alias("series"), F.sum("n").alias("rows")
     )
     maxima = per_run.select("run_id", "max_seq")

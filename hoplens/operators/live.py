@@ -13,24 +13,30 @@ CHUNK = 1_000_000
 def rolling_max(samples: DataFrame, size: int = LIVE_WINDOW, chunk: int = CHUNK) -> DataFrame:
     """Maximum of the last ``size`` zero-filled samples at every sample; earlier than the first, they are zero.
 
-    A series is cut into chunks of positions so that a long one spreads over many tasks. The last ``size - 1`` rows
-    of a chunk are repeated at the start of the next, where they serve as the frame and are then dropped.
+    A series is cut into chunks of positions so that a long one spreads over many tasks; the last ``size - 1`` rows of a chunk are
+    repeated before the next. Positions are also cut into blocks of ``size``. A window reaches over two blocks at most, so its
+    maximum is the larger of two running maxima: from the start of its last block on, and back from the end of the block before.
+    So the work for a row does not grow with ``size``.
     """
-    spread = samples.select(
-        *SERIES,
-        "seq",
-        zero_fill(F.col("latency_ms")).alias("live_ms"),
-        F.explode(
-            F.sequence(window_index(F.col("seq"), chunk), window_index(F.col("seq") + (size - 1), chunk))
-        ).alias("_chunk"),
-    )
-    frame = Window.partitionBy(*SERIES, "_chunk").orderBy("seq").rowsBetween(-(size - 1), 0)
-    top = F.max("live_ms").over(frame)
+    chunk = max(chunk, size)
+    rows = samples.select(*SERIES, "seq", zero_fill(F.col("latency_ms")).alias("live_ms"))
+    own = window_index(F.col("seq"), chunk)
+    # The chunk whose windows reach back to the row: the next one, near the end of a chunk. Rows stay where numbering has put them.
+    reaching = window_index(F.col("seq") + (size - 1), chunk)
+    spread = rows.withColumn("_chunk", F.explode(F.when(reaching > own, F.array(own, reaching)).otherwise(F.array(own))))
+    keys = [*SERIES, "_chunk"]
+    block = Window.partitionBy(*keys, "_block")
+    from_start = F.max("live_ms").over(block.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    from_end = F.max("live_ms").over(block.orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    back = F.lag("_from_end", size - 1).over(Window.partitionBy(*keys).orderBy("seq"))
+    # At a series' beginning there is no row so far back; then all rows of its first block count.
     return (
-        spread.withColumn("_top", top)
-        .where(F.col("_chunk") == window_index(F.col("seq"), chunk))
-        .withColumn("window_max", _with_seed(F.col("_top"), size))
-        .drop("_chunk", "_top")
+        spread.withColumn("_block", window_index(F.col("seq"), size))
+        .withColumn("_from_end", from_end)
+        .withColumn("_from_start", from_start)
+        .withColumn("_top", F.greatest("_from_start", back))
+        .where(F.col("_chunk") == own)
+        .select(*SERIES, "seq", "live_ms", _with_seed(F.col("_top"), size).alias("window_max"))
     )
 
 

@@ -1,6 +1,6 @@
 """Stretches of consecutive positions with high latency."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hoplens.operators.extent import MAX_RUNS_ON_DRIVER, Extent, measure
 from hoplens.operators.keys import join_keys
@@ -135,3 +135,43 @@ def samples_in_regions(
     if extent.times <= max_broadcast_times:
         bounded = F.broadcast(bounded)
     return join_keys(inside, bounded, [*SEGMENT, "seq"]).select(*SERIES_SEGMENT, "seq", "ping_ms", "start_s", "end_s")
+
+
+# Positions in a block of an interval join, and series that one of its groups of samples may have.
+JOIN_BLOCK = 4096
+JOIN_SERIES = 512
+MOST_SALTS = 1024
+
+
+def samples_in(
+    samples: DataFrame,
+    found: DataFrame,
+    extent: Extent | None = None,
+    block: int = JOIN_BLOCK,
+) -> DataFrame:
+    """Samples that lie in given regions, such as stored ones, with every column of the region that the sample lacks.
+
+    ``found`` has ``run_id, start_s, end_s``, both bounds inside, and ``target`` if regions are of single targets. They may come from other
+    samples, overlap, and have any length: a sample comes once for each region that it lies in. A run may be NULL.
+
+    Positions are cut into blocks. A region stands in every block that it touches and a sample in its own, so blocks are joined by
+    equality and the exact bounds are compared after that; no sample is compared with a region of another block. Where regions are of all
+    targets, a block's samples are dealt out by target, in proportion to the measured number of series, and its regions repeated.
+    """
+    by_target = "target" in found.columns
+    keys = SERIES if by_target else ["run_id"]
+    salts = 1
+    if not by_target:
+        extent = extent or measure(samples)
+        salts = min(MOST_SALTS, max(1, -(-extent.series // JOIN_SERIES)))
+    size = F.lit(block).cast("long")
+
+    def block_of(position: str) -> Column:
+        return F.floor(F.col(position) / size).cast("long")
+
+    rest = [name for name in found.columns if name in ("run_id", "target", "start_s", "end_s") or name not in samples.columns]
+    touched = found.select(*rest).where("start_s <= end_s").withColumn("_block", F.explode(F.sequence(block_of("start_s"), block_of("end_s"))))
+    touched = touched.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = samples.withColumn("_block", block_of("seq")).withColumn("_salt", F.pmod(F.xxhash64("target"), F.lit(salts)).cast("int"))
+    inside = (F.col("seq") >= F.col("start_s")) & (F.col("seq") <= F.col("end_s"))
+    return join_keys(placed, touched, [*keys, "_block", "_salt"]).where(inside).drop("_block", "_salt")

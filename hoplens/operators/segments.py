@@ -103,8 +103,14 @@ def empty_segment_ranges(
     Positions are dense, so both follow from the length of a series: samples are counted, neither numbered nor joined. A series
     lacks samples in the segments after its own, one range however long the run. Only its own segments are looked at one by one.
     """
-    extent = extent or measure(samples)
-    lengths = extent.with_max_seq(series_lengths(samples)).withColumn(
+    return empty_ranges_of(series_lengths(samples), extent or measure(samples), segment_len, interval, aggregate)
+
+
+def empty_ranges_of(
+    lengths: DataFrame, extent: Extent, segment_len: int | None, interval: int, aggregate: bool
+) -> DataFrame:
+    """The ranges, from the length ``n`` of each series."""
+    lengths = extent.with_max_seq(lengths).withColumn(
         "_last_segment", segment_index(F.col("max_seq") - 1, segment_len)
     )
     if segment_len is None:

@@ -63,6 +63,11 @@ def y_limit(
         tops = samples.select(
             *SERIES, measured(F.col("latency_ms")).alias("peak_ms"), F.lit(None).cast("double").alias("top_mean")
         )
+    return axis_end(tops, cap)
+
+
+def axis_end(tops: DataFrame, cap: float = LATENCY_CAP_MS) -> DataFrame:
+    """``y_max`` of each series, from rows with a ``peak_ms`` and a ``top_mean``."""
     peak = tops.groupBy(*SERIES).agg(F.max("peak_ms").alias("peak"), F.max("top_mean").alias("top_mean"))
     top = F.greatest("peak", "top_mean")
     return peak.select(

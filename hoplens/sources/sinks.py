@@ -5,37 +5,69 @@ from pyspark.sql.types import StructType
 
 from hoplens.functions.series import measured
 from hoplens.schema import SERIES, with_keys
+from hoplens.sources.folders import exists, remove
+
+
+# Positions of a series that a text file holds at most.
+TEXT_BLOCK = 1_000_000
 
 
 def write_text(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Write samples as result lines under ``run_id=…/target=…``, in the order of ``seq``.
 
-    Rows are cut by range, so a long series becomes several part files whose numbers follow its order, and no task
-    holds all of it. Order is kept within one write: write a run in one go.
+    Each series and block of its positions is one file, so a long series becomes several and no task holds all of it. Files of a write
+    are named by the write, and files of one series by the number of the block; a log beside them, ``_writes``, numbers the writes.
+    So ``scan_partitioned`` reads what was appended behind what was there. The samples above are computed once.
     """
-    latency = F.col("latency_ms")
+    spark, latency = samples.sparkSession, F.col("latency_ms")
+    if mode == "overwrite":
+        remove(spark, f"{path}/_writes")
+    before = write_log(spark, path)
+    known = {row.write for row in before.collect()} if before is not None else set()
+    block = F.call_function("div", F.col("seq") - 1, F.lit(TEXT_BLOCK).cast("long"))
     (
-        samples.repartitionByRange(*SERIES, "seq")
-        .sortWithinPartitions(*SERIES, "seq")
-        .select(*SERIES, F.coalesce(measured(latency).cast("string"), F.lit("Lost")).alias("value"))
-        .write.partitionBy(*SERIES)
+        samples.withColumn("block", block)
+        .repartition(*SERIES, "block")
+        .sortWithinPartitions(*SERIES, "block", "seq")
+        .select(*SERIES, "block", F.coalesce(measured(latency).cast("string"), F.lit("Lost")).alias("value"))
+        .write.partitionBy(*SERIES, "block")
         .mode(mode)
         .text(path)
     )
+    # Which writes there are follows from the files' names; contents are not read.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    found = files.select(F.regexp_extract("path", WRITE, 1).alias("write"), "modificationTime")
+    new = found.groupBy("write").agg(F.min("modificationTime").alias("at")).where(~F.col("write").isin(*known, ""))
+    rows = [(row.write, len(known) + number) for number, row in enumerate(new.orderBy("at", "write").collect())]
+    spark.createDataFrame(rows, WRITES).coalesce(1).write.mode("append").parquet(f"{path}/_writes")
+
+
+#: The part of a file's name that is the same for all files of one write.
+WRITE = r"/part-[0-9]+-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*\z"
+WRITES = "write string, number int"
+
+
+def write_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The writes of a text folder and their order: a row each. None for a folder without a log."""
+    log = f"{path.rstrip('/')}/_writes"
+    return spark.read.schema(WRITES).parquet(log) if exists(spark, log) else None
 
 
 # Positions of a series that are written together.
 WRITE_BLOCK = 1_000_000
 
 
-def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
+def write_samples(samples: DataFrame, path: str, mode: str = "append", gen: int | None = None) -> None:
     """Store numbered samples as Parquet, clustered by series so that row groups of other targets are skipped.
 
     Rows are dealt out by series and block of positions, so a long series becomes several files and nothing is sampled.
-    ``mode="replace"`` replaces whole runs: those in ``samples``, and no other.
+    ``mode="replace"`` replaces whole runs: those in ``samples``, and no other. With ``gen`` each run gets a folder of that number, and
+    writing the same number again replaces that folder alone.
     """
     block = F.call_function("div", F.col("seq"), F.lit(WRITE_BLOCK).cast("long"))
-    writer = samples.repartition(*SERIES, block).sortWithinPartitions(*SERIES, "seq").write.partitionBy("run_id")
+    folders = ["run_id"] if gen is None else ["run_id", "gen"]
+    numbered = samples if gen is None else samples.withColumn("gen", F.lit(gen).cast("long"))
+    writer = numbered.repartition(*SERIES, block).sortWithinPartitions(*SERIES, "seq").write.partitionBy(*folders)
     if mode == "replace":
         writer = writer.option("partitionOverwriteMode", "dynamic").mode("overwrite")
     else:

@@ -1,29 +1,36 @@
 """Samples from text result files: one line per sample, in the order of the probes.
 
 Two layouts are read. In the *named* one, a file ``ping_results_<target>.txt`` holds one series and its folder,
-``results_<clock>``, one run. In the *partitioned* one, as written by ``hoplens.sources.sinks``, folders ``run_id=…/target=…``
+``results_<clock>``, one run. In the *partitioned* one, as written by ``hoplens.sources.sinks``, folders ``run_id=…/target=…/block=…``
 hold any number of part files. The second allows targets with characters that file names do not, such as IPv6 addresses.
 """
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hoplens.functions.parsing import decoded_path, parse_lines, run_from_path, target_from_path
+from hoplens.functions.parsing import decoded_path, labelled, parse_lines, run_clock, run_from_path, target_from_path
 from hoplens.schema import SERIES, TEXT_SAMPLES, with_keys
+from hoplens.sources.sinks import WRITE, write_log
 
 RESULT_FILES = "ping_results_*.txt"
 
 
-def scan_runs(spark: SparkSession, *folders: str) -> DataFrame:
+def scan_runs(spark: SparkSession, *folders: str, label: str | None = None) -> DataFrame:
     """Samples of all result files directly in the given run folders; patterns such as ``…/results_*`` work.
 
-    Runs are named by their folder. Where folders lie in several roots, or roots are given as patterns, equal names would
-    merge runs, so a run is named by the whole path of its folder.
+    ``run_ts`` is the run's clock, without a zone. A run is named by its folder's clock, behind ``label/`` if a label is given. That is so for every call, so a run keeps its name
+    whatever else is read with it. Folders of several roots that would give one name to two runs are refused: scan each root
+    under a label of its own, and unite.
     """
     lines = spark.read.option("pathGlobFilter", RESULT_FILES).text(list(folders))
     roots = {folder.rstrip("/").rpartition("/")[0] for folder in folders}
-    several = len(roots) > 1 or any(sign in root for root in roots for sign in "*?[{")
-    return _named_samples(lines, one_file_per_series=True, whole_path=several)
+    if len(roots) > 1 or any(sign in root for root in roots for sign in "*?[{"):
+        seen: dict[str, str] = {}
+        for folder in sorted({file.rpartition("/")[0] for file in lines.inputFiles()}):
+            name = folder.rpartition("/")[2]
+            if seen.setdefault(name, folder) != folder:
+                raise ValueError(f"{seen[name]} and {folder} would be one run: scan each root under a label of its own")
+    return _named_samples(lines, one_file_per_series=True, label=label)
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +49,10 @@ def scan_partitioned(spark: SparkSession, root: str, where: str | Column | None
     lines = with_keys(spark.read.schema("value string, run_id string, target string").text(root), SERIES)
     if where is not None:
         lines = lines.where(where)
-    return _number_parts(lines.select(*SERIES, "value", *_place())).select(*TEXT_SAMPLES.names)
+    return _number_parts(lines.select(*SERIES, "value", *_place()), write_log(spark, root)).select(*TEXT_SAMPLES.names)
 
 
-def _named_samples(lines: DataFrame, one_file_per_series: bool, whole_path: bool = False) -> DataFrame:
+def _named_samples(lines: DataFrame, one_file_per_series: bool, label: str | None = None) -> DataFrame:
     """Samples whose run and target are in the path. They are taken from it last, so the shuffle carries one text.
 
     Where a series is one file, files too small to be split are read apart: nothing needs counting there.
@@ -61,10 +68,10 @@ def _named_samples(lines: DataFrame, one_file_per_series: bool, whole_path: bool
     else:
         numbered = _number_parts(lines.select("value", *_place()))
     path = decoded_path(F.col("_file"))
-    run = F.regexp_extract(path, "^(?:[a-z0-9]+:)?/*(/.*)/", 1) if whole_path else run_from_path(path)
-    return numbered.select(
-        run.alias("run_id"), target_from_path(path).alias("target"), "seq", "latency_ms", "malformed"
+    named = numbered.select(
+        labelled(run_from_path(path), label).alias("run_id"), target_from_path(path).alias("target"), "seq", "latency_ms", "malformed"
     )
+    return named.withColumn("run_ts", run_clock(F.col("run_id"))) if one_file_per_series else named
 
 
 def _place() -> list[Column]:
@@ -85,16 +92,20 @@ def _ranked(lines: DataFrame) -> DataFrame:
     return parse_lines(lines).withColumn("_rank", rank.cast("long"))
 
 
-def _number_parts(lines: DataFrame) -> DataFrame:
-    """Number the lines of series that are folders of part files, which one write numbers in the order of their content."""
+def _number_parts(lines: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Number the lines of series that are folders of part files.
+
+    Files are in the order of the writes in the ``log``, those of no known write first; within a write in the order of their blocks
+    of positions, or of the numbers that the write gave them.
+    """
     file_order = [
         F.regexp_extract("_file", pattern, 1).try_cast("long")
-        for pattern in (r"/part-([0-9]+)[^/]*\z", r"/part-[^/]*-c([0-9]+)[^/]*\z")
+        for pattern in (r"/block=([0-9]+)/[^/]*\z", r"/part-([0-9]+)[^/]*\z", r"/part-[^/]*-c([0-9]+)[^/]*\z")
     ]
-    return _number(lines, F.regexp_extract("_file", "^(.*)/", 1), file_order)
+    return _number(lines, F.regexp_extract("_file", "^(.*?)(?:/block=[0-9]+)?/[^/]*\\z", 1), file_order, log)
 
 
-def _number(lines: DataFrame, series: Column, file_order: list[Column]) -> DataFrame:
+def _number(lines: DataFrame, series: Column, file_order: list[Column], log: DataFrame | None = None) -> DataFrame:
     """Number the lines of each series over all its splits.
 
     The lines of earlier splits are added to the rank within a split. Both steps are keyed by file and split, so the
@@ -104,12 +115,13 @@ def _number(lines: DataFrame, series: Column, file_order: list[Column]) -> DataF
     skip files for one use alone. Lines are therefore counted by their ids, which are consecutive within a split: a
     filter is not moved below a column of such ids as long as it is used.
     """
+    counted = lines.groupBy(*SPLIT).agg((F.max("_line") - F.min("_line") + 1).alias("_n"))
+    if log is not None:
+        writes = log.select(F.col("write").alias("_write"), F.col("number").alias("_number"))
+        counted = counted.withColumn("_write", F.regexp_extract("_file", WRITE, 1)).join(writes, "_write", "left")
+        file_order = ["_number", *file_order]
     earlier = Window.partitionBy(series).orderBy(*file_order, *SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        lines.groupBy(*SPLIT)
-        .agg((F.max("_line") - F.min("_line") + 1).alias("_n"))
-        .select(*SPLIT, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    )
+    starts = counted.select(*SPLIT, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return (
         _ranked(lines)
         .join(starts, SPLIT, "left")

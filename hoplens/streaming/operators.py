@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hoplens.functions.series import measured
 from hoplens.operators.live import describe_live
 from hoplens.operators.summary import target_summary
 from hoplens.schema import SERIES
@@ -104,6 +105,44 @@ def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW, idle_ms:
 def summary_updates(stream: DataFrame) -> DataFrame:
     """Running summary of each series, for sinks that take updates, such as ``streams.store_updates``.
 
-    Spark's own aggregation: each batch is added up before the shuffle. State is one row per series and stays.
+    Spark's own aggregation: each batch is added up before the shuffle. State is one row per series and stays, as a series
+    may go on at any time; where series end, ``closed_runs`` frees it.
     """
     return target_summary(stream)
+
+
+def closed_runs(stream: DataFrame, gap: str, delay: str) -> DataFrame:
+    """Summary of each stretch of a series without a pause longer than ``gap``, once, when it is over.
+
+    A stretch is over when event time has passed its last sample by ``gap`` and ``delay``; then its row is given out and its
+    state freed, so the state is that of the stretches still open. Samples later than that are dropped, and so are samples without
+    ``ts``, which belong to no stretch. ``from_ts`` and ``to_ts`` are its first and last sample's time.
+
+    The state of a stretch is one row of sums, however many samples it has. Each task adds its own samples up before the shuffle, if
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is set.
+    """
+    latency = measured(F.col("latency_ms"))
+    total, successful = F.col("total"), F.col("successful")
+    return (
+        stream.where(F.col("ts").isNotNull())
+        .withWatermark("ts", delay)
+        .groupBy(*SERIES, F.session_window("ts", gap).alias("span"))
+        .agg(
+            F.count("*").alias("total"),
+            F.count(latency).alias("successful"),
+            F.avg(latency).alias("avg_ms"),
+            F.min(latency).alias("min_ms"),
+            F.max(latency).alias("max_ms"),
+        )
+        .select(
+            *SERIES,
+            F.col("span.start").alias("from_ts"),
+            (F.col("span.end") - F.expr(f"INTERVAL {gap}")).alias("to_ts"),
+            "total",
+            "successful",
+            ((total - successful) / total * 100).alias("packet_loss_pct"),
+            "avg_ms",
+            "min_ms",
+            "max_ms",
+        )
+    )

@@ -1,12 +1,20 @@
 """Streams of samples: sources, the sink, and how a query is driven."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from hoplens.functions.parsing import decoded_path, parse_lines, run_from_path, target_from_path
+from hoplens.operators.keys import join_keys
+from hoplens.operators.numbering import with_seq
 from hoplens.schema import EVENTS, SAMPLES, SERIES, with_keys
 from hoplens.session import scratch_path
+from hoplens.sources import updates
+from hoplens.sources.folders import remove
+from hoplens.sources.sinks import write_samples
 from hoplens.sources.text import RESULT_FILES
+from hoplens.sources.updates import newest
 
 REFRESH = "500 milliseconds"
 
@@ -58,18 +66,68 @@ def store(
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
+def _each_batch(
+    stream: DataFrame, put: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None, every: str | None
+) -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(put)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
+    return writer.option("checkpointLocation", checkpoint).start()
+
+
 def store_updates(
-    stream: DataFrame, path: str, checkpoint: str | None = None, every: str | None = REFRESH
+    stream: DataFrame,
+    path: str,
+    checkpoint: str | None = None,
+    every: str | None = REFRESH,
+    merged_by: tuple[list[str], str] | None = None,
+    merge_every: int = 20,
 ) -> StreamingQuery:
-    """Store the rows that each batch updates, a folder ``batch=…`` for each; a batch that is run again replaces its own."""
+    """Store the rows that each batch updates, a folder ``batch=…`` for each; a batch that is run again replaces its own.
+
+    With ``merged_by``, keys and a version that only grows, all that is newest is merged after every ``merge_every`` batches. Then
+    ``updates.read_newest`` opens that many folders at most, and the log takes no more room than its keys and the batches
+    of two merges.
+    """
+    schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if merged_by is not None and number and number % merge_every == 0:
+            updates.merge(batch.sparkSession, path, schema, *merged_by, upto=number - 1)
+        updates.put(batch, path, number)
 
-    writer = stream.writeStream.outputMode("update").foreachBatch(put)
-    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream-checkpoint")
-    return writer.option("checkpointLocation", checkpoint).start()
+    return _each_batch(stream, put, "update", checkpoint, every)
+
+
+#: The numbers of lines that a table has of each series.
+LINES = "run_id string, target string, lines bigint, gen bigint"
+
+
+def store_appended(
+    stream: DataFrame, path: str, checkpoint: str | None = None, every: str | None = REFRESH, merge_every: int = 20
+) -> StreamingQuery:
+    """Number the lines of an ``appended_stream`` and store them as samples, exactly once.
+
+    A batch continues each series from the number of its lines so far, which a log beside the samples keeps. Samples and log of a batch
+    have its number, so a batch that is run again replaces what it had written. ``read_samples`` reads the table.
+    """
+    log = f"{path}/_lines"
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        remove(spark, f"{log}/batch={number}")
+        if number and number % merge_every == 0:
+            updates.merge(spark, log, LINES, SERIES, "gen", upto=number - 1)
+        before = updates.read_newest(spark, log, LINES, SERIES, "gen", upto=number - 1)
+        numbered = join_keys(with_seq(batch, ["at"]), before.select(*SERIES, "lines"), SERIES, "left")
+        seq = F.col("seq") + F.coalesce("lines", F.lit(0))
+        rows = numbered.select(*SERIES, seq.alias("seq"), "latency_ms", "malformed")
+        write_samples(rows, path, mode="replace", gen=number)
+        stored = spark.read.schema("target string, seq bigint, run_id string, gen bigint").parquet(path).where(F.col("gen") == number)
+        lines = with_keys(stored, SERIES).groupBy(*SERIES).agg(F.max("seq").alias("lines"))
+        updates.put(lines.withColumn("gen", F.lit(number).cast("long")), log, number)
+
+    return _each_batch(stream, put, "append", checkpoint, every)
 
 
 def store_samples(stream: DataFrame, path: str, **options) -> StreamingQuery:
@@ -82,10 +140,3 @@ def store_samples(stream: DataFrame, path: str, **options) -> StreamingQuery:
 def run_to_end(query: StreamingQuery) -> None:
     """Wait for a query started with ``every=None``; errors of the query surface here."""
     query.awaitTermination()
-
-
-def newest(updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Last update of each key in a stored stream of updates, by a version that only grows."""
-    rest = [name for name in updates.columns if name not in keys]
-    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("latest"))
-    return latest.select(*keys, "latest.*")

@@ -24,7 +24,7 @@ def plain(frame: pd.DataFrame) -> pd.DataFrame:
     for name in frame.columns:
         if frame[name].dtype.kind == "M":
             frame[name] = frame[name].astype("datetime64[us]")
-        if isinstance(frame[name].dtype, pd.Int64Dtype):  # whole numbers with nulls
+        if pd.api.types.is_extension_array_dtype(frame[name].dtype) and frame[name].dtype.kind == "i":  # whole numbers with nulls
             frame[name] = frame[name].astype("float64")
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 

@@ -1,3 +1,4 @@
+import random
 import math
 
 import model
@@ -321,3 +322,62 @@ def test_small_values_are_written_out(spark):
     assert [row.text for row in rows.select(display_value(F.col("v")).alias("text")).collect()] == [
         "0.0005 ms", "0.00001 ms", "12.5 ms", "800.0 ms", "Lost", "0.0 ms",
     ]
+
+
+@pytest.mark.parametrize("block, series", [(1, 1), (4, 2), (10, 10_000), (4096, 1)])
+def test_samples_in_given_regions(spark, monkeypatch, block, series):
+    """Regions of other samples: overlapping, of one position, beyond all samples, and of a NULL run."""
+    monkeypatch.setattr(regions, "JOIN_SERIES", series)
+    data = model.random_data(31, runs=2, targets=5, longest=60)
+    data[None] = data.pop("run1")
+    rows = model.to_rows(data)
+    spans = [("run0", 3, 3), ("run0", 2, 40), ("run0", 38, 41), (None, 1, 500), ("run0", 100, 9000), ("absent", 1, 9), ("run0", 9, 8)]
+    found = spark.createDataFrame([(*span, n) for n, span in enumerate(spans)], "run_id string, start_s bigint, end_s bigint, number int")
+    got = regions.samples_in(model.frame(spark, data), found, block=block)
+    assert got.columns == ["run_id", "target", "seq", "latency_ms", "start_s", "end_s", "number"]
+    keys = sorted((str(row.run_id), row.target, row.seq, row.number) for row in got.collect())
+    assert keys == sorted(
+        (str(run), target, seq, number) for run, target, seq, _ in rows for number, (of, start, end) in enumerate(spans)
+        if of == run and start <= seq <= end
+    )
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_samples_in_regions_of_single_targets(spark):
+    data = model.random_data(32, runs=2, targets=4, longest=50)
+    samples = model.frame(spark, data)
+    found = regions.regions(regions.high_latency(samples, 100.0, 20), 20, by_target=True)
+    got = regions.samples_in(samples, found, block=7)
+    inside = {(run, target, seq) for run, target, start, end in found.select("run_id", "target", "start_s", "end_s").collect() for seq in range(start, end + 1)}
+    assert {(row.run_id, row.target, row.seq) for row in got.collect()} == inside and got.count() == len(inside)
+
+
+def test_silent_targets_of_every_run(spark, monkeypatch):
+    """Several bitmaps, full and empty ones, and NULL as a run and as a target."""
+    rng = random.Random(5)
+    expected = [None, ""] + [f"t{n}" for n in range(70_000)]
+    heard = [("full", target) for target in expected] + [("few", "t5"), ("other", "unexpected"), (None, None), (None, "t69999")]
+    heard += [("some", target) for target in expected if rng.random() < 0.999]
+    samples = spark.createDataFrame(heard * 2, "run_id string, target string")
+    listed = spark.createDataFrame([(target,) for target in expected + expected[:10]], "target string")
+    got = {}
+    for row in hosts.silent_in_runs(listed, samples).collect():
+        got.setdefault(row.run_id, []).append(row.target)
+    of = lambda run: {target for run_id, target in heard if run_id == run}
+    wanted = {run: set(expected) - of(run) for run in ("few", "other", None, "some")}
+    assert {run: set(targets) for run, targets in got.items()} == wanted
+    assert all(len(targets) == len(set(targets)) for targets in got.values())
+    assert hosts.silent_in_runs(listed.limit(0), samples).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 29, 30, 100, 1000])
+def test_rolling_maximum_of_any_size(spark, size):
+    data = model.random_data(40, runs=1, targets=3, longest=400)
+    got = keyed(live.rolling_max(model.frame(spark, data), size, 64), "run_id", "target", "seq")
+    assert {key: row.window_max for key, row in got.items()} == model.rolling(data, size)
+
+
+def test_rolling_maximum_makes_no_sequence(spark):
+    plan = live.rolling_max(model.frame(spark, model.random_data(1)), 3000)._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan and "-2999, currentrow" not in plan

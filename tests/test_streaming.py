@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import time
+from datetime import datetime
 
 import model
 import pytest
@@ -8,6 +9,10 @@ import pytest
 from hoplens.operators.live import live_status
 from hoplens.operators.summary import target_summary
 from hoplens.schema import SAMPLES
+from hoplens.sources import updates
+from hoplens.sources.appended import appended_stream
+from hoplens.sources.tables import read_samples
+from hoplens.sources.text import scan_runs
 from hoplens.streaming import operators, streams
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -146,3 +151,99 @@ def test_result_stream(spark, tmp_path):
     got = sorted((row.run_id, row.target, row.latency_ms or 0, row.malformed) for row in rows.collect())
     run = "2024-01-01_00-00-00"
     assert got == [(run, "a b", 0, False), (run, "a b", 0, True), (run, "a b", 1.5, False)]
+
+
+def appended(spark, tmp_path, texts, **options):
+    """A query over appended lines that is run after each step of writing."""
+    folder = tmp_path / "results_2023-10-05_12-00-00"
+    folder.mkdir(exist_ok=True)
+    for step in texts:
+        for name, text in step.items():
+            with (folder / f"ping_results_{name}.txt").open("ab") as file:
+                file.write(text)
+        lines = appended_stream(spark, f"{tmp_path}/results_*", f"{tmp_path}/sizes")
+        streams.run_to_end(streams.store_appended(lines, f"{tmp_path}/table", f"{tmp_path}/checkpoint", every=None, **options))
+    return folder
+
+
+def stored(samples):
+    return sorted(tuple(row) for row in samples.select("run_id", "target", "seq", "latency_ms", "malformed").collect())
+
+
+def test_appended_lines_equal_one_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("hoplens.sources.appended.RANGE_BYTES", 7)
+    steps = [
+        {"a": b"1\n2\nLo", "b x%": b"5\r\n"}, {"a": b"st\n"}, {}, {"a": b"bad\n\n7", "new": b""}, {"a": b"7\n", "new": b"9\n" * 40, "b x%": b"6\r\n"},
+    ]
+    appended(spark, tmp_path, steps, merge_every=2)
+    (tmp_path / "results_2023-10-05_12-00-00" / "other.txt").write_text("1\n")
+    table = read_samples(spark, str(tmp_path / "table"))
+    assert stored(table) == stored(scan_runs(spark, f"{tmp_path}/results_*"))
+    assert len(list((tmp_path / "sizes").glob("*.json"))) <= 3
+
+
+def test_an_open_line_waits_for_its_end(spark, tmp_path):
+    appended(spark, tmp_path, [{"a": b"1\n2"}])
+    assert [row.latency_ms for row in read_samples(spark, str(tmp_path / "table")).collect()] == [1.0]
+    appended(spark, tmp_path, [{"a": b"3\n"}])
+    assert [row.latency_ms for row in read_samples(spark, str(tmp_path / "table")).orderBy("seq").collect()] == [1.0, 23.0]
+
+
+def test_a_batch_that_is_run_again_replaces_its_own(spark, tmp_path, monkeypatch):
+    """The first try stores its samples and fails before the log has them."""
+    real = streams.updates.put
+    appended(spark, tmp_path, [{"a": b"1\n"}])
+    with monkeypatch.context() as broken:
+        broken.setattr(streams.updates, "put", lambda *rest: 1 / 0)
+        with pytest.raises(Exception):
+            appended(spark, tmp_path, [{"a": b"2\n"}])
+    assert streams.updates.put is real
+    # The first run after a failure ends the batch that failed, the next one takes what came later.
+    appended(spark, tmp_path, [{"a": b"3\n"}, {}])
+    assert [(row.seq, row.latency_ms) for row in read_samples(spark, str(tmp_path / "table")).orderBy("seq").collect()] == [(1, 1.0), (2, 2.0), (3, 3.0)]
+
+
+def test_closed_runs_free_their_state(spark, tmp_path):
+    """Each batch has a series of its own, hours after the one before; a closed one is given out once and its state goes."""
+    schema = "run_id string, target string, ts timestamp, latency_ms double"
+    for number in range(5):
+        rows = [("r", f"t{number}", datetime(2024, 1, 1 + number, 0, minute), None if minute % 3 else float(minute)) for minute in range(10)]
+        rows.append(("r", None, datetime(2024, 1, 1 + number), float("nan")))
+        rows.append(("r", "untimed", None, 1.0))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streams.store(operators.closed_runs(stream, "1 hour", "1 minute"), str(tmp_path / "out"), every=None)
+    streams.run_to_end(query)
+    kept = [progress["stateOperators"][0]["numRowsTotal"] for progress in query.recentProgress if progress["stateOperators"]]
+    assert kept[-1] <= 2 and max(kept) <= 4
+    closed = {(row.target, str(row.from_ts)): row for row in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(closed) == 8 and "untimed" not in {target for target, _ in closed}
+    one = closed["t2", "2024-01-03 00:00:00"]
+    assert (one.total, one.successful, one.avg_ms, one.min_ms, one.max_ms) == (10, 4, 4.5, 0.0, 9.0)
+    assert str(one.to_ts) == "2024-01-03 00:09:00" and closed[None, "2024-01-02 00:00:00"].successful == 0
+
+
+def test_a_merged_log_opens_few_folders(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "key string, n bigint, total bigint"
+    for number in range(23):
+        if number and number % 4 == 0:
+            updates.merge(spark, path, schema, ["key"], "total", upto=number - 1)
+        rows = [(None if number % 5 == 0 else f"k{number % 5}", number, number + 1)]
+        updates.put(spark.createDataFrame(rows, schema), path, number)
+        assert len(updates.state_folders(spark, path)) <= 5
+    assert len(list((tmp_path / "log").iterdir())) <= 2 + 2 * 4 + 1
+    newest = {row.key: row.n for row in updates.read_newest(spark, path, schema, ["key"], "total").collect()}
+    assert newest == {None: 20, "k1": 21, "k2": 22, "k3": 18, "k4": 19}
+
+
+def test_a_merge_that_was_broken_off_changes_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "key string, total bigint"
+    for number in range(3):
+        updates.put(spark.createDataFrame([("a", number)], schema), path, number)
+    (tmp_path / "log" / "generation=1").mkdir()
+    (tmp_path / "log" / "batch=3").mkdir()
+    assert [row.total for row in updates.read_newest(spark, path, schema, ["key"], "total").collect()] == [2]
+    assert updates.last_batch(spark, path) == 2
+    updates.merge(spark, path, schema, ["key"], "total")
+    assert updates.state_folders(spark, path) == [f"{path}/generation=2"]
+    assert updates.read_newest(spark, str(tmp_path / "none"), schema, ["key"], "total").count() == 0

@@ -1,16 +1,21 @@
+import io
 import re
 
 import model
 import pytest
 from pyspark.sql import functions as F
 
-from hoplens.functions.parsing import parse_lines
+from hoplens.functions.parsing import elapsed, parse_lines, probe_clock, run_clock
 from hoplens.operators.extent import measure
 from hoplens.operators.hosts import silent_targets
+from hoplens.operators.partials import partials
+from hoplens.plans.ingest import read_partials
 from hoplens.plans.report import analyse, write_report
 from hoplens import Settings, analyse_file, analyse_runs, ingest_runs, read_samples
 from hoplens.schema import SAMPLES, TEXT_SAMPLES
-from hoplens.sources.sinks import read_segments, write_text
+from hoplens.sources import appended
+from hoplens.sources.folders import remove
+from hoplens.sources.sinks import read_segments, write_log, write_text
 from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
 
 
@@ -48,7 +53,8 @@ def test_scan_runs(spark, root):
         ("2023-10-06_00-00-00", "8.8.8.8"): [7.0, 8.0],
     }
     assert samples.where("malformed").count() == 2
-    assert {field.name: field.dataType for field in samples.schema} == {field.name: field.dataType for field in TEXT_SAMPLES}
+    wanted = {field.name: field.dataType.simpleString() for field in TEXT_SAMPLES} | {"run_ts": "timestamp_ntz"}
+    assert dict(samples.dtypes) == wanted
     assert series(scan_runs(spark, f"{root}/results_{FIRST}")).keys() == {(FIRST, "8.8.8.8"), (FIRST, "crlf host+%")}
 
 
@@ -140,15 +146,172 @@ def test_reports_of_any_size_share_a_path(spark, tmp_path):
     assert {row.target for row in reports[1].silent.collect()} == {"absent"}
 
 
-def test_equal_folder_names_stay_two_runs(spark, tmp_path):
+def two_roots(tmp_path):
+    """Two monitors that began a run in the same second."""
     for place, value in (("a", 1), ("b", 2)):
         folder = tmp_path / place / f"results_{FIRST}"
         folder.mkdir(parents=True)
         (folder / "ping_results_x.txt").write_text(f"{value}\n")
+
+
+def test_equal_folder_names_are_refused_or_labelled(spark, tmp_path):
+    two_roots(tmp_path)
     for folders in ([f"{tmp_path}/a/results_*", f"{tmp_path}/b/results_*"], [f"{tmp_path}/*/results_*"]):
-        rows = scan_runs(spark, *folders).collect()
-        assert len({row.run_id for row in rows}) == 2 and {row.seq for row in rows} == {1}
+        with pytest.raises(ValueError, match="label"):
+            scan_runs(spark, *folders)
     assert scan_runs(spark, f"{tmp_path}/a/results_*").first().run_id == FIRST
+    both = [scan_runs(spark, f"{tmp_path}/{place}/results_*", label=place) for place in "ab"]
+    assert series(both[0].unionByName(both[1])) == {(f"a/{FIRST}", "x"): [1.0], (f"b/{FIRST}", "x"): [2.0]}
+    assert {str(row.run_ts) for row in both[1].collect()} == {"2023-10-05 12:00:00"}
+
+
+@pytest.mark.parametrize("order", ["ab", "ba"])
+def test_one_name_is_one_folder_in_every_call(spark, tmp_path, order):
+    two_roots(tmp_path)
+    table = str(tmp_path / "table")
+    ingest_runs(spark, table, f"{tmp_path}/{order[0]}/results_*")
+    for _ in range(2):
+        with pytest.raises(ValueError, match="label"):
+            ingest_runs(spark, table, f"{tmp_path}/{order[1]}/results_*")
+    with pytest.raises(ValueError, match="label"):
+        ingest_runs(spark, table, f"{tmp_path}/*/results_*")
+    value = {"a": 1.0, "b": 2.0}
+    ingest_runs(spark, table, f"{tmp_path}/{order[1]}/results_*", label="other")
+    rows = series(ingest_runs(spark, table, f"{tmp_path}/{order[0]}/results_*"))
+    assert rows == {(FIRST, "x"): [value[order[0]]], (f"other/{FIRST}", "x"): [value[order[1]]]}
+
+
+def test_an_ingest_reads_only_what_is_new(spark, root, tmp_path, monkeypatch):
+    """Files that have not changed are not opened; grown ones from where they ended."""
+    from hoplens.plans import ingest
+
+    table, folder = str(tmp_path / "table"), root / f"results_{FIRST}"
+    ingest_runs(spark, table, f"{root}/results_*")
+    read, scanned = [], []
+    ranges, scan = ingest.read_ranges, ingest.scan_runs
+    monkeypatch.setattr(ingest, "read_ranges", lambda frame: (read.extend(tuple(row) for row in frame.collect()), ranges(frame))[1])
+    monkeypatch.setattr(ingest, "scan_runs", lambda session, *folders, **label: (scanned.extend(folders), scan(session, *folders, **label))[1])
+    ingest_runs(spark, table, f"{root}/results_*")
+    assert not read and not scanned
+    grown = folder / "ping_results_grown.txt"
+    grown.write_text("1\n2\n")
+    assert series(ingest_runs(spark, table, f"{root}/results_*")) == series(scan_runs(spark, f"{root}/results_*"))
+    with grown.open("a") as file:
+        file.write("3\nLost\n")
+    assert series(ingest_runs(spark, table, f"{root}/results_*")) == series(scan_runs(spark, f"{root}/results_*"))
+    assert [(start, stop) for _, start, stop in read] == [(0, 4), (4, 11)] and not scanned
+
+
+def test_rewritten_and_half_written_files(spark, root, tmp_path):
+    table, folder = str(tmp_path / "table"), root / f"results_{FIRST}"
+    file = folder / "ping_results_half.txt"
+    for text in ("1\n2\n3", "1\n2\n34\n5\n", "7\n", "7\n8\n", ""):
+        file.write_text(text)
+        assert series(ingest_runs(spark, table, f"{root}/results_*")) == series(scan_runs(spark, f"{root}/results_*"))
+
+
+def test_what_a_broken_ingest_left_is_removed(spark, root, tmp_path, monkeypatch):
+    from hoplens.plans import ingest
+
+    table = str(tmp_path / "table")
+    file = root / f"results_{FIRST}" / "ping_results_8.8.8.8.txt"
+    ingest_runs(spark, table, f"{root}/results_*")
+    with file.open("a") as lines:
+        lines.write("\n1\n")
+    with monkeypatch.context() as broken:
+        broken.setattr(ingest, "_commit", lambda *rest: 1 / 0)
+        for _ in range(2):
+            with pytest.raises(ZeroDivisionError):
+                ingest_runs(spark, table, f"{root}/results_*")
+    assert series(ingest_runs(spark, table, f"{root}/results_*")) == series(scan_runs(spark, f"{root}/results_*"))
+
+
+def test_partials_of_several_ingests_add_up(spark, tmp_path):
+    folder, table = tmp_path / f"results_{FIRST}", str(tmp_path / "table")
+    folder.mkdir()
+    for step in range(4):
+        for name, longest in (("x", 700), ("y", 90)):
+            with (folder / f"ping_results_{name}.txt").open("a") as file:
+                file.writelines(f"{(n * 37) % 900}\n" if n % 5 else "Lost\n" if n % 2 else "bad\n" for n in range(step, longest + step))
+        ingest_runs(spark, table, f"{tmp_path}/results_*")
+    samples, rows = read_samples(spark, table), read_partials(spark, table)
+    assert rows.groupBy("run_id", "target", "block").count().where("count > 1").isEmpty()
+    expected = spark.createDataFrame([("x",), ("absent",)], "target string")
+    direct, summed = analyse(samples, expected=expected), analyse(samples, expected=expected, partials=rows)
+    assert direct.summary.count() == 2 and direct.lost_windows.columns == summed.lost_windows.columns
+    for name, part in direct._asdict().items():
+        assert same(part, getattr(summed, name)), name
+
+
+def rounded(frame):
+    return sorted(str(tuple(round(x, 6) if isinstance(x, float) else x for x in row)) for row in frame.collect())
+
+
+def same(one, other):
+    return one.columns == other.columns and rounded(one) == rounded(other)
+
+
+def test_partials_of_nan_and_infinity(spark):
+    data = model.random_data(21, nan=0.3)
+    data["run0"]["odd"] = [float("inf"), None, float("-inf"), float("nan")] * 40 + [None] * 80
+    samples = model.frame(spark, data)
+    for repair in (True, False):
+        direct, summed = analyse(samples, repair_nan=repair), analyse(samples, repair_nan=repair, partials=partials(samples))
+        for name, part in direct._asdict().items():
+            # A mean that lies between two texts may take either, by the order that it was added up in.
+            assert name == "summary_text" or same(part, getattr(summed, name)), name
+
+
+def test_a_report_from_partials_reads_samples_for_series_and_regions_alone(spark, tmp_path):
+    samples = model.frame(spark, model.random_data(3))
+    samples.write.parquet(str(tmp_path / "samples"))
+    samples = spark.read.parquet(str(tmp_path / "samples"))
+    partials(samples).write.parquet(str(tmp_path / "partials"))
+    report = analyse(samples, partials=spark.read.parquet(str(tmp_path / "partials")))
+    for name, part in report._asdict().items():
+        assert any("/samples/" in file for file in part.inputFiles()) == (name in ("raw_series", "regions")), name
+
+
+def test_appends_are_read_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("hoplens.sources.sinks.TEXT_BLOCK", 10)
+    path = str(tmp_path / "text")
+    for first, last in ((0, 35), (35, 90), (90, 95), (95, 96)):
+        rows = [("r", target, n - first + 1, float(n)) for target in ("a", ":b") for n in range(first, last)]
+        write_text(spark.createDataFrame(rows, "run_id string, target string, seq long, latency_ms double").repartition(3), path)
+    back = scan_partitioned(spark, path)
+    assert back.count() == 192 and back.where("seq <> latency_ms + 1").isEmpty()
+    assert [row.number for row in write_log(spark, path).orderBy("number").collect()] == [0, 1, 2, 3]
+    write_text(spark.createDataFrame([("r", "a", 1, 5.0)], "run_id string, target string, seq long, latency_ms double"), path, "overwrite")
+    assert [row.latency_ms for row in scan_partitioned(spark, path).collect()] == [5.0] and write_log(spark, path).count() == 1
+
+
+def test_a_write_that_was_not_logged_takes_its_place_later(spark, tmp_path):
+    path = str(tmp_path / "text")
+    schema = "run_id string, target string, seq long, latency_ms double"
+    for number in range(2):
+        write_text(spark.createDataFrame([("r", "a", 1, float(number))], schema), path)
+    remove(spark, f"{path}/_writes")
+    write_text(spark.createDataFrame([("r", "a", 1, 2.0)], schema), path)
+    assert [row.latency_ms for row in scan_partitioned(spark, path).orderBy("seq").collect()] == [0.0, 1.0, 2.0]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_each_line_belongs_to_one_range(monkeypatch, size):
+    monkeypatch.setattr(appended, "READ_BYTES", size)
+    text = b"1\n\n22\r\n333\n4444444444\nopen"
+    whole = list(appended.lines_between(io.BytesIO(text), 0, len(text)))
+    assert [line for _, line in whole] == [b"1", b"", b"22\r", b"333", b"4444444444"]
+    for cut in range(len(text) + 1):
+        parts = [*appended.lines_between(io.BytesIO(text), 0, cut), *appended.lines_between(io.BytesIO(text), cut, len(text))]
+        assert parts == whole
+
+
+def test_a_runs_clock_and_axis(spark):
+    rows = spark.createDataFrame([(FIRST, 1), (f"site/{FIRST}", 61), ("by hand", 3)], "run_id string, seq long")
+    found = rows.select(run_clock(F.col("run_id")).cast("string"), probe_clock(F.col("run_id"), F.col("seq"), 2).cast("string"), elapsed(F.col("seq"), 2))
+    assert [tuple(row) for row in found.collect()] == [
+        ("2023-10-05 12:00:00", "2023-10-05 12:00:00", 2), ("2023-10-05 12:00:00", "2023-10-05 12:02:00", 122), (None, None, 6)
+    ]
 
 
 def test_ingesting_again_changes_nothing(spark, root, tmp_path):
