@@ -207,23 +207,84 @@ def test_labels(documents, network, odd):
     assert {20, 21, 23} <= {r.doc_id for r in kept.collect()} and not {1, 2, 3, 22} & {r.doc_id for r in kept.collect()}
 
 
-def test_every_position(network):
-    codes = np.frombuffer(b"babebikakeki", np.uint8).reshape(2, 6)
-    p = network.probabilities(codes)
-    assert p.shape == (6, 2, 2)
-    assert p.sum(2) == pytest.approx(np.ones((6, 2)), abs=1e-5)
-    pooled, size = language.Reader(network).read(["babebi kakeki"])
-    assert pooled[0] == pytest.approx(p.mean((0, 1)), abs=1e-5) and size[0] == 12
-
-
-def test_known_words_start_anew(network, monkeypatch):
-    texts = [" ".join("".join(x) for x in zip(*[iter("babebibobukakekikoku" * k)] * 6, strict=False)) for k in range(1, 6)]
-    want = language.Reader(network).read(texts)[0]
-    monkeypatch.setattr(language, "KNOWN_WORDS", 8)
-    reader = language.Reader(network)
-    for _ in range(2):
-        for text, own in zip(texts, want, strict=True):
-            assert reader.read([text])[0][0] == pytest.approx(own, abs=1e-6)
+def plain_probabilities(network, text):
+    """The network over a whole text, byte by byte, in double precision."""
+    w = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    sides = []
+    for side in ("ahead", "back"):
+        states, h = [], np.zeros(w[f"{side}_state"].shape[0])
+        n = len(h)
+        for byte in text.lower() if side == "ahead" else text.lower()[::-1]:
+            x, s = w[f"{side}_byte"][byte], h @ w[f"{side}_state"]
+            z, r = (1 / (1 + np.exp(-(x[i * n : i * n + n] + s[i * n : i * n + n]))) for i in (0, 1))
+            c = np.tanh(x[2 * n :] + r * s[2 * n :])
+            h = c + z * (h - c)
+            states.append(h)
+        sides.append(np.array(states if side == "ahead" else states[::-1]))
+    p = np.exp(np.concatenate(sides, 1) @ w["out"] + w["bias"])
+    return p / p.sum(1, keepdims=True)
+
+
+def test_every_byte_is_labelled_across_words(network):
+    text = "Babebi, 12 kakeki\n- é bobu.".encode()
+    p = network.label_bytes(text)
+    assert p.shape == (len(text), 2)
+    assert p == pytest.approx(plain_probabilities(network, text), abs=1e-4)
+    letters = [byte >= 128 or chr(byte).isalpha() for byte in text]
+    assert language.pool(network, [text, b"", text])[0] == pytest.approx(p[letters].mean(0), abs=1e-5)
+
+
+def test_pieces_overlap_at_characters():
+    text = ("é" * 301 + "a" + "\U0001f600" * 500 + "中").encode()
+    pieces = language.pieces_of(text)
+    assert [first for _, first, _, _ in pieces[1:]] == [last for _, _, last, _ in pieces[:-1]]
+    assert (pieces[0][0], pieces[0][1], pieces[-1][2], pieces[-1][3]) == (0, 0, len(text), len(text))
+    for start, first, last, end in pieces:
+        for part in (text[start:end], text[first:last], text[start:first]):
+            part.decode()
+        assert last - first <= language.PIECE + 3 and (first - start >= language.CONTEXT or start == 0)
+    assert language.pieces_of(b"") == []
+
+
+def test_pieces_hardly_differ_from_the_whole(network):
+    text = " ".join(random.Random(1).choices(["babebi", "bobabu", "bubo,", "bi."], k=400)).encode()
+    assert len(language.pieces_of(text)) > 4
+    assert network.label_bytes(text) == pytest.approx(plain_probabilities(network, text), abs=0.02)
+
+
+def test_pooling_does_not_depend_on_what_is_read_together(network, monkeypatch):
+    texts = [("babebi kakeki " * k)[: 7 * k].encode() for k in range(40)] + [b"ba" * 2000]
+    alone = np.concatenate([language.pool(network, [text]) for text in texts])
+    assert language.pool(network, texts) == pytest.approx(alone, abs=1e-5)
+    monkeypatch.setattr(language, "TOGETHER", 3)
+    assert language.pool(network, texts) == pytest.approx(alone, abs=1e-5)
+
+
+def test_the_order_of_words_tells_languages_apart(documents):
+    """Both languages have the same words; only what follows what differs, so a reader of single words can't tell."""
+    rng = random.Random(8)
+    words = {"first": ["ba", "ko"], "second": ["ko", "ba"]}
+    make = lambda pair, n: " ".join(f"{pair[0]} {pair[0]} {pair[1]}" for _ in range(n))
+    samples = [(make(pair, rng.randint(30, 60)), name) for name, pair in words.items() for _ in range(20)]
+    network = language.fit(samples, steps=250)
+    rows = [(i, make(words["first" if i % 2 else "second"], 5 + i)) for i in range(1, 21)]
+    found = {row.doc_id: row.lang_pred for row in language.identify(documents(rows), network).collect()}
+    assert found == {i: "first" if i % 2 else "second" for i, _ in rows}
+
+
+def test_only_letters_are_letters(documents, network):
+    rows = [(1, "½ ² Ⅷ ①"), (2, "½ é"), (3, "_ 1 \u0301"), (4, "ª")]
+    found = {row.doc_id: row.lang_pred for row in language.identify(documents(rows), network).collect()}
+    assert found[1] == found[3] == "und" and "und" not in (found[2], found[4])
+
+
+def test_the_sample_is_bounded_however_often_rows_repeat(frame, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language, "fit", lambda samples: taken.extend(samples) or language.Network.fresh(["a"], 2, np.random.default_rng(0)))
+    monkeypatch.setattr(language, "TRAIN_ROWS", 7)
+    docs = frame([(5, f"text {i}", "a", "s") for i in range(300)] + [(5, "text", "b", "s")] * 300 + [(None, "x", "a", "s"), (6, None, "a", "s")])
+    language.train(docs, F.lit(True))
+    assert sorted(lang for _, lang in taken) == ["a"] * 7 + ["b"] * 7
 
 
 def test_training_never_sees_held_out(spark):
