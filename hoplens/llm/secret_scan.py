@@ -7,13 +7,16 @@ from hoplens.llm.common import cut, whole_text
 
 # The shapes proposed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+PEM_BEGIN, PEM_END = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----END [A-Z ]{0,40}PRIVATE KEY-----"
+#: A private key from its first line to its last; the first alone where no last one comes before another line of dashes.
+PEM = f"{PEM_BEGIN}(?:[^-]*+(?:-(?!----)[^-]*+)*+{PEM_END})?+"
 PATTERNS = {
     "assign": ASSIGN,
     "access": "AKIA[A-Z0-9]+",
     "hex": "[0-9a-f]{32,}+",
     "github": "gh[pousr]_[A-Za-z0-9]{36,}+",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
-    "pem": "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "pem": PEM,
 }
 BASE = ("assign", "access", "hex")
 #: A value in this many owners' hands is an example that people copy, not a live credential.
@@ -23,8 +26,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 
 def _secret(kind: Column, value: Column) -> Column:
-    """The secret itself, without the name it is assigned to."""
-    return F.when(kind == "assign", F.regexp_extract(value, ASSIGN, 2)).otherwise(value)
+    """The secret itself: without the name it is assigned to, a private key without its lines of dashes and white space. A key of which
+    only the first line is there has none."""
+    key = F.regexp_replace(F.regexp_replace(value, f"^{PEM_BEGIN}|{PEM_END}$", ""), r"\s+", "")
+    return F.when(kind == "assign", F.regexp_extract(value, ASSIGN, 2)).when(kind == "pem", key).otherwise(value)
 
 
 def _long_enough(kind: str, value: Column) -> Column:
@@ -75,7 +80,9 @@ def find_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
         )
     )
     each = rows.select("row", "repository", "owner", F.explode("spans").alias("span")).withColumn(
-        "digest", F.sha2(F.col("span.value"), 256)
+        # What has no secret in it is no copy of anything.
+        "digest",
+        F.when(F.col("span.value") == "", F.concat_ws(":", "row", "span.start")).otherwise(F.sha2(F.col("span.value"), 256)),
     )
     held = (
         each.groupBy("digest", "repository", "owner")
