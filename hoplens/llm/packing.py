@@ -2,6 +2,7 @@
 
 import json
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -14,8 +15,10 @@ from hoplens.llm.common import cut
 
 #: The id that ends a document.
 END = 0
-#: Blocks that the pieces of one length are numbered in.
-NUMBER_BLOCKS = 64
+#: Pieces of one length that are numbered by one task, until there are MOST_BLOCKS blocks of them; then blocks get larger.
+BLOCK_PIECES, MOST_BLOCKS = 2000, 500_000
+#: Capacities up to here are planned: some lengths and a number of pieces fit one number of 64 bits.
+MOST_CAPACITY = 1 << 19
 
 #: Strings that are one token wherever a text holds them, with their ids.
 Special = tuple[tuple[str, int], ...]
@@ -111,38 +114,49 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[_Bins]:
     any number of pieces.
     """
     left = {length: number for length, number in counts.items() if number}
+    #: Large lengths of which there are pieces left, and the rooms of the bins, both ascending.
     large = sorted(length for length in left if 3 * length > capacity)
+    rooms: list[int] = []
     bins: dict[int, list[_Bins]] = {}
 
     def put(group: _Bins) -> None:
         if group.number:
-            bins.setdefault(group.room, []).append(group)
-
-    for length in reversed(large):
-        while left[length]:
-            partner = next((x for x in reversed(large) if x <= min(length, capacity - length) and left[x]), None)
-            if partner == length and left[length] < 2:
-                partner = next((x for x in reversed(large) if x < length and x <= capacity - length and left[x]), None)
-            one = _Bins(0, capacity).with_items(0, length, 1)
-            if partner is None:
-                number = left[length]
-                left[length] = 0
-            elif partner == length:
-                number = left[length] // 2
-                left[length] -= 2 * number
-                put(_Bins(0, capacity).with_items(number, length, 2))
-                continue
-            else:
-                number = min(left[length], left[partner])
-                left[length] -= number
-                left[partner] -= number
-                one = one.with_items(0, partner, 1)
-            one.number = number
-            put(one)
+            if group.room not in bins:
+                insort(rooms, group.room)
+                bins[group.room] = []
+            bins[group.room].append(group)
+
+    def take(length: int, number: int) -> None:
+        left[length] -= number
+        if not left[length]:
+            del large[bisect_left(large, length)]
+
+    while large:
+        length = large[-1]
+        at = bisect_right(large, min(length, capacity - length)) - 1
+        if at >= 0 and large[at] == length and left[length] < 2:
+            at -= 1
+        partner = large[at] if at >= 0 else None
+        one = _Bins(0, capacity)
+        if partner is None:
+            number = left[length]
+            put(one.with_items(number, length, 1))
+        elif partner == length:
+            number = left[length] // 2
+            put(one.with_items(number, length, 2))
+            number *= 2
+        else:
+            number = min(left[length], left[partner])
+            put(one.with_items(0, length, 1).with_items(number, partner, 1))
+            take(partner, number)
+        take(length, number)
     for length in sorted((x for x in left if 3 * x <= capacity), reverse=True):
-        number = left[length]
-        for room in sorted(x for x in bins if x >= length):
+        number, at = left[length], bisect_left(rooms, length)
+        while number and at < len(rooms):
+            room = rooms[at]
+            # What is put back into smaller rooms does not fit the length any more, unless it has the room's rest.
             fit, groups = room // length, bins.pop(room)
+            del rooms[at]
             while groups and number:
                 group = groups.pop()
                 full = min(group.number, number // fit)
@@ -156,8 +170,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[_Bins]:
                     groups.append(_Bins(rest, group.room, group.items))
             for group in groups:
                 put(group)
-            if not number:
-                break
+            at = bisect_right(rooms, room)
         fit = capacity // length
         put(_Bins(0, capacity).with_items(number // fit, length, fit))
         if number % fit:
@@ -189,19 +202,25 @@ def pack(docs: DataFrame, capacity: int, ranks: str, pattern: str, special: Spec
     not read; an empty table gives no rows.
 
     The driver sees the number of pieces of each length, ``capacity`` rows at most, and plans bins for these numbers. Pieces
-    are numbered within their length in blocks, so no length meets in one task, and find their place in the plan by number.
+    are numbered within their length in blocks, as many as its number needs, and find their place in the plan by number. There are
+    capacity + MOST_BLOCKS blocks at most, so their sizes can be sent to every task. A capacity beyond MOST_CAPACITY is refused.
     The plan has some five kinds of bins for each length, and a bin at most sqrt(2 capacity) lengths, whatever the input.
     """
-    pieces = cut(
-        cut_pieces(docs, capacity, ranks, pattern, special).withColumn(
-            "__block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(NUMBER_BLOCKS)).cast("int")
-        )
+    if not 0 < capacity <= MOST_CAPACITY:
+        raise ValueError(f"a sequence holds 1 to {MOST_CAPACITY} tokens, not {capacity}")
+    spark = docs.sparkSession
+    pieces = cut(cut_pieces(docs, capacity, ranks, pattern, special))
+    lengths = {row.length: row.n for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    size = max(BLOCK_PIECES, sum(lengths.values()) // MOST_BLOCKS)
+    # As many rows as lengths, so as the capacity at most.
+    blocks = spark.createDataFrame([(length, -(-n // size)) for length, n in lengths.items()], "length long, __blocks long")
+    pieces = pieces.join(F.broadcast(blocks), "length").withColumn(
+        "__block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__blocks"))
     )
     counts = pieces.groupBy("length", "__block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    lengths = {row.length: row.n for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = docs.sparkSession.sparkContext.broadcast(_places(plan_bins(lengths, capacity)))
+    places = spark.sparkContext.broadcast(_places(plan_bins(lengths, capacity)))
 
     within = Window.partitionBy("length", "__block").orderBy("doc_id", "piece", "ids_crc32")
     numbered = (
@@ -216,11 +235,12 @@ def pack(docs: DataFrame, capacity: int, ranks: str, pattern: str, special: Spec
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = places.value
-        # Lengths and numbers as one key: numbers stay below 2**48.
-        keys = (plan[:, 0] << 48) + plan[:, 1]
+        # A length's rank, below MOST_CAPACITY, and a number below 2**44 as one key.
+        known = np.unique(plan[:, 0])
+        keys = (np.searchsorted(known, plan[:, 0]) << 44) + plan[:, 1]
         for batch in batches:
             length, number = (batch.column(name).to_numpy() for name in ("length", "number"))
-            _, first, base, copies, offset = plan[np.searchsorted(keys, (length << 48) + number, "right") - 1].T
+            _, first, base, copies, offset = plan[np.searchsorted(keys, (np.searchsorted(known, length) << 44) + number, "right") - 1].T
             index = number - first
             yield pa.RecordBatch.from_arrays(
                 [

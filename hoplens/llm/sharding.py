@@ -7,8 +7,8 @@ from hoplens.llm.common import whole_text
 #: Bytes added to each row's size for its key and framing.
 ROW_OVERHEAD = 16
 
-#: Blocks that a shard is numbered in; one task numbers one block.
-SLOT_BLOCKS = 64
+#: Rows of a shard that one task numbers, about, and bounds of the number of blocks of all shards.
+BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 50_000, 64, 1_000_000
 
 
 def _random(key: Column, step: Column) -> Column:
@@ -49,6 +49,8 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFram
     key is a key of its own. An empty table gives no rows.
     """
     text = whole_text()
+    # Blocks of a shard. All of them are one row each of a table that is sent to every task.
+    blocks = max(LEAST_BLOCKS, min(MOST_BLOCKS // shards, -(-docs.count() // (shards * BLOCK_ROWS))))
     # Both numbers come from one walk, so the state is kept as one column.
     shard, grown = jump_hash(F.col(key), shards)
     placed = docs.select(
@@ -57,9 +59,9 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFram
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard.alias("shard"),
         grown.alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key), text), F.lit(SLOT_BLOCKS)).cast("int").alias("__block"),
+        F.pmod(F.xxhash64(F.col(key), text), F.lit(blocks)).cast("int").alias("__block"),
     )
-    # At most shards x blocks rows, whatever the input.
+    # At most shards x blocks rows.
     counts = placed.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

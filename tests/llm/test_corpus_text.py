@@ -112,6 +112,45 @@ def test_plans(capacity):
             assert len(bins) <= 5 * capacity
 
 
+@pytest.mark.parametrize("capacity", [32_767, 32_768, 131_072])
+def test_large_capacities(documents, capacity):
+    text = "one two three four "
+    rows = [(i, text * (capacity // 4 * (i % 5) // 4 + i)) for i in range(24)] + [(99, text * capacity), (100, None)]
+    found = packing.pack(documents(rows), capacity, RANKS, public_tokenizers.PATTERN).collect()
+    check_sequences(found, capacity)
+    assert max(row.length for row in found) == capacity
+    ids = {}
+    for row in found:
+        ids.setdefault(row.doc_id, []).append((row.piece, row.start, row.length))
+    for i, text in rows:
+        assert [(start, length) for _, start, length in sorted(ids[i])] == packing.pieces_of(len(packing._ids(text or "", RANKS, public_tokenizers.PATTERN, ())), capacity)
+
+
+def test_capacities_that_cannot_be_planned_are_refused(documents):
+    for capacity in (0, packing.MOST_CAPACITY + 1):
+        with pytest.raises(ValueError):
+            packing.pack(documents([(1, "a")]), capacity, RANKS, public_tokenizers.PATTERN)
+
+
+def test_plans_of_very_many_lengths():
+    """A plan for every length there is takes seconds."""
+    capacity = 131_072
+    counts = {length: 1 + length % 7 for length in range(1, capacity + 1, 3)}
+    held = collections.Counter()
+    for group in packing.plan_bins(counts, capacity):
+        assert group.room == capacity - sum(n * k for n, k in group.items) >= 0
+        for n, k in group.items:
+            held[n] += k * group.number
+    assert held == collections.Counter(counts)
+
+
+def test_blocks_follow_the_number_of_pieces(documents, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 3)
+    rows = [(i, "same words here " * (1 + i % 3)) for i in range(300)]
+    found = packing.pack(documents(rows), 64, RANKS, public_tokenizers.PATTERN).collect()
+    assert len(found) == 300 and check_sequences(found, 64) > 0
+
+
 def test_no_documents(documents):
     none = documents([(1, "a")]).where(F.lit(False))
     assert packing.pack(none, 64, RANKS, public_tokenizers.PATTERN).count() == 0

@@ -1,5 +1,7 @@
 """Personal data, secrets and shards: DataFrame functions only."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -201,6 +203,41 @@ def test_shards(documents, odd):
     )
 
 
+def plain_jump(key, shards):
+    """Jump consistent hashing as it is written down, over a sequence of numbers from digests."""
+    shard, jump, step = -1, 0, 0
+    while jump < shards:
+        shard = jump
+        number = (int(hashlib.md5(f"{key}:{step}".encode()).hexdigest()[:8], 16) + 1) / 2**32
+        jump, step = math.floor((shard + 1) / number), step + 1
+    return shard
+
+
+def test_shards_equal_plain_jump_hashing(spark):
+    from hoplens.llm.queries import QUERIES
+
+    path = "/root/testdata/sf0.001"
+    texts = dict(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect())
+    rows = QUERIES["op6_sharding"](spark, path).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        grown = plain_jump(r.doc_id, 41)
+        assert (r.shard, r.grown_shard) == (plain_jump(r.doc_id, 40), grown)
+        text = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(text) + 16, zlib.crc32(text), "key")
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 1000])
+def test_any_number_of_shards(documents, monkeypatch, shards):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(sharding, "LEAST_BLOCKS", 1)
+    found = sharding.assign_shards(documents([(i, "a") for i in range(300)]), shards).collect()
+    assert all((r.shard, r.grown_shard) == (plain_jump(r.doc_id, shards), plain_jump(r.doc_id, shards + 1)) for r in found)
+    for shard in {r.shard for r in found}:
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_shard_depends_on_key_and_count(documents):
     few = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign_shards(documents([(i, "a") for i in range(50)]), 7).collect()}
     more = {r.doc_id: r.shard for r in sharding.assign_shards(documents([(i, "b" * i) for i in range(200)]), 8).collect()}
