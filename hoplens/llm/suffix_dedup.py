@@ -32,6 +32,8 @@ SORT_BYTES = 1 << 20
 TILE = 4 << 20
 #: Bytes of distinct stretches that a task holds to collect the places of their copies.
 HELD_BYTES = 16 << 20
+#: What a place counts in it, places of one stretch in a row, and found runs that a task gathers before it passes them on.
+PLACE_BYTES, PLACES, OUT_ROWS = 100, 1000, 100_000
 #: A gram that occurs more often is hot: its suffixes are dealt out by their whole first bytes instead.
 HOT = 20_000
 
@@ -199,21 +201,27 @@ def _grams(rows: DataFrame, length: int, located: bool) -> DataFrame:
 
 
 def _stretches(near: DataFrame, length: int) -> DataFrame:
-    """A row for each distinct stretch of HELD_BYTES, with where it occurs; hot stretches suffix by suffix, without text."""
+    """A row for each distinct stretch of HELD_BYTES, with where it occurs; hot stretches suffix by suffix, without text.
+
+    A stretch that occurs more than once there is known to be repeated: its row has no place, and ``n`` of 2. Its places go on
+    in rows of their own, ``n`` of 0, whose buckets are spread, so however often a string occurs, no task gets all its places.
+    """
     schema = "bucket long, digest binary, n long, places binary, starts int, lead int, text binary"
 
     def taken(held: dict[bytes, list]) -> pa.RecordBatch:
-        rows = list(held.values())
+        rows = []
+        for bucket, digest, where, starts, lead, text in held.values():
+            if len(where) == 1:
+                rows.append((bucket, digest, 1, where[0], starts, lead, text))
+                continue
+            rows.append((bucket, digest, 2, b"", starts, lead, text))
+            for i in range(0, len(where), PLACES):
+                spread = xxhash.xxh3_64_intdigest(digest + where[i]) - (1 << 63)
+                rows.append((spread, b"", 0, b"".join(where[i : i + PLACES]), starts, 0, b""))
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        columns = zip(*rows) if rows else ((),) * len(kinds)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in rows], pa.int64()),
-                pa.array([x[1] for x in rows], pa.binary()),
-                pa.array([len(x[2]) for x in rows], pa.int64()),
-                pa.array([b"".join(x[2]) for x in rows], pa.binary()),
-                pa.array([x[3] for x in rows], pa.int32()),
-                pa.array([x[4] for x in rows], pa.int32()),
-                pa.array([x[5] for x in rows], pa.binary()),
-            ],
+            [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
             names=["bucket", "digest", "n", "places", "starts", "lead", "text"],
         )
 
@@ -233,6 +241,7 @@ def _stretches(near: DataFrame, length: int) -> DataFrame:
                             own = text[start : end + length]
                             digest = xxhash.xxh3_128_digest(own)
                             where = keys[i] + start.to_bytes(4, "little")
+                            size += PLACE_BYTES
                             if digest in held:
                                 held[digest][2].append(where)
                             else:
@@ -268,6 +277,9 @@ class _Sorter:
             self.out += [(places[i : i + _KEY], start + first, number) for first, number in runs]
 
     def add(self, bucket: int, digest: bytes, n: int, places: bytes, starts: int, lead: int, text: bytes) -> None:
+        if not n:
+            self._emit(places, [(0, starts)])
+            return
         if bucket != self.bucket:
             self._close()
             self.bucket = bucket
@@ -278,9 +290,6 @@ class _Sorter:
                 self.last[1] = b""
             self._emit(places, [(0, starts)])
             return
-        if n > 1:
-            self._emit(places, [(0, starts)])
-            places = b""
         self.last = [digest, places, starts, lead, text, len(self.own)]
         self.own.append(self.last)
 
@@ -332,7 +341,9 @@ def _sorted(stretches: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 sorter.add(*row)
-            yield sorter.taken()
+                if len(sorter.out) >= OUT_ROWS:
+                    yield sorter.taken()
+        yield sorter.taken()
         sorter.finish()
         yield sorter.taken()
 
@@ -388,9 +399,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     bytes; a character may lose some of its). A null text is empty; rows that repeat repeat each other's strings; texts
     shorter than ``length`` keep all; other columns are not read. An empty table gives no rows.
 
-    ``length`` is RANKED + GRAM at least. A stretch that occurs often is sent once per batch with its places. Grams that
-    occur more than ``hot`` times are dealt out by the digest of each suffix's ``length`` bytes, so no bucket grows without
-    bound, and copies are told by their digests alone.
+    ``length`` is RANKED + GRAM at least. What the sort and the cover's ranks decide are strings in stretches of text that differ. Two
+    shares don't pass it: whole stretches that are equal, by a 128-bit digest of their bytes, and grams that occur more than
+    ``hot`` times, whose suffixes are dealt out and told apart by the digest of their ``length`` bytes, so that no bucket grows
+    without bound. A text's repeated strings are gathered in one row, some 16 bytes for each run, or for each string where a
+    gram is hot; so a text with hot grams throughout may have 100 MB.
     """
     if length < RANKED + GRAM:
         raise ValueError(f"length must be {RANKED + GRAM} or more")

@@ -228,3 +228,24 @@ def test_cover():
 
 def test_no_repeats_in_an_empty_table(documents):
     assert suffix_dedup.remove_repeats(documents([(1, "a")]).where(F.lit(False))).count() == 0
+
+
+def test_places_of_one_string_are_spread(documents, monkeypatch):
+    """A third of all rows are equal, in one partition: no bucket gets all their places, and no row very many."""
+    monkeypatch.setattr(suffix_dedup, "PLACES", 50)
+    random.seed(4)
+    word = lambda: "".join(random.choices("abcdefgh", k=8))
+    copy = " ".join(word() for _ in range(60))
+    texts = [copy] * 1000 + [" ".join(word() for _ in range(40)) for _ in range(2000)]
+    seen = {}
+    real = suffix_dedup._sorted
+    monkeypatch.setattr(suffix_dedup, "_sorted", lambda stretches, length: real(seen.setdefault("stretches", stretches), length))
+    found = suffix_dedup.remove_repeats(documents(list(enumerate(texts)), parts=1)).collect()
+    wanted = dict(enumerate(plain.without_repeats([text.encode() for text in texts], 200)))
+    assert {row.doc_id: bytes(row.kept) for row in found} == wanted
+    rows = seen["stretches"].selectExpr("bucket", "length(places) / 20 AS places").collect()
+    assert max(row.places for row in rows) <= 50
+    per_bucket = {}
+    for row in rows:
+        per_bucket[row.bucket] = per_bucket.get(row.bucket, 0) + row.places
+    assert sum(per_bucket.values()) >= 1000 and max(per_bucket.values()) <= 50
