@@ -151,6 +151,57 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM rows WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (
+            SELECT r, i, substr(h, 2 * i + 1, 400) AS s
+            FROM d, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS t(i)
+        ),
+        again AS (SELECT s FROM p GROUP BY s HAVING count(*) > 1),
+        found AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM p WHERE s IN (SELECT s FROM again)),
+        islands AS (SELECT r, i, count(*) FILTER (gap IS NULL OR gap > 200) OVER (PARTITION BY r ORDER BY i) AS island FROM found),
+        runs AS (SELECT r, min(i) AS first, max(i) + 200 AS last FROM islands GROUP BY r, island),
+        gaps AS (SELECT r, first, last, coalesce(lag(last) OVER (PARTITION BY r ORDER BY first), 0) AS kept_from FROM runs),
+        cut AS (
+            SELECT r, sum(last - first)::BIGINT AS n_removed, count(*) AS n_spans, max(last) AS rest,
+                string_agg(substr(h, 2 * kept_from + 1, 2 * (first - kept_from)), '' ORDER BY first) AS kept
+            FROM gaps JOIN d USING (r) GROUP BY r
+        )
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (r)
+    """,
+    "op4_jaccard_join": """
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+                lambda w: w <> '') AS w
+            FROM documents
+        ), shingled AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
+            FROM worded
+        ), sets AS (
+            SELECT s, len(s) AS n, row_number() OVER () AS id FROM (SELECT DISTINCT s FROM shingled WHERE len(s) > 0)
+        ), entries AS (
+            SELECT id, n, unnest(s) AS e FROM sets
+        ), pairs AS (
+            SELECT a.id AS a, b.id AS b FROM entries a JOIN entries b ON a.e = b.e AND a.id < b.id
+            GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), links AS (
+            SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+        ), reached AS (
+            SELECT id, id AS other FROM sets
+            UNION
+            SELECT r.id, l.b FROM reached r JOIN links l ON r.other = l.a
+        ), holders AS (
+            SELECT sets.id, min(doc_id) AS doc_id FROM sets JOIN shingled USING (s) GROUP BY sets.id
+        ), components AS (
+            SELECT r.id, min(h.doc_id) AS component_id FROM reached r JOIN holders h ON r.other = h.id GROUP BY r.id
+        )
+        SELECT doc_id, len(shingled.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+        FROM shingled LEFT JOIN sets USING (s) LEFT JOIN components USING (id)
+    """,
     "op11_prefix_trie": f"""
         WITH own AS (
             SELECT conv_id, list(coalesce(role, '') || chr(0) || coalesce(text, '') ORDER BY turn NULLS FIRST) AS turns
