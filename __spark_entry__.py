@@ -19,7 +19,7 @@ from hoplens.operators.keys import join_keys
 from hoplens.operators.numbering import with_seq
 from hoplens.plans.ingest import ingest_runs, read_partials
 from hoplens.plans.report import analyse, write_report
-from hoplens.schema import SERIES
+from hoplens.schema import SAMPLES, SERIES
 from hoplens.session import scratch_path
 from hoplens.settings import Settings
 from hoplens.sources import updates
@@ -647,6 +647,19 @@ def stream_appended(spark, sf_dir):
     return read_samples(spark, table).drop("ts")
 
 
+def stream_landed_samples(spark, sf_dir):
+    landing = scratch_path(spark, "landing")
+    samples = _in_order(_by_user(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
+    write_samples(samples.withColumn("malformed", F.col("latency_ms").isNull()).select(*SAMPLES.names), landing)
+    stored = _stored(spark, streams.sample_stream(spark, landing, max_files=2), "samples")
+    return stored.select("run_id", "target", "seq", "latency_ms", "malformed")
+
+
+def stream_result_lines(spark, sf_dir):
+    folder = _run_folder(spark, _in_order(_by_three(spark, sf_dir)))
+    return _stored(spark, streams.result_stream(spark, folder, max_files=1), "lines")
+
+
 def stream_runs_closed(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     closed = _stored(spark, live_streams.closed_runs(_user_stream(spark, sf_dir), "8 hours", "1 hour"), "closed")
@@ -690,13 +703,11 @@ def stream_sink_roundtrip(spark, sf_dir):
 
 
 def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
-    """Queries on text corpora and their SQL, where that subpackage is installed."""
+    """Queries on text corpora and their SQL, where that subpackage and what it needs can be imported."""
     try:
         import corpus_pipeline
         from hoplens.llm import queries as corpus
-    except ModuleNotFoundError as missing:
-        if missing.name not in ("corpus_pipeline", "hoplens.llm"):
-            raise
+    except ImportError:
         return {}, {}
     sql = corpus.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
     return corpus.QUERIES | {"pipeline": corpus_pipeline.run}, sql
@@ -769,6 +780,8 @@ def _latency_queries() -> dict[str, Query]:
         "stream_summary": stream_summary,
         "stream_sink_roundtrip": stream_sink_roundtrip,
         "stream_appended": stream_appended,
+        "stream_landed_samples": stream_landed_samples,
+        "stream_result_lines": stream_result_lines,
         "stream_runs_closed": stream_runs_closed,
         "stream_newest_merged": stream_newest_merged,
         "stream_live_files": stream_live_files,
@@ -1079,6 +1092,10 @@ def _latency_sql() -> dict[str, str]:
             SELECT CAST(user_id AS VARCHAR) AS target, event_id, {LATENCY} AS latency_ms FROM events""",
         "stream_appended": f"""{B}
             SELECT '{RUN}' AS run_id, target, seq, latency_ms, false AS malformed FROM s""",
+        "stream_landed_samples": f"""{A}
+            SELECT 'events' AS run_id, target, seq, latency_ms, latency_ms IS NULL AS malformed FROM s""",
+        "stream_result_lines": f"""{B}
+            SELECT '{RUN}' AS run_id, target, latency_ms, false AS malformed FROM s""",
         "stream_runs_closed": f"""
             WITH s AS (
                 SELECT CAST(user_id AS VARCHAR) AS target, ts, event_id, {LATENCY} AS latency_ms,

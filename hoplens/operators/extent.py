@@ -10,6 +10,8 @@ from hoplens.schema import SERIES
 
 # More runs than this stay distributed; up to here the per-run table (two columns) is at most a few MB.
 MAX_RUNS_ON_DRIVER = 100_000
+# Beyond that, so many of its rows are still sent to every task, some tens of bytes each.
+MAX_BROADCAST_RUNS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Extent:
     def by_run(self) -> DataFrame:
         """Length of the longest series of each run; broadcast if its counted rows are few."""
         if self.known is None:
-            return self.per_run
+            return F.broadcast(self.per_run) if self.runs <= MAX_BROADCAST_RUNS else self.per_run
         return F.broadcast(self.per_run.sparkSession.createDataFrame(self.known, "run_id string, max_seq bigint"))
 
     def with_max_seq(self, rows: DataFrame) -> DataFrame:
