@@ -1,23 +1,26 @@
 """Benchmark decontamination by greedy string tiling of shared words."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hoplens.llm import words
+from hoplens.llm.common import cut, row_key
 
 #: Words that a tile has at least.
 LEAST_TILE = 5
 #: A document is contaminated where its tiles cover this part of a benchmark item.
 COVERAGE = 0.8
-#: Words of the benchmark that a task holds at a time; a larger benchmark is taken in blocks.
-BLOCK_WORDS = 2_000_000
+#: Words of a benchmark whose seeds are sent to every task, told from its bytes; those of a larger one are a table to join with.
+HELD_WORDS, WORD_BYTES = 2_000_000, 8
+#: Of a seed's hash, the bits that documents' hashes are picked by before that join.
+PICK_BITS = 24
 
 
 class Seeds:
-    """The items of a block, and a sorted table of the hashes of their tiles' shortest form."""
+    """Items, and a sorted table of the hashes of their tiles' shortest form."""
 
     def __init__(self, items: list[tuple[object, bytes]], size: int):
         self.size = size
@@ -157,14 +160,105 @@ def _scan(seeds: Seeds, texts: list[bytes], coverage: float) -> Iterator[tuple[i
             yield int(i), item, got, length
 
 
-def _blocks(benchmark: DataFrame, item: str, size: int) -> Iterator[Seeds]:
-    """The benchmark in blocks of about BLOCK_WORDS words, by a hash of the item."""
-    told = benchmark.select(F.col(item).alias("item"), F.col("text").alias("text")).where(F.col("text").isNotNull())
-    total = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // (8 * BLOCK_WORDS) + 1
-    for k in range(blocks):
-        rows = told.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else told
-        yield Seeds([(row.item, row.text.encode()) for row in rows.collect()], size)
+def _items(benchmark: DataFrame, item: str) -> DataFrame:
+    return benchmark.select(F.col(item).alias("item"), F.col("text").alias("text")).where(F.col("text").isNotNull())
+
+
+def _held(items: DataFrame, size: int) -> Seeds | None:
+    """The seeds of a benchmark small enough to be sent to every task."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > HELD_WORDS * WORD_BYTES:
+        return None
+    return Seeds([(row.item, row.text.encode()) for row in items.collect()], size)
+
+
+def _grams(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's words and the hashes of ``size`` of them from each place on."""
+    flat, _ = words.word_hashes([text], words.LETTERS)
+    with np.errstate(over="ignore"):
+        return flat, words.shingles(flat, size)
+
+
+def _seed_table(items: DataFrame, size: int) -> DataFrame:
+    """A row for each place of an item from which ``size`` words follow: ``gram, row, place, words``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in words.sliced(batch):
+                for row, text in zip(part.column("row").to_pylist(), texts, strict=True):
+                    flat, hashes = _grams(text, size)
+                    n = len(hashes)
+                    columns = [hashes.view(np.int64), np.full(n, row), np.arange(n, dtype=np.int32), np.full(n, len(flat), np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "row", "place", "words"])
+
+    return items.select("row", "text").mapInArrow(words.frugal(read), "gram long, row long, place int, words int")
+
+
+def _picked(seeds: DataFrame) -> np.ndarray:
+    """Which leading bits some seed has: a bit for each of 2**PICK_BITS, however many seeds there are."""
+    lead = F.shiftrightunsigned("gram", 64 - PICK_BITS) + 1
+    maps = seeds.groupBy((F.bitmap_bucket_number(lead) - 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(lead)).alias("bits"))
+    bits = np.zeros(1 << PICK_BITS >> 3, np.uint8)
+    for row in maps.collect():
+        bits[row.bucket * len(row.bits) : (row.bucket + 1) * len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def _reached(places: Column, size: int) -> Column:
+    """Words that seeds at these places cover."""
+    start = F.struct(F.lit(-size).alias("last"), F.lit(0).alias("covered"))
+
+    def add(state: Column, place: Column) -> Column:
+        return F.struct(place.alias("last"), (state["covered"] + F.least(F.lit(size), place - state["last"])).alias("covered"))
+
+    return F.aggregate(F.array_sort(places), start, add, lambda state: state["covered"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, size: int, coverage: float) -> DataFrame:
+    """Tiles of rows (``key``) and items (``row``) that cover enough, for a benchmark of any size.
+
+    Documents are read once for the hashes that lead like some seed's; these are joined with the seeds. Pairs whose shared seeds
+    cover too little of the item go no further, as no tiling covers more; for the others the texts are fetched and tiled.
+    """
+    texts = docs.select(row_key().alias("key"), "text").where(F.col("text").isNotNull())
+    seeds = cut(_seed_table(items, size))
+    picked = docs.sparkSession.sparkContext.broadcast(_picked(seeds))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, contents in words.sliced(batch):
+                keys, grams = part.column("key").to_pylist(), []
+                for text in contents:
+                    own = np.unique(_grams(text, size)[1])
+                    lead = (own >> np.uint64(64 - PICK_BITS)).astype(np.int64)
+                    grams.append(own[(picked.value[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1 == 1])
+                row = np.repeat(np.arange(len(keys)), [len(x) for x in grams])
+                flat = np.concatenate([np.empty(0, np.uint64), *grams]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(flat)], names=["key", "gram"])
+
+    found = texts.mapInArrow(words.frugal(read), "key string, gram long").join(seeds, "gram")
+    near = found.groupBy("key", "row").agg(F.collect_set("place").alias("places"), F.first("words").alias("words"))
+    near = near.where(_reached(F.col("places"), size) >= coverage * F.col("words")).select("key", "row")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for pair in batch.to_pylist():
+                item, own = _grams(pair["item_text"].encode(), size)
+                doc, hashes = _grams(pair["text"].encode(), size)
+                got = tiles(item, doc, np.flatnonzero(np.isin(hashes, own)), size)
+                matched = sum(length for _, _, length in got)
+                if matched >= coverage * len(item):
+                    longest = max(length for _, _, length in got)
+                    rows.append((pair["key"], pair["row"], len(got), matched, len(item), matched / len(item), longest))
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
+            columns = zip(*rows) if rows else ((),) * len(kinds)
+            names = ["key", "row", "tiles", "matched_words", "item_words", "coverage", "longest"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+
+    pairs = near.join(texts.dropDuplicates(["key"]), "key").join(items.select("row", F.col("text").alias("item_text")), "row")
+    schema = "key string, row long, tiles int, matched_words int, item_words int, coverage double, longest int"
+    return pairs.select("key", "row", "text", "item_text").mapInArrow(words.frugal(tile), schema)
 
 
 def contaminated(
@@ -177,7 +271,9 @@ def contaminated(
     coverage, longest``. Null texts and items of fewer than ``least`` words match nothing; rows that repeat, on either side,
     each make their pairs; other columns are not read. An empty table on either side gives no pairs.
 
-    Documents are scanned where they lie, against seeds of a block of the benchmark; each further block scans once more.
+    Seeds, the hashes of ``least`` words from every place of an item, are joined with the documents'. Those of a benchmark of up
+    to HELD_WORDS words are sent to every task, and documents are scanned where they lie; those of a larger one are a table.
+    Either way documents are read for seeds once.
     """
     schema = T.StructType(
         [
@@ -191,48 +287,42 @@ def contaminated(
         ]
     )
 
-    def search(held) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = held.value
-            for batch in batches:
-                for part, texts in words.sliced(batch):
-                    rows = list(_scan(seeds, texts, coverage))
-                    matched = [sum(x[2] for x in got) for _, _, got, _ in rows]
-                    columns = [
-                        part.column("doc_id").take(pa.array([x[0] for x in rows], pa.int64())),
-                        [seeds.ids[x[1]] for x in rows],
-                        [len(x[2]) for x in rows],
-                        matched,
-                        [x[3] for x in rows],
-                        [n / x[3] for n, x in zip(matched, rows, strict=True)],
-                        [max(y[2] for y in x[2]) for x in rows],
+    items = _items(benchmark, item)
+    seeds = _held(items, least)
+    if seeds is None:
+        items = cut(items.withColumn("row", F.monotonically_increasing_id()))
+        found = _joined(docs, items, least, coverage)
+        named = docs.select("doc_id", row_key().alias("key")).join(found, "key").join(items.select("row", "item"), "row")
+        return named.select(*schema.names)
+    held = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in words.sliced(batch):
+                rows = list(_scan(held.value, texts, coverage))
+                matched = [sum(x[2] for x in got) for _, _, got, _ in rows]
+                columns = [
+                    part.column("doc_id").take(pa.array([x[0] for x in rows], pa.int64())),
+                    [held.value.ids[x[1]] for x in rows],
+                    [len(x[2]) for x in rows],
+                    matched,
+                    [x[3] for x in rows],
+                    [n / x[3] for n, x in zip(matched, rows, strict=True)],
+                    [max(y[2] for y in x[2]) for x in rows],
+                ]
+                kinds = (_arrow(schema["item"]), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
+                arrow = pa.schema(
+                    [
+                        part.schema.field("doc_id"),
+                        *(pa.field(f.name, kind) for f, kind in zip(schema.fields[1:], kinds, strict=True)),
                     ]
-                    arrow = pa.schema(
-                        [
-                            part.schema.field("doc_id"),
-                            *(
-                                pa.field(f.name, kind)
-                                for f, kind in zip(
-                                    schema.fields[1:],
-                                    (_arrow(schema["item"]), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()),
-                                    strict=True,
-                                )
-                            ),
-                        ]
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [columns[0], *(pa.array(c, f.type) for c, f in zip(columns[1:], list(arrow)[1:], strict=True))],
-                        schema=arrow,
-                    )
-
-        return run
-
-    spark = docs.sparkSession
-    found = None
-    for seeds in _blocks(benchmark, item, least):
-        part = docs.select("doc_id", "text").mapInArrow(words.frugal(search(spark.sparkContext.broadcast(seeds))), schema)
-        found = part if found is None else found.unionAll(part)
-    return found
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [columns[0], *(pa.array(c, f.type) for c, f in zip(columns[1:], list(arrow)[1:], strict=True))],
+                    schema=arrow,
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(words.frugal(run), schema)
 
 
 def _arrow(field: T.StructField) -> pa.DataType:
@@ -245,19 +335,19 @@ def clean_rows(
     docs: DataFrame, benchmark: DataFrame, item: str = "item_id", least: int = LEAST_TILE, coverage: float = COVERAGE
 ) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item, with all their columns. Null texts are clean."""
-    spark = docs.sparkSession
-
-    def keep(held) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = held.value
-            for batch in batches:
-                for part, texts in words.sliced(batch):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[x[0] for x in _scan(seeds, texts, coverage)]] = False
-                    yield part.filter(pa.array(clean))
-
-        return run
-
-    for seeds in _blocks(benchmark, item, least):
-        docs = docs.mapInArrow(words.frugal(keep(spark.sparkContext.broadcast(seeds))), docs.schema)
-    return docs
+    items = _items(benchmark, item)
+    seeds = _held(items, least)
+    if seeds is None:
+        found = _joined(docs, cut(items.withColumn("row", F.monotonically_increasing_id())), least, coverage)
+        whole = docs.select(row_key().alias("key"), F.struct("*").alias("row"))
+        return whole.join(found.select("key").distinct(), "key", "left_anti").select("row.*")
+    held = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in words.sliced(batch):
+                clean = np.ones(part.num_rows, bool)
+                clean[[x[0] for x in _scan(held.value, texts, coverage)]] = False
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(words.frugal(run), docs.schema)

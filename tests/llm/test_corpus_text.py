@@ -191,7 +191,7 @@ def test_reordered_passages(spark, documents, odd, monkeypatch):
         (24, "x " * 30_000 + ", ".join(item)), (25, " ".join(item[:36])),
     ]
     texts = [" ".join(item), None, "", "too short", " ".join(item)]
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)  # several blocks
+    monkeypatch.setattr(decontaminate, "HELD_WORDS", 20)  # seeds are a table
     for found in (decontaminate.contaminated(documents(rows), benchmark(spark, texts)).collect(),):
         assert sorted((r.doc_id, r.item) for r in found) == sorted((d, i) for d in (20, 21, 24, 25) for i in (0, 4))
         assert {r.tiles for r in found if r.doc_id == 21} == {2}
@@ -201,6 +201,33 @@ def test_reordered_passages(spark, documents, odd, monkeypatch):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in rows if i not in (20, 21, 24, 25))
 
 
+def test_seeds_as_a_table_give_the_same(spark, documents, monkeypatch):
+    """A benchmark that is not sent to tasks: the same pairs, each document read for seeds once."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(60))
+    items = [" ".join(word() for _ in range(rng.randint(3, 40))) for _ in range(120)] + ["a b c d e"] * 2 + [None, "", "one two"]
+    rows = []
+    for i in range(150):
+        parts = [" ".join(word() for _ in range(30))]
+        for item in rng.sample(items[:120], rng.randrange(3)):
+            own = item.split()
+            cut = rng.randrange(len(own))
+            parts += [" ".join(own[cut:]), " ".join(own[:cut])] if rng.random() < 0.7 else [" ".join(own[: len(own) // 2])]
+        rows.append((i % 140, " ".join(parts) + (" A b, c d! e" if i % 9 == 0 else "")))
+    rows += [(None, rows[0][1]), (500, None), (501, ""), rows[3], rows[3]]
+    docs, table = documents(rows), benchmark(spark, items)
+    found = {}
+    for held in (2_000_000, 0):
+        monkeypatch.setattr(decontaminate, "HELD_WORDS", held)
+        pairs = decontaminate.contaminated(docs, table)
+        found[held] = sorted(str(tuple(row)) for row in pairs.collect())
+        clean = decontaminate.clean_rows(docs, table)
+        assert clean.columns == docs.columns
+        found[held, "clean"] = sorted(str(row.doc_id) for row in clean.collect())
+    assert found[0] == found[2_000_000] and len(found[0]) > 100
+    assert found[0, "clean"] == found[2_000_000, "clean"] and len(found[0, "clean"]) > 10
+
+
 def test_empty_sides(spark, documents):
     docs = documents([(1, "a b c d e f")])
     assert decontaminate.contaminated(docs, benchmark(spark, ["a b c d e"]).where(F.lit(False))).count() == 0
