@@ -1,4 +1,8 @@
-"""Runs of lines that repeat, found by winnowing over line hashes."""
+"""Runs of lines that repeat, found by winnowing over line hashes.
+
+Fingerprints that occur more than once are seeds. Around each, the shortest runs of enough words are positions to be joined: a later
+one with the first that has the same lines. From there a match is extended both ways, as far as the lines of both texts are equal.
+"""
 
 from collections.abc import Iterator
 
@@ -29,7 +33,8 @@ def fingerprints(hashes: np.ndarray, lengths: np.ndarray, window: int, least_wor
 def least_runs(lengths: np.ndarray, seeds: np.ndarray, least_words: int) -> list[tuple[int, int]]:
     """Shortest runs (first, last) of enough words around seeds: from each line on, and up to each line.
 
-    A longer match is the union of the runs in it, so they extend matches both ways.
+    A match of enough words holds one of them at least, and so meets the first place that has its lines, whatever other places share
+    its fingerprints.
     """
     total = np.concatenate([[0], np.cumsum(lengths)])
     first = np.arange(len(lengths))
@@ -108,6 +113,53 @@ def _least_runs(near: DataFrame, least_words: int) -> DataFrame:
     return near.mapInArrow(runs, schema)
 
 
+def extended(hashes: bytes, there: bytes, shift: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Matches of a text's lines with those of another that stand ``shift`` lines further there, as far as lines are equal."""
+    own, other = (np.frombuffer(x, "<u8").reshape(-1, 2) for x in (hashes, there))
+    first, last = max(0, -shift), min(len(own), len(other) - shift)
+    differ = np.flatnonzero((own[first:last] != other[first + shift : last + shift]).any(1)) + first
+    borders = np.concatenate([[first - 1], differ, [last]])
+    at = np.array(sorted(spans), np.int64)
+    before = np.searchsorted(borders, at[:, 0], "right") - 1
+    # A span of the first place's digest has equal lines; one that had not would hold a line that differs.
+    whole = borders[before + 1] > at[:, 1]
+    return sorted({(int(borders[k]) + 1, int(borders[k + 1]) - 1) for k in before[whole]})
+
+
+def _extended(matches: DataFrame, lines: DataFrame) -> DataFrame:
+    """``key, first, last, earlier`` of matches, extended both ways: one row for all positions of a match."""
+    shift = (F.col("origin.first") - F.col("first")).alias("shift")
+    met = matches.groupBy("key", F.col("origin.key").alias("other"), shift).agg(
+        F.first("origin.doc_id").alias("earlier"), F.collect_list(F.struct("first", "last")).alias("spans")
+    )
+    there = lines.select(F.col("key").alias("other"), F.col("hashes").alias("there"))
+    both = met.join(lines.select("key", "hashes"), "key").join(there, "other")
+    schema = T.StructType(
+        [met.schema["key"], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), met.schema["earlier"]]
+    )
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            columns = [batch.column(name) for name in ("hashes", "there", "shift", "spans")]
+            for i in range(batch.num_rows):
+                hashes, there, shift, spans = (column[i].as_py() for column in columns)
+                own = extended(hashes, there, shift, [(span["first"], span["last"]) for span in spans])
+                row += [i] * len(own)
+                found += own
+            where = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").take(where),
+                    *(pa.array([x[k] for x in found], pa.int32()) for k in (0, 1)),
+                    batch.column("earlier").take(where),
+                ],
+                names=schema.names,
+            )
+
+    return both.select("key", "earlier", "shift", "spans", "hashes", "there").mapInArrow(words.frugal(extend), schema)
+
+
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
     """Runs of lines that occur earlier, which are to be deleted.
 
@@ -119,7 +171,8 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, window: int =
     have no runs; a null ``doc_id`` comes first; other columns are not read. An empty table gives no rows.
 
     Fingerprints that occur once are dropped after adding up by hash. Around the others, the shortest runs of enough words
-    meet by a digest of all their lines, so a line that a third of all texts hold makes no pairs.
+    are joined with the first run of the same digest, so a line that a third of all texts hold makes no pairs. Matches are
+    extended both ways on the lines of both texts, whose hashes are 128 bits.
     """
     lines = cut(_lines(docs, window, least_words).dropDuplicates(["key"]))
     prints = lines.select("key", F.explode(F.arrays_zip("picks", "prints")).alias("at")).select(
@@ -130,12 +183,14 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, window: int =
     runs = cut(_least_runs(lines.join(seeds, "key").select("doc_id", "key", "hashes", "lengths", "seeds"), least_words))
     at = F.struct("doc_id", "key", "first")
     origins = runs.groupBy("digest").agg(F.min(at).alias("origin"), F.count("*").alias("n")).where("n > 1")
-    later = (
+    matches = (
         runs.join(origins.select("digest", "origin"), "digest")
         .where((F.col("key") != F.col("origin.key")) | (F.col("first") != F.col("origin.first")))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("first", "last", F.col("origin.doc_id").alias("earlier")))).alias("parts"))
+        .select("key", "first", "last", "origin")
     )
+    # The shortest runs tell where a match's beginning occurred first; what the others have joined may be elsewhere.
+    parts = matches.select("key", "first", "last", F.col("origin.doc_id").alias("earlier")).unionAll(_extended(matches, lines))
+    later = parts.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last", "earlier"))).alias("parts"))
     # Runs that touch or overlap are one; a document's runs lie in one row.
     start = F.array().cast(later.schema["parts"].dataType)
 

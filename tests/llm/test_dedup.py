@@ -249,3 +249,31 @@ def test_places_of_one_string_are_spread(documents, monkeypatch):
     for row in rows:
         per_bucket[row.bucket] = per_bucket.get(row.bucket, 0) + row.places
     assert sum(per_bucket.values()) >= 1000 and max(per_bucket.values()) <= 50
+
+
+def test_extension_ends_where_lines_differ():
+    line = lambda n: n.to_bytes(16, "little")
+    own = b"".join(map(line, [1, 2, 3, 4, 5, 6, 7, 8]))
+    there = b"".join(map(line, [9, 9, 2, 3, 4, 5, 0, 7, 8, 1]))
+    assert line_dedup.extended(own, there, 1, [(2, 3)]) == [(1, 4)]
+    assert line_dedup.extended(own, there, 1, [(2, 3), (1, 2), (6, 7)]) == [(1, 4), (6, 7)]
+    assert line_dedup.extended(own, own, 0, [(0, 0)]) == [(0, 7)]
+    assert line_dedup.extended(own, there, 1, [(3, 5)]) == []
+    periodic = line(1) * 10
+    assert line_dedup.extended(periodic, periodic, -3, [(4, 5)]) == [(3, 9)]
+
+
+@pytest.mark.parametrize("length", [60, 5000])
+def test_matches_are_extended_both_ways(documents, length):
+    """Long runs that other texts hold parts of, one line changed in the middle: whatever seed meets whichever place, whole runs go."""
+    lines = [f"line {i} of a long run" for i in range(length)]
+    changed = [*lines[: length // 2], "another line stands here", *lines[length // 2 + 1 :]]
+    rows = [
+        (1, "\n".join(lines[10:30])), (2, "\n".join(["own first", *lines, "own last"])), (3, "\n".join(["x", *lines, "y"])),
+        (4, "\n".join(["p", "q", *changed])), (5, "\n".join(lines[20:28])),
+    ]
+    found = {}
+    for row in line_dedup.repeated_runs(documents(rows)).orderBy("first_line").collect():
+        found.setdefault(row.doc_id, []).append((row.first_line, row.last_line))
+    half = length // 2
+    assert found == {2: [(11, 30)], 3: [(1, length)], 4: [(2, half + 1), (half + 3, length + 1)]}
