@@ -9,6 +9,7 @@ import plain
 import pytest
 
 from hoplens.llm import decontaminate, queries
+from hoplens.llm.words import LETTERS
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -23,7 +24,7 @@ def run(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", queries.SQL)
@@ -68,6 +69,67 @@ def test_op10(spark, rows):
     found = {(r.doc_id, r.item_id) for r in run(spark, "op10_decontaminate")}
     whole = {(i, k) for i, text in rows.items() for k, item in items.items() if len(item.split()) >= 5 and item in text}
     assert whole <= found
+    words = lambda text: text.encode().translate(LETTERS).split()
+    grams = lambda own: {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+    docs, tests = {i: words(text) for i, text in rows.items()}, {k: words(text) for k, text in items.items()}
+    seeds = {k: grams(own) for k, own in tests.items()}
+    exact = set()
+    for i, own in docs.items():
+        held = grams(own)
+        for k, item in tests.items():
+            # Only what seeds reach can be tiled.
+            if held & seeds[k] and plain.tiled_words(item, near(own, seeds[k]), 5) >= 0.8 * len(item):
+                exact.add((i, k))
+    assert found == exact
+
+
+def near(own, seeds):
+    """A text's words around seeds; others become words that nothing equals."""
+    kept = [None] * len(own)
+    for i in range(len(own) - 4):
+        if tuple(own[i : i + 5]) in seeds:
+            kept[i : i + 5] = own[i : i + 5]
+    return [(i,) if word is None else word for i, word in enumerate(kept) if word is not None or (i and kept[i - 1] is not None)]
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None)], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    return str(tmp_path)
+
+
+def through_all(spark, docs, folder):
+    """What each stage of the pipeline keeps, written and read as the pipeline does."""
+    kept = []
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{folder}/{number}")
+        after = spark.read.parquet(f"{folder}/{number}")
+        if name != "packing":
+            assert after.dtypes == docs.dtypes
+        kept.append(after.collect())
+        docs = after
+    return kept
+
+
+def test_pipeline_of_odd_rows(spark, frame, odd, folder):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [*odd, (8, long), (9, f"{long} end"), (10, "ONE two, three four five six! seven eight"), (None, None), (11, "½ 12")]
+    docs = frame([(i, text, "en" if i else None, f"s{n % 3}" if n % 4 else None) for n, (i, text) in enumerate(rows)])
+    *stages, packed = through_all(spark, docs, folder)
+    texts = [[row.text for row in stage] for stage in stages]
+    lettered = [text for _, text in rows if text and any(c.isalpha() for c in text)]
+    assert sorted(texts[0]) == sorted(lettered)
+    assert sorted(map(str.lower, texts[1])) == sorted({text.lower() for text in lettered})
+    # 8 and 9 are near copies; 10 holds the benchmark's item in other signs.
+    assert {row.doc_id for row in stages[2]} >= {5, 6, 8, 10} and 9 not in {row.doc_id for row in stages[2]}
+    assert {row.doc_id for row in stages[3]} == {row.doc_id for row in stages[2]} - {10}
+    assert {row.doc_id for row in packed} == {row.doc_id for row in stages[3]}
+
+
+def test_pipeline_of_an_empty_table(spark, frame, folder):
+    assert through_all(spark, frame([(1, "a", "en", "s")]).where("doc_id = 0"), folder) == [[]] * 5
 
 
 def test_pipeline(spark, rows):
