@@ -202,6 +202,173 @@ SQL = {
         SELECT doc_id, len(shingled.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
         FROM shingled LEFT JOIN sets USING (s) LEFT JOIN components USING (id)
     """,
+    "op3_secret_scan": """
+        WITH kinds(rank, kind, pattern) AS (VALUES
+            (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+            (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'github', 'gh[pousr]_[A-Za-z0-9]{36,}'),
+            (4, 'jwt', 'eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}'),
+            (5, 'pem', '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----)?')
+        ), docs AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS source,
+                translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS text
+            FROM documents
+        ), pieces AS (
+            SELECT r, rank, kind, n, piece, strpos(piece, chr(2)) > 0 AS matched
+            FROM (
+                SELECT r, rank, kind, unnest(p) AS piece, unnest(range(len(p))) AS n
+                FROM (
+                    SELECT r, rank, kind, string_split(regexp_replace(text, '(' || pattern || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p
+                    FROM docs, kinds WHERE regexp_matches(text, pattern)
+                )
+            )
+        ), placed AS (
+            SELECT r, rank, kind, matched, split_part(piece, chr(2), 1) AS value,
+                coalesce(sum(length(piece) - matched::INT) OVER (PARTITION BY r, rank ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    ::BIGINT AS first
+            FROM pieces
+        ), spans AS (
+            SELECT r, rank, kind, first, first + length(value) AS last, CASE kind
+                WHEN 'assign' THEN regexp_extract(value, '^[A-Za-z_]+["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)
+                WHEN 'pem' THEN regexp_replace(regexp_replace(value, '-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----', '', 'g'), '\\s+', '', 'g')
+                ELSE value END AS secret
+            FROM placed WHERE matched
+        ), kept AS (
+            SELECT * FROM spans WHERE CASE kind WHEN 'assign' THEN length(secret) >= 8 WHEN 'access' THEN length(secret) >= 16
+                WHEN 'hex' THEN length(secret) >= 32 ELSE true END
+        ), held AS (
+            SELECT secret, count(DISTINCT source) AS owners FROM kept JOIN docs USING (r) WHERE secret <> '' GROUP BY secret
+        ), told AS (
+            SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                count(*) FILTER (kind = 'hex') AS n_hex,
+                string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) FILTER (rank < 3) AS base,
+                string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) AS spans,
+                count(*) FILTER (coalesce(owners, 1) >= 3) AS n_example, count(*) FILTER (coalesce(owners, 1) < 3) AS n_live,
+                string_agg(coalesce(owners, 1)::VARCHAR, ',' ORDER BY first, rank) AS owners
+            FROM kept LEFT JOIN held USING (secret) GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example,
+            coalesce(n_live, 0) AS n_live, coalesce(owners, '') AS owners
+        FROM docs LEFT JOIN told USING (r)
+    """,
+    "op5_pii": f"""
+        WITH kinds(rank, kind, pattern, score, words) AS (VALUES
+            (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+', 0.9, 'mail|contact|write'),
+            (1, 'ip', '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+', 0.6, 'ip|host|server|address'),
+            (2, 'card', '[0-9](?:[\\x20-]?[0-9])+', 0.8, 'card|credit|visa|payment'),
+            (3, 'phone', '\\+[0-9][\\x20().0-9-]+[0-9]', 0.6, 'phone|tel|call|mobile|fax'),
+            (4, 'iban', '[A-Za-z0-9]+', 0.9, 'iban|account|bank|transfer'),
+            (5, 'ssn', '[0-9-]+', 0.3, 'ssn|social security')
+        ), docs AS (
+            SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS text FROM documents
+        ), pieces AS (
+            SELECT r, rank, kind, piece, n, strpos(piece, chr(2)) > 0 AS matched
+            FROM (
+                SELECT r, rank, kind, unnest(p) AS piece, unnest(range(len(p))) AS n
+                FROM (
+                    SELECT r, rank, kind, string_split(regexp_replace(text, '(' || pattern || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p
+                    FROM docs, kinds WHERE regexp_matches(text, CASE kind
+                        WHEN 'iban' THEN '[A-Z][A-Z][0-9][0-9]' WHEN 'ssn' THEN '[0-9]-[0-9][0-9]-[0-9]' ELSE pattern END)
+                )
+            )
+        ), placed AS (
+            SELECT r, rank, kind, matched, split_part(piece, chr(2), 1) AS value,
+                coalesce(sum(length(piece) - matched::INT) OVER (PARTITION BY r, rank ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    ::BIGINT AS first
+            FROM pieces
+        ), proposed AS (
+            -- An account number begins at a run of letters and digits, and ends with one.
+            SELECT r, rank, kind, first, CASE WHEN kind = 'iban' THEN
+                    regexp_extract(substr(text, first + 1, 80), '^(?:{pii.ACCOUNTS})(?:[^A-Za-z0-9]|$)') ELSE value END AS value, text
+            FROM placed JOIN docs USING (r)
+            WHERE matched AND (kind <> 'iban' OR regexp_matches(value, '^[A-Z][A-Z][0-9][0-9]'))
+                AND (kind <> 'ssn' OR regexp_full_match(value, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'))
+        ), cut AS (
+            SELECT r, rank, kind, first, text, CASE WHEN kind = 'iban' THEN regexp_replace(value, '[^A-Za-z0-9]$', '') ELSE value END AS value
+            FROM proposed WHERE value <> ''
+        ), checked AS (
+            SELECT *, first + length(value) AS last, regexp_replace(value, '[^0-9]', '', 'g') AS digits,
+                regexp_replace(value, ' ', '', 'g') AS account
+            FROM cut
+        ), confirmed AS (
+            SELECT *, CASE kind
+                WHEN 'ip' THEN regexp_full_match(value, '0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){{3}}')
+                WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+                    CASE WHEN i % 2 = 1 THEN substr(digits, (length(digits) + 1 - i)::BIGINT, 1)::INT
+                        ELSE 2 * substr(digits, (length(digits) + 1 - i)::BIGINT, 1)::INT
+                            - 9 * (substr(digits, (length(digits) + 1 - i)::BIGINT, 1)::INT > 4)::INT END)) % 10 = 0
+                WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+                WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(substr(account, 5) || substr(account, 1, 4), ''),
+                    lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ord(c) - 48 ELSE ord(c) - 55 END)),
+                    lambda rest, x: CASE WHEN x < 10 THEN (rest * 10 + x) % 97 ELSE (rest * 100 + x) % 97 END) = 1
+                ELSE true END AS passed
+            FROM checked
+        ), near AS (
+            SELECT *, lead(first) OVER (PARTITION BY r, rank ORDER BY first) AS following, max(CASE WHEN passed OR kind <> 'iban' THEN last END)
+                OVER (PARTITION BY r, rank ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
+            FROM confirmed
+        ), scored AS (
+            SELECT n.*, round(least(1.0, score + CASE WHEN regexp_matches(
+                right(substr(text, coalesce(previous, 0) + 1, first - coalesce(previous, 0)), 40) || ' ' ||
+                left(substr(text, last + 1, greatest(0, coalesce(following, length(text)) - last)), 40),
+                '(?i)(?:^|[^a-z])(?:' || words || ')') THEN 0.3 ELSE 0 END)::DOUBLE, 2) AS found
+            FROM near n JOIN kinds USING (rank) WHERE passed
+        ), told AS (
+            SELECT r, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card,
+                count(*) FILTER (rank = 3) AS n_phone,
+                string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) FILTER (rank < 4) AS base,
+                string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) AS spans,
+                string_agg(found::VARCHAR, ',' ORDER BY first, rank) AS scores
+            FROM scored WHERE rank < 4 OR found >= 0.5 GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+            coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+        FROM docs LEFT JOIN told USING (r)
+    """,
+    "op7_line_dedup": """
+        WITH split AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+        ), lines AS (
+            SELECT doc_id, number, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+            FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS number FROM split)
+        ), counted AS (
+            SELECT doc_id, number, line, row_number() OVER w AS place,
+                len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words
+            FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY number)
+        ), added AS (
+            SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY place) AS upto FROM counted
+        ), ends AS (
+            SELECT doc_id, place, upto - words AS before, upto FROM added
+        ), ahead AS (
+            SELECT a.doc_id, a.place AS first, min(b.place) AS last FROM ends a JOIN ends b
+            ON a.doc_id = b.doc_id AND b.place >= a.place AND b.upto - a.before >= 50 GROUP BY a.doc_id, a.place
+        ), back AS (
+            SELECT b.doc_id, max(a.place) AS first, b.place AS last FROM ends a JOIN ends b
+            ON a.doc_id = b.doc_id AND b.place >= a.place AND b.upto - a.before >= 50 GROUP BY b.doc_id, b.place
+        ), texts AS (
+            SELECT doc_id, list(line ORDER BY place) AS l, list(words ORDER BY place) AS w, list(number ORDER BY place) AS numbers
+            FROM counted GROUP BY doc_id
+        ), runs AS (
+            SELECT doc_id, first, last, sha256(array_to_string(list_slice(l, first, last), chr(10))) AS run
+            FROM (SELECT * FROM ahead UNION SELECT * FROM back) JOIN texts USING (doc_id)
+        ), origins AS (
+            SELECT run, min({'doc_id': doc_id, 'first': first}) AS origin FROM runs GROUP BY run HAVING count(*) > 1
+        ), later AS (
+            SELECT doc_id, first, last, origin.doc_id AS earlier FROM runs JOIN origins USING (run)
+            WHERE (doc_id, first) <> (origin.doc_id, origin.first)
+        ), reach AS (
+            SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last, earlier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM later
+        ), islands AS (
+            SELECT *, count(*) FILTER (upto IS NULL OR first > upto + 1) OVER (PARTITION BY doc_id ORDER BY first, last, earlier
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM reach
+        ), merged AS (
+            SELECT doc_id, min(first) AS first, max(last) AS last, first(earlier ORDER BY first, last, earlier) AS earlier_doc_id
+            FROM islands GROUP BY doc_id, island
+        )
+        SELECT doc_id, numbers[first]::INT AS first_line, numbers[last]::INT AS last_line,
+            list_sum(list_slice(w, first, last))::INT AS words, earlier_doc_id
+        FROM merged JOIN texts USING (doc_id)
+    """,
     "op11_prefix_trie": f"""
         WITH own AS (
             SELECT conv_id, list(coalesce(role, '') || chr(0) || coalesce(text, '') ORDER BY turn NULLS FIRST) AS turns

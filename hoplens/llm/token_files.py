@@ -23,12 +23,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hoplens.llm import words
 from hoplens.llm.common import whole_text
+from hoplens.sources.appended import store_of
 
 MAGIC = b"HLTOKEN1"
 #: Numbers in a block, at most 65535.
@@ -373,7 +373,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
         for batch in batches:
             for rows, contents in words.sliced(batch):
                 if writer is None:
-                    store, root = fs.FileSystem.from_uri(folder)
+                    store, root = store_of(folder)
                     store.create_dir(root, recursive=True)
                     name = f"ids-{part:05d}-{uuid.uuid4().hex}.bin"
                     stream, known = store.open_output_stream(f"{root}/{name}"), _known(vocabulary)
@@ -409,7 +409,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     listed = manifest.select("part", "file", before.alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(f"{root}/{row['file']}") as source:
