@@ -20,7 +20,7 @@ UNITS = 12
 #: Bytes of a piece that count, and those that are read on either side of it for the states' sake.
 PIECE, CONTEXT = 512, 64
 #: Pieces that are read at a time.
-TOGETHER = 1024
+TOGETHER = 512
 #: Bounds of the training sample: rows for each language, characters of each row.
 TRAIN_ROWS, TRAIN_CHARS = 200, 4000
 #: Windows of a training step, their bytes, and the steps.
@@ -111,7 +111,7 @@ class Network:
         candidate, taken = np.empty((units, number), np.float32), np.empty((number, 3 * units), np.float32)
 
         def advance(h: np.ndarray, at: int, byte: np.ndarray, state: np.ndarray) -> None:
-            x = np.take(byte, codes[at], axis=0, out=taken).T
+            x = np.take(byte, codes[at].astype(np.intp), axis=0, out=taken).T
             np.matmul(state, h, out=pulled)
             np.add(x[: 2 * units], pulled[: 2 * units], out=gates)
             np.tanh(gates, out=gates)
@@ -148,7 +148,7 @@ class Network:
         """The probabilities of each language at every byte of a text: (bytes, languages)."""
         held = np.empty((len(text), len(self.languages)), np.float32)
         for start, first, last, end in pieces_of(text):
-            codes = np.frombuffer(text[start:end].translate(words.LOWER), np.uint8).astype(np.intp)[:, None]
+            codes = np.frombuffer(text[start:end].translate(words.LOWER), np.uint8)[:, None]
             for at, found in self.sweep(codes, np.array([end - start])):
                 if first <= start + at < last:
                     held[start + at] = found[:, 0]
@@ -246,7 +246,7 @@ def pool(network: Network, texts: list[bytes]) -> np.ndarray:
         lengths = np.array([length for length, *_ in part])
         longest = int(lengths.max())
         raw = b"".join(text[start:end].ljust(longest, b"\0") for _, _, start, _, _, end, text in part).translate(words.LOWER)
-        codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(len(part), longest).T).astype(np.intp)
+        codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(len(part), longest).T)
         at = np.arange(longest)[:, None]
         counts = (at >= np.array([first - start for _, _, start, first, *_ in part])) & (
             at < np.array([last - start for _, _, start, _, last, *_ in part])
