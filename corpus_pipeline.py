@@ -17,12 +17,22 @@ LEAST_SCORE = 0.3
 #: Near copies: word n-grams and their Jaccard similarity, 4/5.
 NGRAM, SIMILAR = 5, (4, 5)
 CAPACITY = 2048
+#: Rows of a batch that goes to Python. Documents are long, and a task holds a batch several times over, here and in the JVM.
+BATCH_ROWS = 2000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """For the whole session, as a stage's rows are read after it has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the table's labels."""
+    _small_batches(spark)
     network = language.train(docs, ~language.held_out())
     return language.in_known_languages(docs, network, LEAST_SCORE)
 
@@ -34,16 +44,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts."""
+    _small_batches(spark)
     return jaccard_join.one_of_each(docs, ngram=NGRAM, similar=SIMILAR)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
+    _small_batches(spark)
     return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences."""
+    _small_batches(spark)
     return packing.pack(docs, CAPACITY, RANKS, public_tokenizers.PATTERN, SPECIAL)
 
 
