@@ -274,11 +274,13 @@ def prefix_nodes(paths: DataFrame) -> DataFrame:
     Sequences are sorted together with their ``conv_id``, so equal ones fill as many shards as they need. Members' ids are
     digested as a stream, in the order of shards.
     """
-    spark = paths.sparkSession
+    spark, table = paths.sparkSession, scratch_path(paths.sparkSession, "trie")
+    # Counted, sampled for the ranges and dealt out: three uses of what took a shuffle to gather.
+    paths.select("conv_id", "path", "sizes").write.parquet(f"{table}/paths")
+    paths = spark.read.parquet(f"{table}/paths")
     turns = paths.agg(F.sum(F.size("sizes") + 1)).first()[0] or 0
     order = ["path", "conv_id"]
-    dealt = paths.select("conv_id", "path", "sizes").repartitionByRange(max(1, -(-turns // SHARD_TURNS)), *order)
-    table = scratch_path(spark, "trie")
+    dealt = paths.repartitionByRange(max(1, -(-turns // SHARD_TURNS)), *order)
     dealt.sortWithinPartitions(*order).mapInArrow(words.frugal(_shard), SCHEMA).write.parquet(f"{table}/shards")
     found = spark.read.schema(SCHEMA).parquet(f"{table}/shards")
 
