@@ -51,7 +51,7 @@ def ingest_runs(spark: SparkSession, path: str, *folders: str, label: str | None
     each root under a label of its own.
 
     The ledger's batch is the commit. What an ingest that was broken off has stored is removed by the next one. One ingest runs
-    at a time.
+    at a time. While a run with a rewritten file is read anew, the table lacks it.
     """
     log = f"{path}/_ledger"
     gen = updates.last_batch(spark, log) + 1

@@ -23,7 +23,6 @@ def write_text(samples: DataFrame, path: str, mode: str = "append") -> None:
     if mode == "overwrite":
         remove(spark, f"{path}/_writes")
     before = write_log(spark, path)
-    known = {row.write for row in before.collect()} if before is not None else set()
     block = F.call_function("div", F.col("seq") - 1, F.lit(TEXT_BLOCK).cast("long"))
     (
         samples.withColumn("block", block)
@@ -37,8 +36,12 @@ def write_text(samples: DataFrame, path: str, mode: str = "append") -> None:
     # Which writes there are follows from the files' names; contents are not read.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     found = files.select(F.regexp_extract("path", WRITE, 1).alias("write"), "modificationTime")
-    new = found.groupBy("write").agg(F.min("modificationTime").alias("at")).where(~F.col("write").isin(*known, ""))
-    rows = [(row.write, len(known) + number) for number, row in enumerate(new.orderBy("at", "write").collect())]
+    new = found.where("write <> ''").groupBy("write").agg(F.min("modificationTime").alias("at"))
+    if before is not None:
+        new = new.join(before, "write", "left_anti")
+    first = 0 if before is None else before.count()
+    # This write, and others that ended before they could be logged.
+    rows = [(row.write, first + number) for number, row in enumerate(new.orderBy("at", "write").collect())]
     spark.createDataFrame(rows, WRITES).coalesce(1).write.mode("append").parquet(f"{path}/_writes")
 
 
