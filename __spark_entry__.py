@@ -17,7 +17,7 @@ from hoplens.operators.extent import Extent, max_duration, measure
 from hoplens.operators.clock import with_clock
 from hoplens.operators.keys import join_keys
 from hoplens.operators.numbering import with_seq
-from hoplens.plans.ingest import ingest_runs, read_partials
+from hoplens.plans.ingest import ingest_runs, ledger, read_partials
 from hoplens.plans.report import analyse, write_report
 from hoplens.schema import SAMPLES, SERIES
 from hoplens.session import scratch_path
@@ -528,6 +528,38 @@ def stored_regions(spark, sf_dir):
     return _stored_part(spark, analyse(samples, extent=extent).regions)
 
 
+def _report_b(spark, sf_dir, expected: DataFrame | None = None):
+    samples, extent = _b(spark, sf_dir)
+    return analyse(samples, extent=extent, expected=expected)
+
+
+def stored_segments(spark, sf_dir):
+    return _stored_part(spark, _report_b(spark, sf_dir).segments)
+
+
+def stored_agg_series(spark, sf_dir):
+    return _stored_part(spark, _report_b(spark, sf_dir).agg_series).select(
+        "target", "segment_idx", "window_idx", "mid_s", _round9("mean_latency_ms"), _round9("packet_loss_pct")
+    )
+
+
+def stored_y_limits(spark, sf_dir):
+    return _stored_part(spark, _report_b(spark, sf_dir).y_limits).select("target", _round9("y_max"))
+
+
+def stored_silent(spark, sf_dir):
+    expected = _customers(spark, sf_dir).select(F.col("c_custkey").cast("string").alias("target"))
+    return _stored_part(spark, _report_b(spark, sf_dir, expected).silent)
+
+
+def ingest_ledger(spark, sf_dir):
+    """What the ledger has of each file after its lines came in three steps."""
+    table = scratch_path(spark, "table")
+    for folder in _growing(spark, sf_dir, 3):
+        ingest_runs(spark, table, folder)
+    return ledger(spark, table).select("run_id", "target", "lines", "ended")
+
+
 def stored_summary(spark, sf_dir):
     return _stored_part(spark, analyse(_in_order(_by_user(spark, sf_dir))).summary_text).drop("run_id")
 
@@ -795,7 +827,12 @@ def _latency_queries() -> dict[str, Query]:
         "silent_by_run": silent_by_run,
         "host_check": host_check,
         "stored_regions": stored_regions,
+        "stored_segments": stored_segments,
+        "stored_agg_series": stored_agg_series,
+        "stored_y_limits": stored_y_limits,
+        "stored_silent": stored_silent,
         "stored_summary": stored_summary,
+        "ingest_ledger": ingest_ledger,
         "stored_malformed": stored_malformed,
         "sink_text_appended": sink_text_appended,
     }
@@ -1152,6 +1189,23 @@ def _latency_sql() -> dict[str, str]:
                    start_s = min(start_s) OVER (PARTITION BY segment_idx) AS is_first,
                    start_s - 0.5::DOUBLE AS pad_start, end_s + 0.5::DOUBLE AS pad_end
             FROM g""",
+        "stored_segments": f"""{B},
+            k AS (SELECT max_seq, unnest(range(0, (max_seq - 1) // 3600 + 1)) AS segment_idx FROM m),
+            e AS (SELECT segment_idx, segment_idx * 3600 AS start_s, least(segment_idx * 3600 + 3600, max_seq) AS end_s FROM k)
+            SELECT 'events' AS run_id, segment_idx, start_s, end_s,
+                   'hour_' || CAST(segment_idx + 1 AS VARCHAR) AS segment_label,
+                   printf('Hour %d (%d:%02d:%02d to %d:%02d:%02d)', segment_idx + 1,
+                          start_s // 3600, start_s % 3600 // 60, start_s % 60,
+                          end_s // 3600, end_s % 3600 // 60, end_s % 60) AS title
+            FROM e""",
+        "stored_agg_series": _segment_agg_sql(B, 3600, 60),
+        "stored_y_limits": _y_limit_sql(B, 60),
+        "stored_silent": """
+            SELECT 'events' AS run_id, CAST(c_custkey AS VARCHAR) AS target FROM customer
+            WHERE c_custkey NOT IN (SELECT user_id % 3 FROM events)""",
+        "ingest_ledger": f"""
+            SELECT '{RUN}' AS run_id, CAST(user_id % 3 AS VARCHAR) AS target, count(*) AS lines, true AS ended
+            FROM events GROUP BY user_id % 3""",
         "stored_summary": f"""
             SELECT target, total::VARCHAR AS total_pings, successful::VARCHAR AS successful_pings,
                    printf('%.2f%%', packet_loss_pct) AS packet_loss,
