@@ -110,7 +110,7 @@ def _least_runs(near: DataFrame, least_words: int) -> DataFrame:
                 names=schema.names,
             )
 
-    return near.mapInArrow(runs, schema)
+    return near.mapInArrow(words.frugal(runs), schema)
 
 
 def extended(hashes: bytes, there: bytes, shift: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
