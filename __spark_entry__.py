@@ -26,7 +26,7 @@ from hoplens.sources import updates
 from hoplens.sources.appended import appended_stream
 from hoplens.sources.sinks import read_segments, write_part, write_samples, write_text
 from hoplens.sources.tables import EVENT_ORDER, events_as_samples, read_events, read_samples
-from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
+from hoplens.sources.text import read_lines, scan_file, scan_partitioned, scan_runs
 from hoplens.streaming import operators as live_streams, streams
 
 # Parameters of A, whose series are short. B uses the defaults: 60 samples, 3600 positions, 200 ms.
@@ -602,8 +602,7 @@ def sink_text_roundtrip(spark, sf_dir):
     samples = _in_order(_by_user(spark, sf_dir))
     path = scratch_path(spark, "text")
     write_text(samples, path)
-    lines = spark.read.schema("value string, run_id string, target string").text(path)
-    return lines.groupBy("run_id", "target", "value").agg(F.count("*").alias("n_lines"))
+    return read_lines(spark, path).groupBy("run_id", "target", "value").agg(F.count("*").alias("n_lines"))
 
 
 def sink_text_appended(spark, sf_dir):

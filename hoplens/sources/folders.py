@@ -2,6 +2,9 @@
 
 from pyspark.sql import SparkSession
 
+# Signs that folder names of keys have as codes, beside control ones.
+UNSAFE = set("\"#%'*/:=?\\\x7f{[]^")
+
 
 def _open(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -19,6 +22,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path in the file system of the machine; None for one in another file system."""
+    files, place = _open(spark, path)
+    whole = files.makeQualified(place).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else None
+
+
+def folder_name(value: str | int | None) -> str:
+    """A key as Spark writes it into a folder's name."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(sign):02X}" if sign in UNSAFE or sign < " " else sign for sign in str(value))
+
+
 def matching(spark: SparkSession, pattern: str) -> list[str]:
     files, place = _open(spark, pattern)
     return sorted(entry.getPath().toString() for entry in files.globStatus(place) or [])

@@ -46,10 +46,33 @@ def scan_file(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_partitioned(spark: SparkSession, root: str, where: str | Column | None = None) -> DataFrame:
     """Samples of a partitioned text folder. ``where``, on ``run_id`` and ``target``, prunes whole folders."""
-    lines = with_keys(spark.read.schema("value string, run_id string, target string").text(root), SERIES)
-    if where is not None:
-        lines = lines.where(where)
-    return _number_parts(lines.select(*SERIES, "value", *_place()), write_log(spark, root)).select(*TEXT_SAMPLES.names)
+    log = write_log(spark, root)
+    if where is None:
+        numbered = _number_parts(all_files(spark.read, root).select("value", *_place()), log)
+        return with_keys(numbered.withColumns(folder_keys(F.col("_file"))), SERIES).select(*TEXT_SAMPLES.names)
+    lines = with_keys(spark.read.schema("value string, run_id string, target string").text(root), SERIES).where(where)
+    return _number_parts(lines.select(*SERIES, "value", *_place()), log).select(*TEXT_SAMPLES.names)
+
+
+def all_files(reader, root: str) -> DataFrame:
+    """Lines of all files below a partitioned text folder, by a reader of tables or of streams.
+
+    Keys are to be taken from the paths by ``folder_keys``: to find them out as columns, Spark compares all folders on the driver, in a time
+    that grows with the square of their number, and there is a folder for each target.
+    """
+    return reader.schema("value string").option("recursiveFileLookup", "true").text(root)
+
+
+def folder_keys(file: Column) -> dict[str, Column]:
+    """The keys of a file's series, from the folders that its URI names; NULL where the folder's name stands for no value."""
+    path = decoded_path(file)
+    names = {name: F.regexp_extract(path, f"/{name}=([^/]*)/", 1) for name in SERIES}
+    return {name: F.when(key != "__HIVE_DEFAULT_PARTITION__", decoded_path(key)) for name, key in names.items()}
+
+
+def read_lines(spark: SparkSession, root: str) -> DataFrame:
+    """``run_id, target, value`` of every line of a partitioned text folder, in no order; an empty key is NULL."""
+    return all_files(spark.read, root).select(*(key.alias(name) for name, key in folder_keys(F.col("_metadata.file_path")).items()), "value")
 
 
 def _named_samples(lines: DataFrame, one_file_per_series: bool, label: str | None = None) -> DataFrame:
@@ -108,25 +131,25 @@ def _number_parts(lines: DataFrame, log: DataFrame | None = None) -> DataFrame:
 def _number(lines: DataFrame, series: Column, file_order: list[Column], log: DataFrame | None = None) -> DataFrame:
     """Number the lines of each series over all its splits.
 
-    The lines of earlier splits are added to the rank within a split. Both steps are keyed by file and split, so the
-    lines are shuffled once.
+    Ids of lines are consecutive within a split, so a line's rank is its distance from the first one of its split, to which the lines
+    of earlier splits are added. Nothing is sorted, and lines are only joined with the few rows of their splits.
 
     Both uses of ``lines`` must cut files alike, and Spark sizes splits by the bytes it is to read. So no later filter may
     skip files for one use alone. Lines are therefore counted by their ids, which are consecutive within a split: a
     filter is not moved below a column of such ids as long as it is used.
     """
-    counted = lines.groupBy(*SPLIT).agg((F.max("_line") - F.min("_line") + 1).alias("_n"))
+    counted = lines.groupBy(*SPLIT).agg(F.min("_line").alias("_first"), (F.max("_line") - F.min("_line") + 1).alias("_n"))
     if log is not None:
-        writes = log.select(F.col("write").alias("_write"), F.col("number").alias("_number"))
+        writes = log.groupBy(F.col("write").alias("_write")).agg(F.min("number").alias("_number"))
         counted = counted.withColumn("_write", F.regexp_extract("_file", WRITE, 1)).join(writes, "_write", "left")
         file_order = ["_number", *file_order]
     earlier = Window.partitionBy(series).orderBy(*file_order, *SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(*SPLIT, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    starts = counted.select(*SPLIT, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     return (
-        _ranked(lines)
+        parse_lines(lines)
         .join(starts, SPLIT, "left")
-        .withColumn("seq", F.col("_rank") + F.coalesce("_before", F.lit(0)))
-        .drop("_rank", "_before", "_split", "_line")
+        .withColumn("seq", F.col("_line") + F.col("_shift"))
+        .drop("_shift", "_split", "_line")
     )
 
 

@@ -13,7 +13,7 @@ from hoplens.session import scratch_path
 from hoplens.sources import updates
 from hoplens.sources.folders import remove
 from hoplens.sources.sinks import write_samples
-from hoplens.sources.text import RESULT_FILES
+from hoplens.sources.text import RESULT_FILES, all_files, folder_keys
 from hoplens.sources.updates import newest
 
 REFRESH = "500 milliseconds"
@@ -46,7 +46,8 @@ def result_stream(spark: SparkSession, folders: str, max_files: int | None = Non
 
 def partitioned_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
     """Lines of a partitioned text folder as its files land."""
-    lines = _files(spark, max_files).schema("value string, run_id string, target string").text(root)
+    keys = folder_keys(F.col("_metadata.file_path"))
+    lines = all_files(_files(spark, max_files), root).select(*(key.alias(name) for name, key in keys.items()), "value")
     return parse_lines(with_keys(lines, SERIES).select(*SERIES, "value"))
 
 

@@ -16,7 +16,7 @@ from hoplens.schema import SAMPLES, TEXT_SAMPLES
 from hoplens.sources import appended
 from hoplens.sources.folders import remove
 from hoplens.sources.sinks import read_segments, write_log, write_text
-from hoplens.sources.text import scan_file, scan_partitioned, scan_runs
+from hoplens.sources.text import read_lines, scan_file, scan_partitioned, scan_runs
 
 
 @pytest.fixture
@@ -345,3 +345,27 @@ def test_lines_are_stripped_once(spark):
     lines = spark.createDataFrame([("1",)], "value string")
     plan = parse_lines(lines)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_many_series_are_read_without_comparing_their_folders(spark, tmp_path):
+    """Tasks deal the files out, no folder is made out to be a column, and a write that was broken off is found later."""
+    path = str(tmp_path / "text")
+    targets = [None, "", "a b", "x+y", "50%", "::1", "ä"]
+    samples = spark.createDataFrame(
+        [("r", target, n, float(n)) for target in targets for n in (1, 2)], "run_id string, target string, seq long, latency_ms double"
+    )
+    write_text(samples.where("target IS NOT NULL"), path)
+    (tmp_path / "text" / "_staged" / "broken").mkdir(parents=True)
+    remove(spark, f"{path}/_writes")
+    write_text(samples.where("target IS NULL"), path)
+    write_text(samples.where("seq = 1"), path)
+    assert not (tmp_path / "text" / "_staged").exists() and write_log(spark, path).count() == 3
+    assert not list((tmp_path / "text" / "run_id=r").rglob("*.crc"))
+    back = scan_partitioned(spark, path)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" in plan and "target=%" not in plan and "ReadSchema: struct<value:string>" in plan and "Window" not in plan.split("Join")[0]
+    found = back.collect()
+    rows = {target: sorted((row.seq, row.latency_ms) for row in found if row.target == target) for target in {row.target for row in found}}
+    three = [(1, 1.0), (2, 2.0), (3, 1.0)]
+    assert rows == {target: three for target in ("a b", "x+y", "50%", "::1", "ä")} | {"": list(enumerate([1.0, 2.0, 1.0, 2.0, 1.0, 1.0], 1))}
+    assert read_lines(spark, path).where("target IS NULL").count() == 6
