@@ -171,7 +171,10 @@ def samples_in(
 
     rest = [name for name in found.columns if name in ("run_id", "target", "start_s", "end_s") or name not in samples.columns]
     touched = found.select(*rest).where("start_s <= end_s").withColumn("_block", F.explode(F.sequence(block_of("start_s"), block_of("end_s"))))
+    placed = samples.withColumn("_block", block_of("seq"))
+    if salts > 1:
+        touched = join_keys(touched, placed.select(*keys, "_block").distinct(), [*keys, "_block"], "left_semi")
     touched = touched.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = samples.withColumn("_block", block_of("seq")).withColumn("_salt", F.pmod(F.xxhash64("target"), F.lit(salts)).cast("int"))
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("target"), F.lit(salts)).cast("int"))
     inside = (F.col("seq") >= F.col("start_s")) & (F.col("seq") <= F.col("end_s"))
-    return join_keys(placed, touched, [*keys, "_block", "_salt"]).where(inside).drop("_block", "_salt")
+    return join_keys(placed, touched.hint("merge"), [*keys, "_block", "_salt"]).where(inside).drop("_block", "_salt")

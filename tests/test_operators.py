@@ -1,3 +1,5 @@
+import dataclasses
+import re
 import random
 import math
 
@@ -381,3 +383,15 @@ def test_rolling_maximum_of_any_size(spark, size):
 def test_rolling_maximum_makes_no_sequence(spark):
     plan = live.rolling_max(model.frame(spark, model.random_data(1)), 3000)._jdf.queryExecution().executedPlan().toString()
     assert "sequence(" not in plan and "-2999, currentrow" not in plan
+
+
+def test_repeated_regions_are_not_broadcast(spark):
+    """Regions are repeated for groups of series, so the size of their files says nothing; blocks without samples get none."""
+    data = {"run0": {f"h{n}": [float(n % 7 * 50 + i) for i in range(20)] for n in range(40)}}
+    samples = model.frame(spark, data)
+    found = spark.createDataFrame([("run0", 2, 5), ("run0", 11, 900), ("run0", 5000, 5001)], "run_id string, start_s bigint, end_s bigint")
+    extent = dataclasses.replace(measure(samples), series=5000)
+    got = regions.samples_in(samples, found, extent, block=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin [^\n]*_salt", plan) and "LeftSemi" in plan
+    assert sorted(row.seq for row in got.where("target = 'h3'").collect()) == [2, 3, 4, 5, *range(11, 21)] and got.count() == 40 * 14
