@@ -1,6 +1,8 @@
 """Operators on streams of samples."""
 
+import math
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -66,24 +68,25 @@ def live_updates(stream: DataFrame, tie: str, size: int = LIVE_WINDOW, idle_ms:
         if state.hasTimedOut:
             state.remove()
             return
-        seen, at, ties, latencies = state.get if state.exists else (0, [], [], [])
-        buffer = pd.DataFrame({"at": at, "tie": ties, "latency_ms": latencies}).astype(
-            {"at": "int64", "tie": "int64", "latency_ms": "float64"}
-        )
+        # A series has few rows at a time, so lists cost less than frames.
+        seen, *columns = state.get if state.exists else (0, [], [], [])
+        buffer = list(zip(*columns))
         for batch in batches:
             seen += int(batch["n_rows"].sum())
-            buffer = pd.concat([buffer, batch[buffer.columns]]).sort_values(order).tail(size)
-        latency = buffer["latency_ms"]
-        state.update((seen, buffer["at"].tolist(), buffer["tie"].tolist(), latency.tolist()))
+            buffer += zip(*(batch[name].tolist() for name in (*order, "latency_ms")))
+            buffer = sorted(buffer, key=itemgetter(0, 1))[-size:]
+        at, ties, latencies = (list(column) for column in zip(*buffer))
+        latencies = [math.nan if latency is None else latency for latency in latencies]
+        state.update((seen, at, ties, latencies))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        top = latency.fillna(0.0).max()
+        top = max(0.0 if math.isnan(latency) else latency for latency in latencies)
         yield pd.DataFrame(
             {
                 "run_id": [key[0]],
                 "target": [key[1]],
                 "seq": [seen],
-                "latest_ms": [latency.iloc[-1]],
+                "latest_ms": [latencies[-1]],
                 "window_max": [max(top, 0.0) if seen < size else top],
             }
         )
