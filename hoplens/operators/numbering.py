@@ -10,7 +10,7 @@ from hoplens.schema import SERIES
 from hoplens.session import use_checkpoints
 
 # One task numbers at most about this many rows, whatever the length of a series. They are sorted, so they may spill.
-ROWS_PER_TASK = 8_000_000
+ROWS_PER_TASK = 1_000_000
 MAX_BROADCAST_ROWS = 500_000
 
 

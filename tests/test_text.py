@@ -369,3 +369,15 @@ def test_many_series_are_read_without_comparing_their_folders(spark, tmp_path):
     three = [(1, 1.0), (2, 2.0), (3, 1.0)]
     assert rows == {target: three for target in ("a b", "x+y", "50%", "::1", "ä")} | {"": list(enumerate([1.0, 2.0, 1.0, 2.0, 1.0, 1.0], 1))}
     assert read_lines(spark, path).where("target IS NULL").count() == 6
+
+
+def test_lines_of_a_split_are_not_sorted(spark, conf, tmp_path):
+    """Ids rank the lines of a split file, so no task holds a split to sort it."""
+    folder = tmp_path / "results_2024-01-01_00-00-00"
+    folder.mkdir()
+    (folder / "ping_results_a.txt").write_text("".join(f"{n}\n" for n in range(1, 4001)))
+    conf("spark.sql.files.maxPartitionBytes", "1000")
+    one = scan_file(spark, str(folder / "ping_results_a.txt"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and "_n" in plan.split("Window [")[1].split("\n")[0]
+    assert one.count() == 4000 and one.where("seq <> latency_ms").isEmpty()
