@@ -67,7 +67,7 @@ def target_from_name(name: Column) -> Column:
 
 def target_from_path(path: Column) -> Column:
     """Target of a result file, empty for any other file."""
-    return F.regexp_extract(F.regexp_extract(path, FILE, 1), RESULT_FILE, 1)
+    return F.regexp_extract(F.substring_index(path, "/", -1), RESULT_FILE, 1)
 
 
 def run_from_path(path: Column) -> Column:
@@ -75,7 +75,8 @@ def run_from_path(path: Column) -> Column:
 
     A folder not named by the clock keeps its own name, so runs filed by hand stay apart.
     """
-    return F.regexp_replace(F.regexp_extract(path, FOLDER, 1), RESULT_FOLDER, "$1")
+    # A pattern tries every place of a text, so it is given the end of the path alone.
+    return F.regexp_replace(F.regexp_extract(F.substring_index(path, "/", -2), FOLDER, 1), RESULT_FOLDER, "$1")
 
 
 def labelled(run_id: Column, label: str | None) -> Column:
