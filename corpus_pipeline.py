@@ -18,7 +18,7 @@ LEAST_SCORE = 0.3
 NGRAM, SIMILAR = 5, (4, 5)
 CAPACITY = 2048
 #: Rows of a batch that goes to Python. Documents are long, and a task holds a batch several times over, here and in the JVM.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPECIAL = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -2,12 +2,13 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import plain
 import pytest
 
-from hoplens.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup
+from hoplens.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup, words
 from hoplens.llm.components import components
 from pyspark.sql import functions as F
 
@@ -108,6 +109,58 @@ def test_pairs_of_far_sizes(documents, p, q):
     assert collections.Counter((r.doc_id, r.n, r.component_id) for r in found) == plain.similar_groups(rows, 1, p, q)
 
 
+def _peak(run):
+    """Bytes that a call holds at most, beside what was held before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_of_texts_are_not_held_together():
+    texts = [b" ".join(b"word%05d" % (i * j % 1000) for j in range(100)) for i in range(2000)]
+    words.word_hashes(texts, words.LOWER)
+    assert _peak(lambda: words.word_hashes(texts, words.LOWER)) < 3 * sum(map(len, texts))
+
+
+def test_a_part_with_itself_is_held_once():
+    rng = np.random.default_rng(0)
+    shared = rng.integers(0, 1 << 63, 3000)
+    sets = [np.unique(np.concatenate([shared[i % 7 :], rng.integers(0, 1 << 63, 200)])).astype(np.uint64) for i in range(100)]
+    edges = []
+    peak = _peak(lambda: edges.extend(jaccard_join.product_edges(sets, None, (4, 5))))
+    assert len(edges) == 99
+    assert peak < 10 * sum(x.nbytes for x in sets)
+
+
+@pytest.mark.parametrize("similar", [(1, 2), (9, 10)])
+def test_products_equal_plain_overlaps(monkeypatch, similar):
+    monkeypatch.setattr(jaccard_join, "DENSE_COLUMNS", 7)
+    monkeypatch.setattr(jaccard_join, "DENSE_ROWS", 5)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64) for _ in range(40)] + [np.array([99], np.uint64)]
+    alike = lambda a, b: similar[1] * len({*a} & {*b}) >= similar[0] * len({*a} | {*b})
+    for left, right in ((sets, None), (sets[:25], sets[25:]), (sets, sets[:1]), (sets[-1:], sets[:1])):
+        found = list(jaccard_join.product_edges(left, right, similar))
+        other = left if right is None else right
+        assert all(alike(left[i], other[j]) for i, j in found)
+        # Names of both sides' rows, as one part's are the same rows.
+        name = lambda j: j if right is None else len(left) + j
+        wanted = {(i, name(j)) for i, a in enumerate(left) for j, b in enumerate(other) if alike(a, b) and i != name(j)}
+        assert _joined_rows((i, name(j)) for i, j in found) == _joined_rows(wanted)
+
+
+def _joined_rows(edges):
+    """What edges connect."""
+    groups = {}
+    for a, b in edges:
+        both = groups.get(a, {a}) | groups.get(b, {b})
+        groups |= dict.fromkeys(both, both)
+    return groups
+
+
 def test_one_of_each(documents, odd):
     rows = [*odd, *similar_texts(3)]
     docs = documents(rows)
