@@ -15,6 +15,7 @@ file's index, so any stretch of ids is read without the rest.
 All numbers are little-endian, bits are packed from the lowest on.
 """
 
+import re
 import struct
 import uuid
 import zlib
@@ -52,10 +53,18 @@ TRAILER = struct.Struct("<8Q8s")
 # Blocks
 
 
+def _kind(width: int) -> np.dtype:
+    """The smallest type that holds numbers below 2**width."""
+    return np.dtype(next(f"<u{size}" for size in (1, 2, 4, 8) if width <= 8 * size))
+
+
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of numbers below 2**width as rows of bytes."""
-    kind = "<u4" if width <= 32 else "<u8"
-    bits = np.unpackbits(values.astype(kind)[..., None].view(np.uint8), axis=-1, bitorder="little")
+    kind = _kind(width)
+    whole = values.astype(kind)[..., None].view(np.uint8)
+    if width == 8 * kind.itemsize:
+        return whole.reshape(len(values), -1)
+    bits = np.unpackbits(whole, axis=-1, bitorder="little")
     return np.packbits(bits[..., :width].reshape(len(values), -1), axis=-1, bitorder="little")
 
 
@@ -63,8 +72,10 @@ def _unpacked(rows: np.ndarray, count: int, width: int) -> np.ndarray:
     """Inverse of ``_packed`` for rows of ``count`` numbers."""
     if not width:
         return np.zeros((len(rows), count), np.uint64)
-    kind = "<u4" if width <= 32 else "<u8"
-    full = np.zeros((len(rows), count, np.dtype(kind).itemsize * 8), np.uint8)
+    kind = _kind(width)
+    if width == 8 * kind.itemsize:
+        return np.ascontiguousarray(rows).view(kind).astype(np.uint64)
+    full = np.zeros((len(rows), count, kind.itemsize * 8), np.uint8)
     full[..., :width] = np.unpackbits(rows, axis=-1, bitorder="little", count=count * width).reshape(len(rows), count, width)
     return np.packbits(full, axis=-1, bitorder="little").view(kind)[..., 0].astype(np.uint64)
 
@@ -312,6 +323,10 @@ def _begins_word(stretch: str) -> bool:
     return stretch[:1].isalnum() or "!" <= stretch[:1] <= "~"
 
 
+#: What ``_begins_word`` tells of all parts of a split at once: a space or line end that no word follows.
+LOOSE_SPACE, LOOSE_END = (re.compile(between + r"(?![!-~\w])") for between in (" ", "\n"))
+
+
 def _joined(parts: list[str], between: str) -> list[str]:
     """Parts that were split apart, put together again where the split was not before a word."""
     first, *others = parts
@@ -335,13 +350,14 @@ def ids_of(text: str, known: _Known) -> bytes:
         return known.ids(text)
     found = []
     lines = text.split("\n")
-    if not all(map(_begins_word, lines)):
+    if LOOSE_END.search(text):
         lines = _joined(lines, "\n")
+    loose = LOOSE_SPACE.search(text) is not None
     for number, line in enumerate(lines):
         if number:
             found.append(known["\n"])
         stretches = line.split(" ")
-        if not all(map(_begins_word, stretches)):
+        if loose and LOOSE_SPACE.search(line):
             stretches = _joined(stretches, " ")
         found.append(known[stretches[0]])
         found += map(known.spaced.__getitem__, stretches[1:])

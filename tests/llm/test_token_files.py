@@ -90,6 +90,33 @@ def test_stretches_have_the_ids_of_the_whole_text(parts):
     assert np.frombuffer(tf.ids_of(text, known), "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(PARTS, max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_splits_that_no_word_follows_are_found_at_once(parts):
+    text = "".join(parts)
+    for between, loose in ((" ", tf.LOOSE_SPACE), ("\n", tf.LOOSE_END)):
+        assert bool(loose.search(text)) == (not all(map(tf._begins_word, text.split(between)[1:])))
+
+
+def test_plain_words_are_not_looked_at_one_by_one(monkeypatch):
+    looked = []
+    monkeypatch.setattr(tf, "_begins_word", lambda stretch: looked.append(stretch) or stretch[:1].isalnum())
+    text = "\n".join(["the plain words of a line, été"] * 20)
+    known = tf._Known(VOCABULARY)
+    assert np.frombuffer(tf.ids_of(text, known), "<u4").tolist() == plain_ids(text)
+    assert not looked
+
+
+def test_numbers_are_spread_to_no_more_bits_than_their_type_has(monkeypatch):
+    spread = []
+    unpackbits = np.unpackbits
+    monkeypatch.setattr(np, "unpackbits", lambda *args, **options: spread.append(unpackbits(*args, **options)) or spread[-1])
+    ids = np.arange(1024)[None] * 30
+    block = tf.pack_blocks(ids, 100)[0]
+    assert tf.HEAD.unpack_from(block)[2] == 15 and sum(x.size for x in spread) <= 16 * 1024
+    assert tf.unpack_block(block).tolist() == ids[0].tolist()
+
+
 def plain_table(rows, end):
     """Documents by doc_id, nulls first; equal doc_ids are left to a check of their own."""
     place, wanted = 0, []
