@@ -20,7 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,16 +68,27 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits[..., :width].reshape(len(values), -1), axis=-1, bitorder="little")
 
 
+@lru_cache(maxsize=256)
+def _bit_places(count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes in which packed numbers begin, and their first bits there."""
+    at = np.arange(count, dtype=np.int64) * width
+    return at >> 3, (at & 7).astype(np.uint64)
+
+
 def _unpacked(rows: np.ndarray, count: int, width: int) -> np.ndarray:
     """Inverse of ``_packed`` for rows of ``count`` numbers."""
     if not width:
         return np.zeros((len(rows), count), np.uint64)
-    kind = _kind(width)
-    if width == 8 * kind.itemsize:
-        return np.ascontiguousarray(rows).view(kind).astype(np.uint64)
-    full = np.zeros((len(rows), count, kind.itemsize * 8), np.uint8)
-    full[..., :width] = np.unpackbits(rows, axis=-1, bitorder="little", count=count * width).reshape(len(rows), count, width)
-    return np.packbits(full, axis=-1, bitorder="little").view(kind)[..., 0].astype(np.uint64)
+    if width > 57:  # a number may lie in nine bytes
+        full = np.zeros((len(rows), count, 64), np.uint8)
+        full[..., :width] = np.unpackbits(rows, axis=-1, bitorder="little", count=count * width).reshape(len(rows), count, width)
+        return np.packbits(full, axis=-1, bitorder="little").view("<u8")[..., 0].astype(np.uint64)
+    first, shift = _bit_places(count, width)
+    padded = np.zeros((len(rows), rows.shape[1] + 8), np.uint8)
+    padded[:, :-8] = rows
+    # The eight bytes from each byte on, as a number.
+    eight = np.ndarray((len(rows), rows.shape[1] + 1), "<u8", padded, strides=(padded.shape[1], 1))
+    return (eight[:, first] >> shift) & np.uint64((1 << width) - 1)
 
 
 def pack_blocks(values: np.ndarray, percent: int = PERCENT) -> list[bytes]:

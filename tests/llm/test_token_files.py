@@ -107,6 +107,14 @@ def test_plain_words_are_not_looked_at_one_by_one(monkeypatch):
     assert not looked
 
 
+@pytest.mark.parametrize("width", range(65))
+def test_numbers_of_every_width(width):
+    rng = np.random.default_rng(width)
+    rows = rng.integers(0, 1 << 64, (3, 101), np.uint64, endpoint=False) >> np.uint64(64 - width) if width else np.zeros((3, 101), np.uint64)
+    packed = tf._packed(rows, width) if width else np.empty((3, 0), np.uint8)
+    assert tf._unpacked(packed, 101, width).tolist() == rows.tolist()
+
+
 def test_numbers_are_spread_to_no_more_bits_than_their_type_has(monkeypatch):
     spread = []
     unpackbits = np.unpackbits
