@@ -210,10 +210,11 @@ def pack(docs: DataFrame, capacity: int, ranks: str, pattern: str, special: Spec
         raise ValueError(f"a sequence holds 1 to {MOST_CAPACITY} tokens, not {capacity}")
     spark = docs.sparkSession
     pieces = cut(cut_pieces(docs, capacity, ranks, pattern, special))
-    lengths = {row.length: row.n for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counted = cut(pieces.groupBy("length").agg(F.count("*").alias("n")))
+    lengths = {row.length: row.n for row in counted.collect()}
     size = max(BLOCK_PIECES, sum(lengths.values()) // MOST_BLOCKS)
-    # As many rows as lengths, so as the capacity at most.
-    blocks = spark.createDataFrame([(length, -(-n // size)) for length, n in lengths.items()], "length long, __blocks long")
+    # As many rows as lengths, so as the capacity at most. A frame of the driver's rows would take a second pool of Python workers.
+    blocks = counted.select("length", F.expr(f"(n + {size - 1}) div {size}").alias("__blocks"))
     pieces = pieces.join(F.broadcast(blocks), "length").withColumn(
         "__block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__blocks"))
     )

@@ -151,6 +151,14 @@ def test_blocks_follow_the_number_of_pieces(documents, monkeypatch):
     assert len(found) == 300 and check_sequences(found, 64) > 0
 
 
+def test_packing_starts_no_second_pool_of_workers(documents, monkeypatch):
+    rows = documents([(i, "same words here " * (1 + i % 3)) for i in range(30)])
+    with monkeypatch.context() as patched:
+        patched.setattr(type(rows.sparkSession), "createDataFrame", lambda *_: pytest.fail("rows of the driver"))
+        found = packing.pack(rows, 64, RANKS, public_tokenizers.PATTERN)
+    assert len(found.collect()) == 30
+
+
 def test_no_documents(documents):
     none = documents([(1, "a")]).where(F.lit(False))
     assert packing.pack(none, 64, RANKS, public_tokenizers.PATTERN).count() == 0

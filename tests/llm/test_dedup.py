@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from hoplens.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup, words
@@ -125,6 +126,20 @@ def test_words_of_texts_are_not_held_together():
     assert _peak(lambda: words.word_hashes(texts, words.LOWER)) < 3 * sum(map(len, texts))
 
 
+def test_few_known_words_are_held():
+    texts = [b" ".join(b"word%d" % (i * 100 + j) for j in range(100)) for i in range(2000)]
+    words._known.clear()
+    assert _peak(lambda: words.word_hashes(texts, words.LOWER)) < 15 << 20
+    assert len(words._known) <= 50_000
+    words._known.clear()
+
+
+def test_a_task_gathers_few_texts():
+    batch = pa.record_batch({"text": ["x" * (1 << 20)] * 40})
+    sizes = [sum(len(text) for texts in held for text in texts) for held in words.gathered([batch])]
+    assert sum(sizes) == 40 << 20 and max(sizes) <= 12 << 20
+
+
 def test_a_part_with_itself_is_held_once():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 1 << 63, 3000)
