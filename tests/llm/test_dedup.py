@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -99,6 +100,46 @@ def test_similar_sets_share_a_key(similar):
                 assert np.isin(jaccard_join.signatures(entries[size - least : size], similar), whole).any()
 
 
+@pytest.mark.parametrize("similar", [(1, 4), (1, 2), (2, 3), (4, 5), (9, 10)])
+def test_similar_sets_share_many_keys(spark, similar):
+    p, q = similar
+    rng = random.Random(5)
+    sets, names = [], []
+    with np.errstate(over="ignore"):
+        for _ in range(60):
+            common, left, right = (rng.randrange(1, most) for most in (150, 12, 12))
+            entries = np.array(rng.sample(range(10**6), common + left + right), np.uint64)
+            pair = np.sort(entries[: common + left]), np.sort(np.concatenate([entries[:common], entries[common + left :]]))
+            if q * common >= p * (common + left + right):
+                names.append((len(sets), len(sets) + 1))
+            sets += pair
+        keys = [(int(k), a, len(own)) for a, own in enumerate(sets) for k in jaccard_join.signatures(own, similar).view(np.int64)]
+    rows = spark.createDataFrame(keys, "key long, a long, n int")
+    assert len(names) > 5
+    assert set(names) <= {(r.a, r.b) for r in jaccard_join._pairs(rows, similar).collect()}
+
+
+def test_sets_with_a_key_or_two_are_no_pair(spark):
+    rows = [(key, a, 480) for a in range(10) for key in (1, 2, 100 + a)]
+    rows += [(key, a, 480) for a in (20, 21) for key in range(1000, 1023)]  # 24 are needed
+    rows += [(key, a, n) for a, n in ((30, 480), (31, 480)) for key in range(2000, 2024)]
+    rows += [(key, a, n) for a, n in ((40, 400), (41, 480)) for key in range(3000, 3040)]  # sizes too far apart
+    frame = spark.createDataFrame(rows, "key long, a long, n int")
+    assert {(r.a, r.b) for r in jaccard_join._pairs(frame, (9, 10)).collect()} == {(30, 31)}
+
+
+def test_keys_are_made_once(spark, documents):
+    docs = documents([(1, "one two three four")])
+    once = spark.createDataFrame([], jaccard_join._read_once(docs, 3).schema)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = jaccard_join._candidates(docs, once, 3, (9, 10))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(re.findall(r"MapInArrow read\(text#", plan)) == 1
+
+
 @pytest.mark.parametrize("p, q", [(1, 2), (3, 5)])
 def test_pairs_of_far_sizes(documents, p, q):
     rows = []
