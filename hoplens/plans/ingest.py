@@ -22,6 +22,8 @@ from hoplens.sources.text import RESULT_FILES, scan_runs
 LEDGER = "path string, folder string, run_id string, target string, bytes bigint, modified timestamp, lines bigint, ended boolean, gen bigint"
 # Batches of the ledger after which it is merged.
 MERGE_EVERY = 20
+# Grown files, up to so many of which are sent to every task; beyond, their lines are joined with them by a shuffle.
+MAX_BROADCAST_FILES = 100_000
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -101,10 +103,15 @@ def ingest_runs(spark: SparkSession, path: str, *folders: str, label: str | None
 
 
 def _continued(grown: DataFrame) -> DataFrame:
-    """Samples of the bytes that files got, numbered on from the lines before."""
+    """Samples of the bytes that files got, numbered on from the lines before.
+
+    Spark takes the lines for as few as the ranges that they are read from. So the join is told its way, or they would be its small
+    side and be collected on the driver.
+    """
     ranges = grown.select("path", "start", F.col("bytes").alias("stop"))
     whose = grown.select("path", *SERIES, F.coalesce("old_lines", F.lit(0)).alias("lines"))
-    lines = parse_lines(read_ranges(ranges)).join(whose, "path")
+    few = grown.limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES
+    lines = parse_lines(read_ranges(ranges)).join(F.broadcast(whose) if few else whose.hint("merge"), "path")
     return with_seq(lines, ["at"]).withColumn("seq", F.col("seq") + F.col("lines")).select(*SERIES, "seq", "latency_ms", "malformed")
 
 

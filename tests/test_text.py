@@ -202,6 +202,27 @@ def test_an_ingest_reads_only_what_is_new(spark, root, tmp_path, monkeypatch):
     assert [(start, stop) for _, start, stop in read] == [(0, 4), (4, 11)] and not scanned
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_lines_of_grown_files_are_not_broadcast(spark, root, tmp_path, monkeypatch, most):
+    from hoplens.plans import ingest
+
+    table, joined = str(tmp_path / "table"), []
+    grown = root / f"results_{FIRST}" / "ping_results_grown.txt"
+    grown.write_text("1\n2\n")
+    ingest_runs(spark, table, f"{root}/results_*")
+    with grown.open("a") as file:
+        file.write("3\nLost\n" * 1000)
+    number = ingest.with_seq
+    monkeypatch.setattr(ingest, "MAX_BROADCAST_FILES", most, raising=False)
+    monkeypatch.setattr(ingest, "with_seq", lambda lines, order: (joined.append(lines), number(lines, order))[1])
+    assert series(ingest_runs(spark, table, f"{root}/results_*")) == series(scan_runs(spark, f"{root}/results_*"))
+    [lines] = joined
+    lines.collect()
+    plan = lines._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert re.search("BroadcastHashJoin .* BuildRight" if most else "SortMergeJoin", joins[0]), plan
+
+
 def test_rewritten_and_half_written_files(spark, root, tmp_path):
     table, folder = str(tmp_path / "table"), root / f"results_{FIRST}"
     file = folder / "ping_results_half.txt"
